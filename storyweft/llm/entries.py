@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouping, leakage, tokens
+from . import grouping, leakage, spans, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,11 +29,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "golden_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_t(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 
 SQL = {
