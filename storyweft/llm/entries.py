@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouping, leakage, spans, tokens
+from . import grouping, leakage, lookalikes, neighbours, spans, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.connected_groups(links)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_t(spark, d, "vectors"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_looking(_t(spark, d, "items"), _t(spark, d, "quotes"))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.text_forms(_t(spark, d, "items"), _t(spark, d, "quotes")).select("field", "record_id", "value", "form")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(_t(spark, d, "documents"))
 
@@ -35,6 +47,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
