@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouping, leakage, lookalikes, neighbours, spans, tokens
+from . import grouping, history, leakage, lookalikes, neighbours, spans, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return grouping.connected_groups(links)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_entries(_t(spark, d, "items"), _t(spark, d, "incoming"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_t(spark, d, "vectors"))
 
@@ -47,6 +51,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
