@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..workspace import Workspace
+
 #: Letters drawn alike, Cyrillic and Greek against Latin.
 CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅԌԚԜ", "aeopcyxijshdqwABEKMHOPCTXIJSGQW"
 GREEK, GREEK_AS = "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"
@@ -87,6 +89,7 @@ def fold(c: Column) -> Column:
 
 _LETTERS = r"[\p{L}\p{M}]+"
 _PIECES = r"([\p{L}\p{M}]+|[^\p{L}\p{M}]+)"
+_NOT_LETTERS = r"[^\p{L}\p{M}]+"
 _FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
 
 
@@ -98,20 +101,25 @@ def _as_cyrillic(c: Column) -> Column:
     return F.translate(c, CYRILLIC_AS + GREEK, CYRILLIC + "".join(CYRILLIC[CYRILLIC_AS.index(x)] if x in CYRILLIC_AS else x for x in GREEK_AS))
 
 
-def one_form(values: DataFrame, keys: list[str], text: str, corpus: DataFrame | None = None) -> DataFrame:
-    """``values`` with a column ``form``: its text in the one consistent form.
+def folded_stage(values: DataFrame, keys: list[str], text: str, work: Workspace) -> DataFrame:
+    """``values`` written once with ``alt``, the folded text where it differs, and ``odd``, whether it holds foreign letters."""
+    folded = values.select(*keys, text, fold(F.col(text)).alias("_f"))
+    return work.stage(folded.select(*keys, text, F.when(F.col("_f") != F.col(text), F.col("_f")).alias("alt"), F.col("_f").rlike(_FOREIGN).alias("odd")), "folded")
+
 
-    ``keys`` name a row. ``corpus`` (one string column ``word_source``) gives the
-    vocabulary; by default the values themselves. NULL stays NULL, an empty text
-    stays empty.
+def one_form(folded: DataFrame, keys: list[str], text: str, work: Workspace) -> DataFrame:
+    """``keys, text, form`` of a folded stage: each text in the one consistent form.
+
+    ``keys`` name a row; several texts under one key are mended apart. The vocabulary
+    is that of all the texts. NULL stays NULL, an empty text stays empty.
     """
-    folded = values.withColumn("_folded", fold(F.col(text)))
-    odd = folded.where(F.col("_folded").rlike(_FOREIGN)).select(*keys, F.col("_folded"))
+    now = F.coalesce("alt", text)
+    odd = work.stage(folded.where("odd").select(*keys, text, now.alias("_folded"), F.xxhash64(text).alias("_v")), "odd")
     words = F.regexp_extract_all("_folded", F.lit(f"({_LETTERS})"), F.lit(1))
     latin_words = F.size(F.filter(words, lambda w: w.rlike(r"\p{IsLatin}")))
     own_words = F.size(F.filter(words, lambda w: _as_latin(w).rlike(_FOREIGN)))
     pieces = odd.withColumn("_latin", latin_words >= own_words).select(
-        *keys, "_latin", F.posexplode(F.regexp_extract_all("_folded", F.lit(_PIECES), F.lit(1))).alias("_pos", "piece")
+        *keys, "_v", "_latin", F.posexplode(F.regexp_extract_all("_folded", F.lit(_PIECES), F.lit(1))).alias("_pos", "piece")
     )
     latin, cyrillic = _as_latin(F.col("piece")), _as_cyrillic(F.col("piece"))
     has_latin = F.col("piece").rlike(r"\p{IsLatin}")
@@ -121,65 +129,69 @@ def one_form(values: DataFrame, keys: list[str], text: str, corpus: DataFrame |
         .when(has_latin & ~cyrillic.rlike(r"[\p{IsLatin}\p{IsGreek}]"), cyrillic)
     )
     mixed = pieces.where(F.col("piece").rlike(_FOREIGN)).select("_latin", "piece", target.alias("target")).where(F.col("target").isNotNull()).distinct()
-    mixed = mixed.withColumn("target", F.when(F.col("target").rlike(r"\p{M}"), _compose_py(F.when(F.col("target").rlike(r"\p{M}"), F.col("target")))).otherwise(F.col("target")))
-    # vocabulary: words in one script, and results on which several spellings agree
-    source = corpus.select(F.explode(F.split("word_source", r"[^\p{L}\p{M}]+")).alias("target")) if corpus is not None else folded.select(F.explode(F.split("_folded", r"[^\p{L}\p{M}]+")).alias("target"))
+    marked = F.col("target").rlike(r"\p{M}")
+    mixed = work.stage(mixed.withColumn("target", F.when(marked, _compose_py(F.when(marked, F.col("target")))).otherwise(F.col("target"))), "mixed")
+    # vocabulary: words as they stand in the texts, and results on which several spellings agree
     agreed = mixed.groupBy("target").agg(F.countDistinct("piece").alias("n")).where("n > 1").select("target")
-    known = source.where(F.col("target") != "").distinct().unionByName(agreed)
+    known = folded.select(F.explode(F.split(now, _NOT_LETTERS)).alias("target")).distinct().unionByName(agreed)
     repairs = mixed.join(known, "target", "left_semi")
     mended = (
         pieces.join(repairs, ["_latin", "piece"], "left")
-        .groupBy(*keys)
+        .groupBy(*keys, "_v")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("target", "piece").alias("s")))).alias("l"))
-        .select(*keys, F.array_join(F.transform("l", lambda x: x["s"]), "").alias("_mended"))
+        .select(*keys, "_v", F.array_join(F.transform(F.array_distinct("l"), lambda x: x["s"]), "").alias("form"))
     )
-    return folded.join(mended, keys, "left").withColumn("form", F.coalesce("_mended", "_folded")).drop("_folded", "_mended")
-
-
-def latest_items(items: DataFrame) -> DataFrame:
-    """One row of each id: its newest by (fetched, published); NULL ids are left out."""
-    newest = F.max_by(F.struct("title", "lede"), F.struct("fetched", "published", "title", "lede"))
-    return items.where(F.col("id").isNotNull()).groupBy("id").agg(newest.alias("x")).select("id", "x.title", "x.lede")
+    repaired = work.stage(odd.dropDuplicates([*keys, "_v"]).join(mended, [*keys, "_v"]).select(*keys, text, "form"), "repaired")
+    return folded.where(~F.coalesce("odd", F.lit(False))).select(*keys, text, now.alias("form")).unionByName(repaired)
 
 
 def text_values(items: DataFrame, quotes: DataFrame) -> DataFrame:
-    """``(field, record_id, item_id, value)`` of titles, ledes and quotes; NULL and empty values are left out."""
-    of_items = latest_items(items).select(
+    """``(field, record_id, item_id, value)`` of titles, ledes and quotes; NULL ids, NULL and empty values are left out."""
+    of_items = items.where(F.col("id").isNotNull()).select(
         F.col("id").alias("item_id"),
         F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value")), F.struct(F.lit("lede").alias("field"), F.col("lede").alias("value")))).alias("x"),
     ).select("x.field", F.col("item_id").alias("record_id"), "item_id", "x.value")
-    of_quotes = (
-        quotes.where(F.col("quote_id").isNotNull())
-        .select(F.lit("quote").alias("field"), F.col("quote_id").cast("string").alias("record_id"), "item_id", F.col("quote").alias("value"))
-        .dropDuplicates(["record_id", "item_id", "value"])
+    of_quotes = quotes.where(F.col("quote_id").isNotNull()).select(
+        F.lit("quote").alias("field"), F.col("quote_id").cast("string").alias("record_id"), "item_id", F.col("quote").alias("value")
     )
     return of_items.unionByName(of_quotes).where(F.col("value") != "")
 
 
+KEYS = ["field", "record_id", "item_id"]
+
+
 def text_forms(items: DataFrame, quotes: DataFrame) -> DataFrame:
     """``(field, record_id, item_id, value, form)`` of every title, lede and quote."""
-    return one_form(text_values(items, quotes), ["field", "record_id", "item_id"], "value")
+    work = Workspace(items.sparkSession, "forms")
+    return one_form(folded_stage(text_values(items, quotes), KEYS, "value", work), KEYS, "value", work)
 
 
 def same_looking(items: DataFrame, quotes: DataFrame) -> DataFrame:
     """``(field, record_id)`` of values that look like another item's value, or like a stretch of their item, in other characters.
 
-    Titles and ledes: another id has a different string of the same form. Quotes: the
-    quote occurs in neither title nor lede as it is, but its form is in the form of one
-    of them. NULL and empty values, unknown items and NULL ids give no row. Repeated
-    rows count once.
+    Titles and ledes: another id has a different string of the same form; every row of
+    an id counts. Quotes: the quote occurs in neither title nor lede as it is, but its
+    form is in the form of one of them. NULL and empty values, unknown items and NULL
+    ids give no row. Repeated rows count once.
     """
-    forms = text_forms(items, quotes)
-    own = forms.where((F.col("field") != "quote") & (F.col("form") != "")).select("field", "record_id", F.md5("form").alias("look"), F.xxhash64("value").alias("v"))
-    twice = own.groupBy("field", "look").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where(F.col("lo") != F.col("hi"))
+    work = Workspace(items.sparkSession, "looks")
+    forms = one_form(folded_stage(text_values(items, quotes), KEYS, "value", work), KEYS, "value", work)
+    own = forms.where((F.col("field") != "quote") & (F.col("form") != "")).select("field", "record_id", F.unhex(F.md5("form")).alias("look"), F.xxhash64("value").alias("v"))
+    own = work.stage(own, "own")
+    # where a form has two strings and two ids, every id has another's different string
+    twice = (
+        own.groupBy("field", "look")
+        .agg(F.min("v").alias("v1"), F.max("v").alias("v2"), F.min("record_id").alias("r1"), F.max("record_id").alias("r2"))
+        .where((F.col("v1") != F.col("v2")) & (F.col("r1") != F.col("r2")))
+    )
     alike = own.join(twice.select("field", "look"), ["field", "look"], "left_semi").select("field", "record_id")
 
-    of_item = forms.where(F.col("field") != "quote").select("item_id", F.col("value").alias("whole"), F.col("form").alias("whole_form"))
+    of_item = forms.where(F.col("field") != "quote").select("item_id", F.col("value").alias("whole"), F.when(F.col("form") != F.col("value"), F.col("form")).alias("whole_form"))
     quoted = forms.where((F.col("field") == "quote") & (F.col("form") != "")).select("record_id", "item_id", "value", "form")
     found = (
         quoted.join(of_item, "item_id")
-        .groupBy("record_id", "item_id", "value")
-        .agg(F.max(F.contains("whole", "value")).alias("verbatim"), F.max(F.contains("whole_form", "form")).alias("looks"))
+        .groupBy("record_id", "item_id", F.xxhash64("value").alias("v"))
+        .agg(F.max(F.contains("whole", "value")).alias("verbatim"), F.max(F.contains(F.coalesce("whole_form", "whole"), F.col("form"))).alias("looks"))
         .where(F.col("looks") & ~F.col("verbatim"))
         .select(F.lit("quote").alias("field"), "record_id")
     )
