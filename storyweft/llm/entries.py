@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouping, history, leakage, lookalikes, neighbours, spans, tokens
+from . import grouping, history, leakage, lookalikes, neighbours, spans, tokens, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.text_forms(_t(spark, d, "items"), _t(spark, d, "quotes")).select("field", "record_id", "value", "form")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated_items(_t(spark, d, "items"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(_t(spark, d, "items"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(_t(spark, d, "documents"))
 
@@ -55,6 +63,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
