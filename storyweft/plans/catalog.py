@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import marts, pairs, rows, scores  # noqa: F401 - importing registers them
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
