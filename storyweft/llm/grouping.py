@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import label_components
 from ..workspace import Workspace
 
 #: Characters counted as blanks around an id.
@@ -78,7 +79,7 @@ def connected_groups(links: DataFrame, max_rounds: int = 200) -> DataFrame:
             # links that lead out of an unfinished core are kept, with the core as one vertex
             rest = rest.join(core.select(F.col("n").alias("t")), "t", "left_anti").select("s", "t").unionByName(boundary)
         rest = work.stage(rest.select("s", "t"), "rest")
-    labels = _propagate(work, rest, max_rounds)
+    labels = label_components(work, rest, max_rounds)
     if core is not None:
         root = low
         if boundary is not None:
@@ -136,32 +137,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def _propagate(work: Workspace, edges: DataFrame, max_rounds: int) -> DataFrame:
-    """``(n, root)`` for every vertex of the symmetric ``edges``, root the smallest of its component."""
-    labels = work.stage(edges.groupBy(F.col("s").alias("n")).agg(F.least(F.min("t"), F.col("s")).alias("f")), "labels")
-    for _ in range(max_rounds):
-        # smallest label next to each vertex; the vertex and the vertex it points to both take it over
-        near = (
-            edges.join(labels.select(F.col("n").alias("t"), F.col("f").alias("g")), "t")
-            .groupBy(F.col("s").alias("n"))
-            .agg(F.min("g").alias("g"))
-        )
-        told = labels.join(near, "n").select("n", "f", "g")
-        told = work.stage(told, "told")
-        hooks = told.groupBy(F.col("f").alias("n")).agg(F.min("g").alias("h"))
-        hung = told.join(hooks, "n", "left").select("n", F.least("f", "g", "h").alias("p"))
-        hung = work.stage(hung, "hung")
-        jumped = (
-            hung.join(hung.select(F.col("n").alias("p"), F.col("p").alias("q")), "p")
-            .join(labels.select("n", F.col("f").alias("old")), "n")
-            .select("n", F.least("p", "q").alias("f"), "old")
-        )
-        after = work.stage(jumped, "labels")
-        moved = after.where(F.col("f") != F.col("old")).limit(1).count()
-        work.drop(told, hung, labels)
-        labels = after
-        if not moved:
-            return labels.select("n", F.col("f").alias("root"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

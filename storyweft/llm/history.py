@@ -22,59 +22,66 @@ from ..workspace import Workspace
 TITLE_EDITS, LEDE_SHARE, LEDE_EDITS = 30, 0.2, 48
 
 
-def article_name(outlet: Column, url: Column) -> Column:
-    """What an address names at its outlet: a number, a dated title or a code; else its path.
+def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
+    """``rows`` with ``name``: what an address names at its outlet, a number, a dated title or a code; else its path.
 
     Scheme, host, port, fragment, session, case, doubled and closing slashes, AMP and
     index forms, and all of the query but an article number are left out. NULL and
-    blank addresses give NULL.
+    blank addresses give NULL. Each step is a column of its own, so it is worked out once.
     """
     u = F.btrim(url)
-    rest = F.regexp_replace(F.regexp_replace(u, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), r"^//[^/?#]*", "")
-    rest = F.regexp_replace(rest, r"#.*$", "")
-    rest = F.lower(F.when(rest.contains("%"), F.coalesce(F.try_url_decode(rest), rest)).otherwise(rest))
-    path = F.regexp_replace(F.regexp_replace(rest, r"\?.*$", ""), r";[^/]*", "")
-    path = F.regexp_replace(path, r"/{2,}", "/")
-    path = F.regexp_replace(path, r"(/(index\.[a-z]+|amp|print))?/*$", "")
-    asked = F.regexp_extract(rest, r"[?&;](?:id|article|article_id|story|p)=(\d+)(?:[&;]|$)", 1)
-    dated = F.regexp_extract(path, r"/(\d{4}/\d{1,2}/\d{1,2}/[^/]+)", 1)
-    number = F.regexp_extract(path, r"/(\d{5,})(?:/|$)", 1)
-    code = F.regexp_extract(path, r"/([0-9a-z]*\d[0-9a-z]*)$", 1)
+    r = rows.withColumn("_u", F.substring_index(F.regexp_extract(u, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?(.*)$", 1), "#", 1))
+    r = r.withColumn("_u", F.lower(F.when(F.contains("_u", F.lit("%")), F.coalesce(F.try_url_decode("_u"), "_u")).otherwise(F.col("_u"))))
+    r = r.withColumn("_asked", F.when(F.contains("_u", F.lit("?")), F.regexp_extract("_u", r"[?&;](?:id|article|article_id|story|p)=(\d+)(?:[&;]|$)", 1)).otherwise(""))
+    # what only few addresses have is looked for first, so that most pass without a pattern
+    has = lambda c, what: F.contains(c, F.lit(what))
+    path = F.rtrim(F.substring_index("_u", "?", 1), F.lit("/"))
+    path = F.when(has(path, ";"), F.regexp_replace(path, r";[^/]*", "")).otherwise(path)
+    r = r.withColumn("_path", F.when(F.col("_asked") == "", path))
+    rare = has("_path", "//") | has("_path", "/amp") | has("_path", "/index.") | has("_path", "/print")
+    r = r.withColumn("_path", F.when(rare, F.regexp_replace(F.regexp_replace("_path", r"/{2,}", "/"), r"(/(index\.[a-z]+|amp|print))?/*$", "")).otherwise(F.col("_path")))
+    r = r.withColumn("_dated", F.regexp_extract("_path", r"/(\d{4}/\d{1,2}/\d{1,2}/[^/]+)", 1))
+    rest = F.col("_dated") == ""
+    r = r.withColumn("_number", F.when(rest, F.regexp_extract("_path", r"/(\d{5,})(?:/|$)", 1)))
+    r = r.withColumn("_code", F.when(rest & (F.col("_number") == ""), F.regexp_extract("_path", r"/([0-9a-z]*\d[0-9a-z]*)$", 1)))
     name = (
-        F.when(asked != "", F.concat(F.lit("n"), asked))
-        .when(dated != "", F.concat(F.lit("d"), F.regexp_replace(dated, r"\.(html?|php|aspx?)$", "")))
-        .when(number != "", F.concat(F.lit("n"), number))
-        .when(F.length(code) >= 6, F.concat(F.lit("c"), code))
-        .otherwise(F.concat(F.lit("p"), path))
+        F.when(F.col("_asked") != "", F.concat(F.lit("n"), "_asked"))
+        .when(F.col("_dated") != "", F.concat(F.lit("d"), F.regexp_replace("_dated", r"\.(html?|php|aspx?)$", "")))
+        .when(F.col("_number") != "", F.concat(F.lit("n"), "_number"))
+        .when(F.length("_code") >= 6, F.concat(F.lit("c"), "_code"))
+        .otherwise(F.concat(F.lit("p"), "_path"))
     )
     host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#:]*)", 1)), r"^(www|m|amp)\.", "")
-    return F.when(u != "", F.concat_ws("|", F.coalesce(outlet, host), name))
+    place = F.when(F.col(outlet).isNotNull(), F.col(outlet)).otherwise(host)
+    return r.withColumn("name", F.when(u != "", F.concat_ws("|", place, name))).drop("_u", "_asked", "_path", "_dated", "_number", "_code")
 
 
 def _words(text: Column) -> Column:
-    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{IsDigit}]+", " "))
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def _records(rows: DataFrame, url: str) -> DataFrame:
-    """Hashes and normalised words of each row; its columns ``row`` and ``outlet`` are kept."""
-    r = rows.select(
-        "row", "outlet", article_name(F.col("outlet"), F.col(url)).alias("name"), _words(F.col("title")).alias("t"), _words(F.col("lede")).alias("l")
+    """Hashes and normalised text of each row; its columns ``batch_no``, ``row`` and ``linked`` are kept."""
+    r = with_article_name(rows, "outlet", url).select(
+        "batch_no", "row", (F.btrim(url) != "").alias("linked"), "outlet", "name",
+        _words(F.col("title")).alias("t"), _words(F.col("lede")).alias("l"),
     )
-    content = F.xxhash64(F.lit("content"), "outlet", "t", "l")
-    longest = F.slice(F.array_sort(F.array_distinct("l"), lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)), 1, 3)
+    longest = F.slice(F.array_sort(F.transform("l", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
     heads = [F.slice("t", 1, 4), F.slice("t", 2, 4), F.slice("t", F.greatest(F.size("t") - 3, F.lit(1)), 4)]
     parts = [F.slice("l", 1, 5), F.slice("l", F.greatest(F.size("l") - 4, F.lit(1)), 5), longest]
-    pieces = F.array(*[F.xxhash64(F.lit(f"piece{i}{j}"), "outlet", h, p) for i, h in enumerate(heads) for j, p in enumerate(parts)])
-    # a record without a lede is compared by its address and as a whole only
-    return r.select(
-        "row",
+    r = r.select(
+        "batch_no", "row", "linked",
         F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
-        F.when(F.size("t") > 0, content).alias("content"),
-        F.when((F.size("t") >= 3) & (F.size("l") >= 3), pieces).alias("pieces"),
-        F.array_join("t", " ").alias("title"),
-        F.array_join("l", " ").alias("lede"),
+        F.when(F.size("t") > 0, F.xxhash64(F.lit("content"), "outlet", "t", "l")).alias("content"),
+        # a record without a lede is compared by its address and as a whole only
+        ((F.size("t") >= 3) & (F.size("l") >= 3)).alias("long"),
+        *[F.xxhash64(F.lit(f"head{i}"), "outlet", h).alias(f"h{i}") for i, h in enumerate(heads)],
+        *[F.xxhash64(F.lit(f"part{i}"), p).alias(f"p{i}") for i, p in enumerate(parts)],
+        F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
     )
+    pieces = F.array(*[F.xxhash64(f"h{i}", f"p{j}") for i in range(3) for j in range(3)])
+    return r.select("batch_no", "row", "linked", "name_hash", "content", F.when(F.col("long"), pieces).alias("pieces"), "title", "lede")
 
 
 def _keys(records: DataFrame, *also: str) -> DataFrame:
@@ -82,7 +89,7 @@ def _keys(records: DataFrame, *also: str) -> DataFrame:
     key = lambda h, c: F.struct(h.alias("h"), c.cast("long").alias("c"))
     exact = F.array(key(F.col("name_hash"), F.lit(None)), key(F.col("content"), F.lit(None)))
     pieces = F.coalesce(F.transform("pieces", lambda p: key(p, F.col("content"))), F.array().cast("array<struct<h:bigint,c:bigint>>"))
-    return records.select(*also, F.explode(F.concat(exact, pieces)).alias("k")).where(F.col("k.h").isNotNull()).select(*also, "k.h", "k.c")
+    return records.select(*also, "content", F.explode(F.concat(exact, pieces)).alias("k")).where(F.col("k.h").isNotNull()).select(*also, "content", "k.h", "k.c")
 
 
 def _same_text(a: str, b: str) -> Column:
@@ -99,59 +106,53 @@ def _same_text(a: str, b: str) -> Column:
 
 
 class ArticleHistory:
-    """Known articles as bucketed tables of hashes; batches are checked and appended in turn."""
+    """Known articles as one bucketed table of hashes; batches are checked and appended in turn.
+
+    A row is a hash ``h``; pieces name the content ``c`` they are of; the row of a
+    content hash carries its normalised text, read only for candidates.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark = spark
         self.work = Workspace(spark, "history")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tag = uuid.uuid4().hex[:12]
-        self._tables = {"keys": (f"known_keys_{tag}", "h", "h long, c long"), "texts": (f"known_texts_{tag}", "content", "content long, title string, lede string")}
-        for table, _, shape in self._tables.values():
-            self._write(self.spark.createDataFrame([], shape), table, shape.split(" ")[0])
-
-    def _write(self, df: DataFrame, table: str, by: str) -> None:
-        df.repartition(self.buckets, by).write.mode("append").format("parquet").bucketBy(self.buckets, by).option("path", f"{self.work.root}/{table}").saveAsTable(table)
+        self.table = f"known_{uuid.uuid4().hex[:12]}"
+        self.repeats = f"{self.work.root}/repeats"
+        self._write(spark.createDataFrame([], "h long, c long, title string, lede string"))
 
-    def _known(self, what: str) -> DataFrame:
-        return self.spark.table(self._tables[what][0])
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "h").option("path", f"{self.work.root}/{self.table}").saveAsTable(self.table)
 
     def append(self, records: DataFrame) -> None:
-        """Add the hashes and, once a content, the texts of a stage of records."""
-        self._write(_keys(records).distinct(), *self._tables["keys"][:2])
-        texts = records.where(F.col("pieces").isNotNull()).groupBy("content").agg(F.first("title").alias("title"), F.first("lede").alias("lede"))
-        self._write(texts, *self._tables["texts"][:2])
+        """Add the hashes of a stage of records, each once."""
+        text = (F.col("h") == F.col("content")) & F.col("c").isNull()
+        keys = _keys(records, "title", "lede").select("h", "c", F.when(text, F.col("title")).alias("title"), F.when(text, F.col("lede")).alias("lede"))
+        self._write(keys.repartition(self.buckets, "h").dropDuplicates(["h", "c"]))
 
     def check(self, records: DataFrame) -> DataFrame:
-        """``row`` of the records that are known, or that repeat a record of the batch with a smaller ``row``."""
-        asked = self.work.stage(_keys(records, "row"), "asked")
-        exact = asked.where(F.col("c").isNull())
-        # the batch is the small side and is built; the table is read where it lies
-        known = self._known("keys")
-        first = exact.groupBy("h").agg(F.min("row").alias("first"))
-        by_hash = self.work.stage(
-            known.where(F.col("c").isNull()).select("h").join(exact.hint("shuffle_hash"), "h").select("row")
-            .unionByName(exact.join(first, "h").where(F.col("row") > F.col("first")).select("row"))
-            .distinct(),
-            "found",
-        )
-        open_ = asked.where(F.col("c").isNotNull()).join(by_hash, "row", "left_anti")
-        near_old = known.where(F.col("c").isNotNull()).select("h", F.col("c").alias("other")).join(open_.hint("shuffle_hash"), "h").select("row", "other").distinct()
-        new = asked.where(F.col("c").isNotNull()).select("h", F.col("row").alias("earlier"), F.col("c").alias("other"))
-        near_new = open_.join(new, "h").where(F.col("earlier") < F.col("row")).select("row", "other").distinct()
-        mine = records.select("row", "title", "lede").alias("a")
-        old_texts = self._known("texts").withColumnRenamed("content", "other")
-        new_texts = records.where(F.col("pieces").isNotNull()).groupBy(F.col("content").alias("other")).agg(F.first("title").alias("title"), F.first("lede").alias("lede"))
-        near = []
-        for pairs, texts in ((near_old, old_texts), (near_new, new_texts)):
-            asked_of = pairs.join(mine, "row").alias("a")
-            near.append(texts.alias("b").join(asked_of.hint("shuffle_hash"), "other").where(_same_text("a", "b")).select("a.row"))
-        found = by_hash.unionByName(near[0]).unionByName(near[1]).distinct()
-        return self.work.stage(found, "repeats")
+        """``row, linked`` of the records that are known, or that repeat a record of the batch with a smaller ``row``."""
+        known = self.spark.table(self.table)
+        asked = _keys(records, "row", "linked").drop("content")
+        # the batch is the small side and is built; the table is read where it lies, without its texts
+        # hashes of different kinds never meet: each kind has its own seed
+        old = known.select("h", F.col("c").alias("other")).join(asked.hint("shuffle_hash"), "h")
+        earlier = asked.groupBy("h", F.col("c").alias("other")).agg(F.min("row").alias("first"))
+        new = asked.join(earlier, "h").where(F.col("first") < F.col("row"))
+        hits = self.work.stage(old.select("row", "linked", "other").unionByName(new.select("row", "linked", "other")).distinct(), "hits")
+        exact = hits.where(F.col("other").isNull()).select("row", "linked")
+        near = hits.where(F.col("other").isNotNull()).join(exact.select("row"), "row", "left_anti")
+        if not near.limit(1).count():
+            return exact
+        mine = records.select("row", "title", "lede")
+        pairs = near.join(mine, "row")
+        texts = known.where(F.col("c").isNull() & F.col("title").isNotNull()).select(F.col("h").alias("other"), "title", "lede")
+        own = records.groupBy(F.col("content").alias("other")).agg(F.first("title").alias("title"), F.first("lede").alias("lede"))
+        same = texts.alias("b").join(pairs.alias("a").hint("shuffle_hash"), "other").where(_same_text("a", "b")).select("a.row", "a.linked")
+        same_new = own.alias("b").join(pairs.alias("a"), "other").where(_same_text("a", "b")).select("a.row", "a.linked")
+        return exact.unionByName(same).unionByName(same_new).distinct()
 
     def close(self) -> None:
-        for table, _, _ in self._tables.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def repeated_entries(items: DataFrame, incoming: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -165,19 +166,18 @@ def repeated_entries(items: DataFrame, incoming: DataFrame, buckets: int | None
     """
     spark = items.sparkSession
     history = ArticleHistory(spark, buckets)
-    old = _records(items.select(F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url")
-    history.append(history.work.stage(old, "items"))
+    work = history.work
+    old = work.stage(_records(items.select(F.lit(0).alias("batch_no"), F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url"), "items")
+    history.append(old)
+    work.drop(old)
     rows = incoming.where(F.col("entry_id").isNotNull() & F.col("batch_no").isNotNull())
-    rows = rows.select("batch_no", F.col("entry_id").alias("row"), "outlet", "link", "title", "lede")
-    found = []
-    for b in [r[0] for r in rows.select("batch_no").distinct().orderBy("batch_no").collect()]:
-        batch = rows.where(F.col("batch_no") == b)
-        records = history.work.stage(_records(batch, "link"), "batch")
-        linked = batch.where(F.btrim("link") != "").select("row")
-        found.append(history.check(records).join(linked, "row", "left_semi"))
-        history.append(records)
+    records = work.stage(_records(rows.select("batch_no", F.col("entry_id").alias("row"), "outlet", "link", "title", "lede"), "link"), "incoming")
+    for b in [r[0] for r in records.select("batch_no").distinct().orderBy("batch_no").collect()]:
+        batch = records.where(F.col("batch_no") == b)
+        history.check(batch).where("linked").select(F.col("row").alias("entry_id")).write.mode("append").parquet(history.repeats)
+        history.append(batch)
     history.close()
-    out = spark.createDataFrame([], "row long") if not found else found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select(F.col("row").alias("entry_id")).distinct()
+    kind = rows.schema["entry_id"].dataType.simpleString()
+    if not records.limit(1).count():
+        return spark.createDataFrame([], f"entry_id {kind}")
+    return spark.read.schema(f"entry_id {kind}").parquet(history.repeats).distinct()
