@@ -12,20 +12,26 @@ def _labelled(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col("same_story").isNotNull())
 
 
+#: Ranges of score that running sums are cut into.
+RANGES = 256
+
+
 def _running(by_score: DataFrame) -> DataFrame:
     """Running sums over descending scores.
 
-    The counts of distinct scores are cut into ranges of score, summed in each and
-    across the few ranges, so that no task sees all of them.
+    The distinct scores are cut into ranges of equal width, summed in each and
+    across the ranges, so that no task sees all of them.
     """
-    parts = by_score.repartitionByRange(F.col("score").desc()).withColumn("_part", F.spark_partition_id())
+    ends = by_score.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)).otherwise(F.lit(0))
+    parts = by_score.join(F.broadcast(ends)).withColumn("_part", -at).drop("_lo", "_hi")
     inside = Window.partitionBy("_part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({"_t": F.sum("yes").over(inside), "_f": F.sum("no").over(inside)})
     totals = parts.groupBy("_part").agg(F.sum("yes").alias("y"), F.sum("no").alias("n"))
-    # one row a range: as many as there are partitions
+    # one row a range, RANGES + 1 at most
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_part", F.coalesce(F.sum("y").over(before), F.lit(0)).alias("y0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    return local.join(starts, "_part").select("score", "yes", "no", (F.col("_t") + F.col("y0")).alias("tp"), (F.col("_f") + F.col("n0")).alias("fp"))
+    return local.join(F.broadcast(starts), "_part").select("score", "yes", "no", (F.col("_t") + F.col("y0")).alias("tp"), (F.col("_f") + F.col("n0")).alias("fp"))
 
 
 def _by_score(rows: DataFrame) -> DataFrame:
