@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 #: Maximal runs of letters and digits.
 WORDS = re.compile(r"[^\W_]+")
 #: Masks over 13 words; 0 is an ignored position. With no substitution any one finds
-#: every hit; together they find each window with one substitution and most with two.
-MASKS = ("1101101110111", "1011110011011")
+#: every hit. Each position is ignored by one of the four, so together they find every
+#: window with one substitution, and those with more if one mask ignores them all.
+MASKS = ("1011101110111", "1101110111011", "1110111011101", "0111011101110")
 #: Most words of an evaluation block; about 30 MB in a worker.
 BLOCK_WORDS = 1_000_000
 #: Distinct pieces of text kept in a worker.

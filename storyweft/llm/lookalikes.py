@@ -76,7 +76,8 @@ def fold(c: Column) -> Column:
     one = {k: v for k, v in table.items() if len(v) == 1}
     gone = [k for k, v in table.items() if not v]
     source = "".join(map(chr, one)) + "".join(map(chr, gone))
-    ascii_only = c.rlike(r"^[\x21-\x7E]*( [\x21-\x7E]+)*$")
+    # looked for, not matched as a whole: a repeated group would recurse on long texts
+    ascii_only = ~c.rlike(r"[^\x20-\x7E]|  |^ | $")
     simple = c.rlike(_SIMPLE)
     folded = F.translate(c, source, "".join(one.values()))
     for cp in range(0xFB00, 0xFB07):

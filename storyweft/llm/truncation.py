@@ -38,6 +38,8 @@ _BLANKS = " \t\n\r\x0b\x0c "
 _BITS = 16
 #: Fewer words than this are never a limit: short texts differ too little in length.
 LEAST_WORDS = 20
+#: Open-ended texts a source must have before they can be its style.
+STYLE_TEXTS = 20
 _CLOSERS = ")]}\"'”’»›"
 
 
@@ -192,12 +194,16 @@ def _source_stats(texts: DataFrame) -> DataFrame:
     high = lambda c: F.percentile_approx(F.when(F.col("open"), F.col(c)), F.lit(0.95), F.lit(1000)).alias(c)
     top = sized.groupBy("source").agg(high("c"), high("w"), high("b"), F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("int")).alias("opens"))
     top = top.select("source", F.col("c").alias("chars"), F.col("w").alias("words"), F.col("b").alias("bytes"), "n", "opens")
-    at = lambda c, limit, slack: F.sum((F.col("open") & (F.abs(F.col(c) - F.col(limit)) <= slack)).cast("int"))
+    at = lambda c, limit, slack: F.sum((F.col("open") & F.col(c).between(F.col(limit) - slack, F.col(limit))).cast("int"))
     sums = sized.join(top, "source").groupBy("source", "chars", "words", "bytes", "n", "opens").agg(
         at("c", "chars", 1).alias("pc"), F.when(F.col("words") >= LEAST_WORDS, at("w", "words", 0)).otherwise(0).alias("pw"), at("b", "bytes", 2).alias("pb")
     )
-    piled = F.greatest("pc", "pw", "pb") >= F.greatest(F.lit(3), F.col("opens") * 0.3)
-    return sums.select("source", "chars", "words", "bytes", piled.alias("piled"), ((F.col("opens") >= F.col("n") * 0.3) & ~piled).alias("open_style"))
+    most = F.greatest("pc", "pw", "pb")
+    piled = most >= F.greatest(F.lit(3), F.col("opens") * 0.3)
+    # a style shows in many texts: a fair share without a pile, or nearly all of them and no pile of most
+    style = ((F.col("opens") >= F.col("n") * 0.3) & ~piled) | ((F.col("opens") >= F.col("n") * 0.8) & (most < F.col("opens") * 0.6))
+    style = style & (F.col("opens") >= STYLE_TEXTS)
+    return sums.select("source", "chars", "words", "bytes", (piled & ~style).alias("piled"), style.alias("open_style"))
 
 
 def score_truncation(records: DataFrame, key: str, text: str, source: str, sample_rows: int = 12_000, seed: int = 5) -> DataFrame:
@@ -205,7 +211,8 @@ def score_truncation(records: DataFrame, key: str, text: str, source: str, sampl
 
     NULL, empty and blank texts and NULL keys are left out. A NULL source is a source.
     ``sample_rows`` bounds the whole records that are cut for fitting. Without any
-    whole record nothing can be learned, and every score is 0.
+    whole record nothing can be learned, and every score is 0. A source whose texts
+    are all open-ended and all of nearly one length is taken to have a limit there.
     """
     spark = records.sparkSession
     work = Workspace(spark, "truncation")
