@@ -49,7 +49,7 @@ def measure(entries: DataFrame, now: str) -> DataFrame:
     """
     words = T.word_count(F.coalesce("lede", F.lit("")))
     e = entries.withColumn("_w", words).withColumn("_ts", F.try_to_timestamp("published"))
-    same = T.squeeze(F.col("title")) == F.rtrim(F.lit("."), T.squeeze(F.col("lede")))
+    same = T.squeeze(F.col("title")) == F.rtrim(T.squeeze(F.col("lede")), F.lit("."))
     clock = F.lit(now).cast("timestamp")
     base = e.groupBy("outlet").agg(
         F.count(F.lit(1)).alias("entries"), F.max("_w").alias("max_lede_words"), F.count_if(F.coalesce(same, F.lit(False))).alias("equal_title"),
