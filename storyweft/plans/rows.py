@@ -307,3 +307,46 @@ def session(spark, d):
     from ..streaming.ingest import sessions
 
     return sessions(table(spark, d, "events"), "ts", "1 day", "1 day", "user_id")
+
+
+@query("w03_gaps", """
+    SELECT event_id, date_diff('second', date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), date_trunc('second', ts)) AS gap FROM events""")
+def gaps(spark, d):
+    from pyspark.sql import Window
+
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").select("event_id", (F.unix_timestamp("ts") - F.unix_timestamp(before)).alias("gap"))
+
+
+@query("w15_first_of_group", "SELECT outlet, id FROM (SELECT outlet, id, row_number() OVER (PARTITION BY outlet ORDER BY published, id, fetched) AS r FROM items) WHERE r = 1")
+def first_of_group(spark, d):
+    return dedupe.first_by(table(spark, d, "items"), ["outlet"], [F.col("published"), F.col("id"), F.col("fetched")]).select("outlet", "id")
+
+
+@query("c10_pair_question", """
+    SELECT pair_id, '{"title":"' || x.outlet || '","other":"' || y.outlet || '"}' AS question FROM (SELECT DISTINCT a || '-' || b AS pair_id, a, b FROM pairs) p
+    JOIN (SELECT id, min(outlet) AS outlet FROM items GROUP BY id) x ON p.a = x.id JOIN (SELECT id, min(outlet) AS outlet FROM items GROUP BY id) y ON p.b = y.id""")
+def pair_question(spark, d):
+    i = table(spark, d, "items").groupBy("id").agg(F.min("outlet").alias("outlet"))
+    p = table(spark, d, "pairs").select("a", "b").distinct().withColumn("pair_id", F.concat("a", F.lit("-"), "b"))
+    j = p.join(i.select(F.col("id").alias("a"), F.col("outlet").alias("x")), "a").join(i.select(F.col("id").alias("b"), F.col("outlet").alias("y")), "b")
+    return j.select("pair_id", T.pair_question(F.col("x").alias("title"), F.col("y").alias("other")).alias("question"))
+
+
+@query("b13_stable_json", """SELECT '{"id":"' || id || '","outlet":"' || outlet || '","published":"' || published || '"}' AS json FROM items""")
+def stable_json(spark, d):
+    from ..sources.sinks import stable_json as as_json
+
+    return as_json(table(spark, d, "items").select("published", "outlet", "id"))
+
+
+@query("b14_best_run", """
+    SELECT date, event_id FROM (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY (event_type = 'error'), strftime(ts, '%Y-%m-%dT%H:%M:%S') || event_id DESC) AS r FROM events) WHERE r = 1""")
+def best_run(spark, d):
+    from ..sources.sinks import best_run as best
+
+    e = table(spark, d, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("date"), "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("duration_seconds"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("event_id").cast("string")).alias("finished_at"),
+    )
+    return best(e).select("date", "event_id")

@@ -151,3 +151,76 @@ def band_table(spark, d):
 
     done = table(spark, d, "judgments").select("pair_id").distinct().withColumn("done", F.lit(True))
     return scored(spark, d).join(done, "pair_id", "left").groupBy(V.band(F.col("score"), EDGES).alias("band")).agg(F.count("done").alias("labelled"), F.count(F.lit(1)).alias("pool"))
+
+
+@query("j20_lane", f"""WITH {LABELLED_SQL} SELECT pair_id, p FROM s WHERE p >= 0.5 AND p < 0.9 AND pair_id IN (SELECT pair_id FROM p WHERE outlet_a <> outlet_b)""")
+def lane(spark, d):
+    from ..operators.evals import lane as lane_of
+
+    return lane_of(labelled(spark, d).select("pair_id", "p"), scored(spark, d), 0.5, 0.9)
+
+
+@query("j21_chosen_pairs", f"""WITH {PAIRS_SQL} SELECT pair_id, score FROM p WHERE pair_id IN (SELECT pair_id FROM judgments WHERE backend = 'nightly') AND pair_id NOT IN (SELECT pair_id FROM judgments WHERE backend = 'api')""")
+def chosen_pairs(spark, d):
+    from ..operators.evals import chosen
+
+    j = table(spark, d, "judgments")
+    return chosen(j.where("backend = 'nightly'"), scored(spark, d), j.where("backend = 'api'")).select("pair_id", "score")
+
+
+_CASES = """
+    c AS (SELECT cluster_id AS case_id, bool_or(claim_id IS NOT NULL) AS found FROM quotes GROUP BY 1),
+    e AS (SELECT case_id, list_sort(list(DISTINCT k)) AS keys FROM (SELECT cluster_id AS case_id, claim_id || '|' || outlet AS k FROM quotes WHERE claim_id IS NOT NULL) GROUP BY 1),
+    p AS (SELECT case_id, list_sort(list(DISTINCT k)) AS keys FROM (SELECT q.cluster_id AS case_id, claim_id || '|' || i.outlet AS k FROM quotes q JOIN (SELECT id, min(outlet) AS outlet FROM items GROUP BY id) i ON i.id = q.item_id WHERE claim_id IS NOT NULL) GROUP BY 1),
+    q AS (SELECT cluster_id AS case_id, count(*) AS n, count(*) FILTER (item_id IN (SELECT id FROM items)) AS v FROM quotes GROUP BY 1),
+    s AS (SELECT c.case_id, found, coalesce(len(e.keys), 0) AS expected, coalesce(len(p.keys), 0) AS produced, coalesce(len(list_intersect(e.keys, p.keys)), 0) AS hit, n AS quotes, v AS quotes_valid
+      FROM c LEFT JOIN e USING (case_id) LEFT JOIN p USING (case_id) LEFT JOIN q USING (case_id))"""
+
+
+def _case_scores(spark, d):
+    from ..operators.evals import case_scores
+
+    q = table(spark, d, "quotes")
+    i = table(spark, d, "items").groupBy(F.col("id").alias("item_id")).agg(F.min("outlet").alias("_o"))
+    cases = q.groupBy(F.col("cluster_id").alias("case_id")).agg(F.bool_or(F.col("claim_id").isNotNull()).alias("found"))
+    claims = q.where("claim_id IS NOT NULL").select(F.col("cluster_id").alias("case_id"), F.col("claim_id").alias("kind"), "outlet", "item_id")
+    expected = claims.select("case_id", "kind", F.array("outlet").alias("outlets"))
+    produced = claims.join(i, "item_id").select("case_id", "kind", F.array("_o").alias("outlets"))
+    checked = q.join(i, "item_id", "left").select(F.col("cluster_id").alias("case_id"), F.when(F.col("_o").isNull(), "item unknown").alias("problem"))
+    return case_scores(cases, expected, produced, checked)
+
+
+@query("g17_case_scores", f"WITH {_CASES} SELECT case_id, found, expected, produced, hit, quotes, quotes_valid FROM s")
+def case_scores(spark, d):
+    return _case_scores(spark, d)
+
+
+@query("g16_eval_report", f"""WITH {_CASES} SELECT count(*) AS cases, count(*) FILTER (found) AS found, round(sum(quotes_valid) / sum(quotes), 6) AS quote_validity, round(sum(hit) / sum(produced), 6) AS precision, round(sum(hit) / sum(expected), 6) AS recall FROM s""")
+def eval_report(spark, d):
+    from ..operators.evals import report
+
+    return report(_case_scores(spark, d))
+
+
+@query("j19_batch_results", """
+    WITH b AS (SELECT DISTINCT cluster_id FROM quotes), n AS (SELECT cluster_id, CAST(count(DISTINCT item_id) AS INT) AS version FROM quotes WHERE claim_id IS NOT NULL GROUP BY 1),
+    s AS (SELECT cluster_id, CAST(count(DISTINCT item_id) AS INT) AS v FROM quotes WHERE claim_id <> 'c1' GROUP BY 1)
+    SELECT b.cluster_id, CASE WHEN version IS NULL THEN 'not pending' WHEN v IS NULL THEN 'not submitted' WHEN v <> version THEN 'another version' ELSE 'accept' END AS disposition FROM b LEFT JOIN n USING (cluster_id) LEFT JOIN s USING (cluster_id)""")
+def batch_results(spark, d):
+    from ..operators.evals import collect_batch
+
+    q = table(spark, d, "quotes")
+    size = lambda df, name: df.groupBy("cluster_id").agg(F.countDistinct("item_id").cast("int").alias(name))
+    return collect_batch(q.select("cluster_id").distinct(), size(q.where("claim_id IS NOT NULL"), "version"), size(q.where("claim_id <> 'c1'"), "cluster_version"))
+
+
+@query("g20_judgment_report", """
+    WITH k AS (SELECT DISTINCT a || '-' || b AS pair_id FROM pairs), x AS (SELECT CASE WHEN k.pair_id IS NULL THEN 'no such pair' WHEN same_story IS NULL THEN 'no answer' WHEN coalesce(trim(model), '') = '' THEN 'no model' WHEN reason IS NULL THEN 'reason too short or long' ELSE 'valid' END AS outcome
+      FROM judgments j LEFT JOIN k ON j.pair_id = k.pair_id) SELECT outcome, count(*) AS n FROM x GROUP BY 1""")
+def judgment_report(spark, d):
+    from ..operators.judging import checked_judgments
+    from .rows import BACKENDS
+
+    known = table(spark, d, "pairs").select(F.concat("a", F.lit("-"), "b").alias("pair_id"))
+    j = checked_judgments(table(spark, d, "judgments"), known, BACKENDS)
+    return j.groupBy(F.coalesce("problem", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

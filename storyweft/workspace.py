@@ -8,6 +8,8 @@ one (tests, a laptop) gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,11 +23,22 @@ def shared_root(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="storyweft-")
+        folder = tempfile.mkdtemp(prefix="storyweft-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_open: list[Workspace] = []
+
+
+def sweep() -> None:
+    """Delete the stages of all operators so far; what they returned can't be read after it."""
+    while _open:
+        _open.pop().close()
+
+
 class Workspace:
     """One folder of stages, removed by ``close``; a stage can be dropped earlier."""
 
@@ -33,6 +46,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _open.append(self)
 
     def path(self, name: str) -> str:
         self._n += 1
