@@ -17,9 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
+from .lookalikes import as_latin, fold
 
-#: Most differing characters of a title; share and number of those of a lede.
-TITLE_EDITS, LEDE_SHARE, LEDE_EDITS = 30, 0.2, 48
+#: Differing characters that are small edits: of a title, with the share of those of a lede.
+#: A title that hardly differs allows more in the lede than one that differs in words.
+EDITS = ((14, 0.35), (30, 0.2))
+#: Most differing characters of a lede.
+LEDE_EDITS = 60
+#: Characters without width, combining, full-width, ligatures, and letters with Latin look-alikes.
+_ODD = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300}-\x{36F}\x{FF01}-\x{FF60}\x{FB00}-\x{FB06}\x{370}-\x{3FF}\x{400}-\x{52F}]"
 
 
 def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
@@ -57,7 +63,10 @@ def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    plain = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{IsDigit}]+", " "))
+    # characters that only look different are no edits; few texts have any
+    odd = text.rlike(_ODD)
+    alike = F.when(odd, as_latin(fold(F.when(odd, text)))).otherwise(F.coalesce(text, F.lit("")))
+    plain = F.btrim(F.regexp_replace(F.lower(alike), r"[^\p{IsAlphabetic}\p{IsDigit}]+", " "))
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
@@ -68,6 +77,7 @@ def _records(rows: DataFrame, url: str) -> DataFrame:
         _words(F.col("title")).alias("t"), _words(F.col("lede")).alias("l"),
     )
     longest = F.slice(F.array_sort(F.transform("l", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
+    # one seed: behind a word put before the title, the second piece is the first of the other text
     heads = [F.slice("t", 1, 4), F.slice("t", 2, 4), F.slice("t", F.greatest(F.size("t") - 3, F.lit(1)), 4)]
     parts = [F.slice("l", 1, 5), F.slice("l", F.greatest(F.size("l") - 4, F.lit(1)), 5), longest]
     r = r.select(
@@ -76,7 +86,7 @@ def _records(rows: DataFrame, url: str) -> DataFrame:
         F.when(F.size("t") > 0, F.xxhash64(F.lit("content"), "outlet", "t", "l")).alias("content"),
         # a record without a lede is compared by its address and as a whole only
         ((F.size("t") >= 3) & (F.size("l") >= 3)).alias("long"),
-        *[F.xxhash64(F.lit(f"head{i}"), "outlet", h).alias(f"h{i}") for i, h in enumerate(heads)],
+        *[F.xxhash64(F.lit("head"), "outlet", h).alias(f"h{i}") for i, h in enumerate(heads)],
         *[F.xxhash64(F.lit(f"part{i}"), p).alias(f"p{i}") for i, p in enumerate(parts)],
         F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
     )
@@ -94,15 +104,14 @@ def _keys(records: DataFrame, *also: str) -> DataFrame:
 
 def _same_text(a: str, b: str) -> Column:
     """Title and lede equal up to small edits."""
-    edits = F.least(F.lit(LEDE_EDITS), F.ceil(F.greatest(F.length(f"{a}.lede"), F.length(f"{b}.lede")) * LEDE_SHARE).cast("int"))
     longest = F.greatest(F.length(f"{a}.lede"), F.length(f"{b}.lede"))
-    differ = F.abs(F.length(f"{a}.lede") - F.length(f"{b}.lede"))
-    return (
-        (F.levenshtein(f"{a}.title", f"{b}.title", TITLE_EDITS) >= 0)
-        & (differ <= edits)
-        & (F.levenshtein(f"{a}.lede", f"{b}.lede", LEDE_EDITS).between(0, edits))
-        & (longest > 0)
-    )
+    titles = F.levenshtein(f"{a}.title", f"{b}.title", max(t for t, _ in EDITS))
+    ledes = F.levenshtein(f"{a}.lede", f"{b}.lede", LEDE_EDITS)
+    near = F.abs(F.length(f"{a}.lede") - F.length(f"{b}.lede")) <= LEDE_EDITS
+    small = F.lit(False)
+    for title, share in EDITS:
+        small = small | (titles.between(0, title) & (ledes >= 0) & (ledes <= longest * share))
+    return (longest > 0) & near & small
 
 
 class ArticleHistory:

@@ -94,8 +94,9 @@ _NOT_LETTERS = r"[^\p{L}\p{M}]+"
 _FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
 
 
-def _as_latin(c: Column) -> Column:
-    return F.translate(c, CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
+def as_latin(c: Column) -> Column:
+    """Look-alike letters as Latin ones, wherever they stand."""
+    return F.when(c.rlike(_FOREIGN), F.translate(c, CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)).otherwise(c)
 
 
 def _as_cyrillic(c: Column) -> Column:
@@ -118,11 +119,11 @@ def one_form(folded: DataFrame, keys: list[str], text: str, work: Workspace) ->
     odd = work.stage(folded.where("odd").select(*keys, text, now.alias("_folded"), F.xxhash64(text).alias("_v")), "odd")
     words = F.regexp_extract_all("_folded", F.lit(f"({_LETTERS})"), F.lit(1))
     latin_words = F.size(F.filter(words, lambda w: w.rlike(r"\p{IsLatin}")))
-    own_words = F.size(F.filter(words, lambda w: _as_latin(w).rlike(_FOREIGN)))
+    own_words = F.size(F.filter(words, lambda w: as_latin(w).rlike(_FOREIGN)))
     pieces = odd.withColumn("_latin", latin_words >= own_words).select(
         *keys, "_v", "_latin", F.posexplode(F.regexp_extract_all("_folded", F.lit(_PIECES), F.lit(1))).alias("_pos", "piece")
     )
-    latin, cyrillic = _as_latin(F.col("piece")), _as_cyrillic(F.col("piece"))
+    latin, cyrillic = as_latin(F.col("piece")), _as_cyrillic(F.col("piece"))
     has_latin = F.col("piece").rlike(r"\p{IsLatin}")
     target = (
         # every foreign letter has a Latin twin: Latin is the script of the run, or of its value
