@@ -56,16 +56,27 @@ def separate_ids(made: DataFrame, taken: DataFrame, probes: int = 1000) -> DataF
     raise RuntimeError("no free cluster id")
 
 
-def update_clusters(items: DataFrame, links: DataFrame, clusters: DataFrame, members: DataFrame, min_outlets: int = 2) -> DataFrame:
-    """Clusters after new links: ``(cluster_id, version, status, anchor, anchor_published, superseded_by, item_ids, state)``.
-
-    ``clusters`` has id, version, status, anchor and anchor_published, ``members`` one
-    row ``(cluster_id, item_id, outlet, published)`` a stored item. Membership never
-    shrinks: stored members are linked before anything else. Of the clusters that one
-    component touches, the one with the earliest anchor lives on with a new version,
-    the others are superseded by it and keep their items. A cluster whose members stay
-    the same keeps its version. Components without a cluster become one if they have
-    enough outlets. Superseded clusters are never touched again and aren't returned.
+def _signature(members: DataFrame, key: str) -> DataFrame:
+    """Size of each group and two sums of its ids' hashes; groups of equal ids are equal in all three."""
+    h = F.xxhash64("item_id")
+    return members.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("h1"), F.sum(F.pmod(F.xxhash64(F.lit(1), "item_id"), F.lit(2**31))).alias("h2"))
+
+
+def update_clusters(items: DataFrame, links: DataFrame, clusters: DataFrame, members: DataFrame, min_outlets: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``(clusters, members)`` after new links.
+
+    The clusters are ``(cluster_id, version, status, anchor, anchor_published,
+    superseded_by, size, state)``, the members ``(cluster_id, item_id)``: one row an item,
+    never a list, since a cluster may grow large. Of the inputs, ``clusters`` has id,
+    version, status, anchor and anchor_published, ``members`` one row ``(cluster_id,
+    item_id, outlet, published)`` a stored item.
+
+    Membership never shrinks: stored members are linked before anything else. Of the
+    clusters that one component touches, the one with the earliest anchor lives on with
+    a new version, the others are superseded by it and keep their items. A cluster whose
+    members stay the same keeps its version. Components without a cluster become one if
+    they have enough outlets. Superseded clusters are never touched again and aren't
+    returned.
     """
     live = clusters.where(F.col("status") != "superseded")
     stored = members.join(live.select("cluster_id"), "cluster_id", "left_semi")
@@ -76,29 +87,30 @@ def update_clusters(items: DataFrame, links: DataFrame, clusters: DataFrame, mem
     known = known.groupBy("item_id").agg(F.min_by(F.struct("outlet", "published"), F.struct("_o", "published", "outlet")).alias("x")).select("item_id", "x.outlet", "x.published")
     grouped = known.join(components(stars.unionByName(links.select("u", "v")), known.select("item_id")), "item_id")
 
-    touched = stored.join(grouped.select("item_id", "component"), "item_id").select("component", "cluster_id").distinct()
+    touched = stored.select("cluster_id", "item_id").join(grouped.select("item_id", "component"), "item_id").select("component", "cluster_id").distinct()
     ranked = touched.join(live, "cluster_id").withColumn("_rank", F.row_number().over(Window.partitionBy("component").orderBy("anchor_published", "cluster_id")))
-    winners = ranked.where("_rank = 1").select("component", *[F.col(c) for c in ("cluster_id", "version", "status", "anchor", "anchor_published")])
+    winners = ranked.where("_rank = 1").select("component", "cluster_id", "version", "status", "anchor", "anchor_published")
     losers = ranked.where("_rank > 1").join(winners.select("component", F.col("cluster_id").alias("superseded_by")), "component")
-    # sorted lists of one cluster each; a cluster is bounded by its story
-    now = grouped.groupBy("component").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    before = stored.groupBy("cluster_id").agg(F.array_sort(F.collect_set("item_id")).alias("old_ids"))
+    now = _signature(grouped, "component")
+    before = _signature(stored.select("cluster_id", "item_id").distinct(), "cluster_id").select("cluster_id", F.col("size").alias("_size"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     merged = losers.select("component").distinct().withColumn("_merged", F.lit(True))
     kept = winners.join(now, "component").join(before, "cluster_id").join(merged, "component", "left")
-    changed = F.col("_merged").isNotNull() | (F.col("item_ids") != F.col("old_ids"))
-    shape = ["cluster_id", "version", "status", "anchor", "anchor_published", "superseded_by", "item_ids", "state"]
+    changed = F.col("_merged").isNotNull() | (F.col("size") != F.col("_size")) | (F.col("h1") != F.col("_h1")) | (F.col("h2") != F.col("_h2"))
+    none = F.lit(None).cast("string")
+    shape = ["cluster_id", "version", "status", "anchor", "anchor_published", "superseded_by", "size", "state"]
     kept = kept.select(
         "cluster_id", (F.col("version") + changed.cast("int")).alias("version"), F.when(changed, "pending").otherwise(F.col("status")).alias("status"),
-        "anchor", "anchor_published", F.lit(None).cast("string").alias("superseded_by"), "item_ids", F.when(changed, "changed").otherwise("same").alias("state"),
+        "anchor", "anchor_published", none.alias("superseded_by"), "size", F.when(changed, "changed").otherwise("same").alias("state"),
     )
     gone = losers.join(before, "cluster_id").select(
-        "cluster_id", "version", F.lit("superseded").alias("status"), "anchor", "anchor_published", "superseded_by", F.col("old_ids").alias("item_ids"), F.lit("superseded").alias("state")
+        "cluster_id", "version", F.lit("superseded").alias("status"), "anchor", "anchor_published", "superseded_by", F.col("_size").alias("size"), F.lit("superseded").alias("state")
     )
-    fresh = new_clusters(grouped.join(touched.select("component").distinct(), "component", "left_anti"), min_outlets)
-    fresh = separate_ids(fresh, clusters).join(now, "component").select(
-        "cluster_id", F.lit(1).alias("version"), F.lit("pending").alias("status"), "anchor", "anchor_published", F.lit(None).cast("string").alias("superseded_by"), "item_ids", F.lit("new").alias("state")
-    )
-    return kept.select(shape).unionByName(gone.select(shape)).unionByName(fresh.select(shape))
+    made = separate_ids(new_clusters(grouped.join(touched.select("component").distinct(), "component", "left_anti"), min_outlets), clusters)
+    fresh = made.select("cluster_id", F.lit(1).alias("version"), F.lit("pending").alias("status"), "anchor", "anchor_published", none.alias("superseded_by"), "size", F.lit("new").alias("state"))
+    owner = winners.select("component", "cluster_id").unionByName(made.select("component", "cluster_id"))
+    after = grouped.select("component", "item_id").join(owner, "component").select("cluster_id", "item_id")
+    left = stored.select("cluster_id", "item_id").distinct().join(losers.select("cluster_id"), "cluster_id", "left_semi")
+    return kept.select(shape).unionByName(gone.select(shape)).unionByName(fresh.select(shape)), after.unionByName(left)
 
 
 def pending_queue(clusters: DataFrame, limit: int | None = None) -> DataFrame:

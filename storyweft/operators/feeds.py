@@ -57,8 +57,12 @@ def measure(entries: DataFrame, now: str) -> DataFrame:
         F.round((F.unix_timestamp(clock) - F.unix_timestamp(F.max("_ts"))) / 3600, 6).alias("age_hours"), F.count("_ts").alias("_dated"),
     )
     tracked = e.select("outlet", F.explode(U.tracking_params(F.col("link"))).alias("k")).groupBy("outlet").agg(F.countDistinct("k").alias("tracking"))
-    before = F.lag("_ts").over(Window.partitionBy("outlet").orderBy("_ts"))
-    gaps = e.where(F.col("_ts").isNotNull()).withColumn("_gap", (F.unix_timestamp("_ts") - F.unix_timestamp(before)) / 3600)
+    # day by day, so that an outlet is not one task: the first entry of a day follows the last of the day before that has one
+    dated = e.where(F.col("_ts").isNotNull()).select("outlet", "_ts", F.to_date("_ts").alias("_day"))
+    days = dated.groupBy("outlet", "_day").agg(F.max("_ts").alias("_max"))
+    days = days.withColumn("_prev", F.lag("_max").over(Window.partitionBy("outlet").orderBy("_day"))).drop("_max")
+    before = F.coalesce(F.lag("_ts").over(Window.partitionBy("outlet", "_day").orderBy("_ts")), F.col("_prev"))
+    gaps = dated.join(days, ["outlet", "_day"]).withColumn("_gap", (F.unix_timestamp("_ts") - F.unix_timestamp(before)) / 3600)
     medians = _upper_median(e, "outlet", "_w", "median_lede_words").join(_upper_median(gaps, "outlet", "_gap", "_g"), "outlet", "left")
     return (
         base.join(medians, "outlet", "left").join(tracked, "outlet", "left")

@@ -13,10 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ranking import numbered
 
 #: Vectors of a block: two blocks of 64 doubles are 2 MB, their product 32 MB.
 BLOCK_ROWS = 2000
@@ -94,5 +95,5 @@ def with_items(pairs: DataFrame, items: DataFrame, columns: list[str]) -> DataFr
 
 
 def rank_pairs(pairs: DataFrame, by: str = "outlet_a") -> DataFrame:
-    """Rank of each pair of a group by descending score."""
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc(), "a", "b")))
+    """Rank of each pair of a group by descending score, then by its ids."""
+    return numbered(pairs.withColumn("_tie", F.concat("a", F.lit(" "), "b")), by, "score", "_tie", "rank").drop("_tie")

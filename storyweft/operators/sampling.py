@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions import vectors as V
+from .ranking import numbered
 
 
 def label_sample(pairs: DataFrame, already: DataFrame, floor: float, width: float, cap: int) -> DataFrame:
@@ -27,7 +28,7 @@ def labelling_order(pairs: DataFrame, buckets: int = 8) -> DataFrame:
     """``pairs`` with ``turn`` and ``bucket``: round-robin over score buckets, high scores first."""
     ends = pairs.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     b = pairs.join(F.broadcast(ends)).withColumn("bucket", V.spread_bucket(F.col("score"), F.col("_lo"), F.col("_hi"), buckets)).drop("_lo", "_hi")
-    return b.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("score").desc(), "pair_id")))
+    return numbered(b, "bucket", "score", "pair_id", "turn")
 
 
 def allocate(bands: DataFrame, budget: int) -> DataFrame:
@@ -43,8 +44,7 @@ def allocate(bands: DataFrame, budget: int) -> DataFrame:
 
 def stride(rows: DataFrame, take: DataFrame) -> DataFrame:
     """``take`` rows of each band, evenly spread over its scores."""
-    w = Window.partitionBy("band")
-    ranked = rows.withColumn("rn", F.row_number().over(w.orderBy("score", "pair_id"))).withColumn("n", F.count(F.lit(1)).over(w)).join(take, "band")
+    ranked = numbered(rows, "band", "score", "pair_id", "rn", descending=False, count="n").join(take, "band")
     # row rn-1 is chosen if it is floor(i * n / take) for some i: the next such i is the ceiling
     i = F.ceil((F.col("rn") - 1) * F.col("take") / F.col("n"))
     return ranked.where((i < F.col("take")) & (F.floor(i * F.col("n") / F.col("take")) == F.col("rn") - 1)).drop("rn", "n", "take")

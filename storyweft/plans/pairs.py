@@ -236,13 +236,19 @@ def stored_clusters(spark, d):
 @query("f03_updated_clusters")
 def updated(spark, d):
     stored, members = stored_clusters(spark, d)
-    return clusters.update_clusters(plain_items(spark, d), known_links(spark, d), stored, members)
+    return clusters.update_clusters(plain_items(spark, d), known_links(spark, d), stored, members)[0]
+
+
+@query("f03_updated_members")
+def updated_members(spark, d):
+    stored, members = stored_clusters(spark, d)
+    return clusters.update_clusters(plain_items(spark, d), known_links(spark, d), stored, members)[1]
 
 
 @query("f06_pending_queue")
 def pending(spark, d):
     stored, members = stored_clusters(spark, d)
-    after = clusters.update_clusters(plain_items(spark, d), known_links(spark, d), stored, members)
+    after, _ = clusters.update_clusters(plain_items(spark, d), known_links(spark, d), stored, members)
     return clusters.pending_queue(after, 25).select("cluster_id", "anchor_published", "version")
 
 

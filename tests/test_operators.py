@@ -74,23 +74,32 @@ def test_new_and_dropped_clusters(topics, scored):
 def test_state_machine(spark, topics, scored):
     none_c = spark.createDataFrame([], "cluster_id string, version int, status string, anchor string, anchor_published string")
     none_m = spark.createDataFrame([], "cluster_id string, item_id string, outlet string, published string")
-    first = clusters.update_clusters(topics, links_of(scored), none_c, none_m).cache()
-    assert first.where("state = 'new'").count() == 3
+    first, first_members = clusters.update_clusters(topics, links_of(scored), none_c, none_m)
+    assert first.cache().where("state = 'new'").count() == 3
     stored = first.select("cluster_id", "version", F.lit("analyzed").alias("status"), "anchor", "anchor_published")
-    members = first.select("cluster_id", F.explode("item_ids").alias("item_id")).join(topics.select("item_id", "outlet", "published"), "item_id")
-    again = clusters.update_clusters(topics, links_of(scored), stored, members)
+    members = first_members.join(topics.select("item_id", "outlet", "published"), "item_id").cache()
+
+    def after(items, links):
+        rows, own = clusters.update_clusters(items, links, stored, members)
+        ids = {}
+        for r in own.collect():
+            ids.setdefault(r.cluster_id, []).append(r.item_id)
+        return rows, {r.anchor: (r, sorted(ids[r.cluster_id])) for r in rows.collect()}
+
+    again = clusters.update_clusters(topics, links_of(scored), stored, members)[0]
     assert {(r.state, r.version, r.status) for r in again.collect()} == {("same", 1, "analyzed")}
     # membership never shrinks: without any link the stored clusters stay as they are
-    alone = clusters.update_clusters(topics.limit(0), links_of(scored).limit(0), stored, members)
+    alone = clusters.update_clusters(topics.limit(0), links_of(scored).limit(0), stored, members)[0]
     assert {(r.state, r.version) for r in alone.collect()} == {("same", 1)}
     # a bridge joins two stories: the earlier anchor lives on, the other is superseded and keeps its items
     bridge = links_of(scored).unionByName(spark.createDataFrame([("a0", "b0")], "u string, v string"))
-    merged = {r.anchor: r for r in clusters.update_clusters(topics, bridge, stored, members).collect()}
-    assert merged["a0"].version == 2 and merged["a0"].status == "pending" and len(merged["a0"].item_ids) == 7
-    assert merged["b0"].status == "superseded" and merged["b0"].superseded_by == merged["a0"].cluster_id and len(merged["b0"].item_ids) == 3
+    _, merged = after(topics, bridge)
+    (a, a_ids), (b, b_ids) = merged["a0"], merged["b0"]
+    assert a.version == 2 and a.status == "pending" and len(a_ids) == a["size"] == 7
+    assert b.status == "superseded" and b.superseded_by == a.cluster_id and b_ids == ["b0", "b1", "b2"]
     late = links_of(scored).unionByName(spark.createDataFrame([("c0", "e0")], "u string, v string"))
-    grown = {r.anchor: r for r in clusters.update_clusters(topics, late, stored, members).collect()}
-    assert grown["c0"].version == 2 and grown["c0"].item_ids == ["c0", "c1", "e0"]
+    c, c_ids = after(topics, late)[1]["c0"]
+    assert c.version == 2 and c_ids == ["c0", "c1", "e0"]
 
 
 def test_colliding_ids(spark):
@@ -156,6 +165,18 @@ def test_allocation_is_greedy(spark, seed):
     assert got == {b: n for b, n in take.items() if n}
 
 
+def test_numbering(spark):
+    from storyweft.operators.ranking import numbered
+
+    rng = random.Random(2)
+    rows = [(rng.choice("xy"), rng.choice([0.5, 0.5004, 0.9, 0.1]), f"{rng.randrange(10**6):06}") for _ in range(400)]
+    for descending in (True, False):
+        got = {(r.g, r.t): (r.k, r.n) for r in numbered(spark.createDataFrame(rows, "g string, s double, t string"), "g", "s", "t", "k", descending, count="n").collect()}
+        for g in "xy":
+            own = sorted([r for r in rows if r[0] == g], key=lambda r: (-r[1] if descending else r[1], r[2]))
+            assert all(got[(g, r[2])] == (i, len(own)) for i, r in enumerate(own, 1))
+
+
 def test_quotes_and_analyses(spark):
     items = spark.createDataFrame([("i", "o", "A title  here", "A lede."), ("n", "o", None, None)], "id string, outlet string, title string, lede string")
     q = spark.createDataFrame([(1, "i", "o", "title here"), (2, "i", "x", "title"), (3, "z", "o", "t"), (4, "i", "o", "here A lede"), (5, "i", "o", "none"), (6, "i", "o", None), (7, "n", "o", "x")], "k int, item_id string, outlet string, quote string")
