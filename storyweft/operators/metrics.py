@@ -90,12 +90,15 @@ def separation(rows: DataFrame) -> DataFrame:
 
 
 def calibration(rows: DataFrame, edges: list[float], p: str = "p") -> DataFrame:
-    """``(bin, n, mean_p, yes_rate)`` of bins [edge, next edge); empty bins are left out."""
+    """``(bin, n, mean_p, yes_rate)`` of bins [edge, next edge); empty bins are left out.
+
+    A billionth is added to the mean, so that halves round up whatever the order of the sum.
+    """
     b = F.when(F.col(p) < edges[1], F.lit(0))
     for i in range(1, len(edges) - 1):
         b = b.when(F.col(p) < edges[i + 1], F.lit(i))
     l = _labelled(rows, p).withColumn("bin", b).where(F.col("bin").isNotNull())
-    return l.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col("same_story").cast("int")), 6).alias("yes_rate"))
+    return l.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p) + 1e-9, 6).alias("mean_p"), F.round(F.avg(F.col("same_story").cast("int")), 6).alias("yes_rate"))
 
 
 def triage(rows: DataFrame, no: float, yes: float, p: str = "p") -> DataFrame:

@@ -61,7 +61,7 @@ def separation(spark, d):
 
 
 @query("g08_calibration", f"""WITH {LABELLED_SQL}, b AS (SELECT *, CASE WHEN p < 0.1 THEN 0 WHEN p < 0.3 THEN 1 WHEN p < 0.5 THEN 2 WHEN p < 0.7 THEN 3 WHEN p < 0.9 THEN 4 WHEN p < 1.0001 THEN 5 END AS bin FROM s)
-    SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(same_story AS INT)), 6) AS yes_rate FROM b GROUP BY bin""")
+    SELECT bin, count(*) AS n, round(avg(p) + 1e-9, 6) AS mean_p, round(avg(CAST(same_story AS INT)), 6) AS yes_rate FROM b GROUP BY bin""")
 def calibration(spark, d):
     return metrics.calibration(labelled(spark, d), BINS)
 
