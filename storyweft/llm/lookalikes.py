@@ -76,8 +76,9 @@ def fold(c: Column) -> Column:
     one = {k: v for k, v in table.items() if len(v) == 1}
     gone = [k for k, v in table.items() if not v]
     source = "".join(map(chr, one)) + "".join(map(chr, gone))
-    # looked for, not matched as a whole: a repeated group would recurse on long texts
-    ascii_only = ~c.rlike(r"[^\x20-\x7E]|  |^ | $")
+    # as many bytes as characters: ASCII; most values end here without a pattern over all of them
+    tidy = ~(F.contains(c, F.lit("  ")) | c.startswith(" ") | c.endswith(" "))
+    ascii_only = (F.octet_length(c) == F.length(c)) & tidy & ~c.rlike(r"[\x00-\x1F\x7F]")
     simple = c.rlike(_SIMPLE)
     folded = F.translate(c, source, "".join(one.values()))
     for cp in range(0xFB00, 0xFB07):
