@@ -64,7 +64,7 @@ def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
 
 def _words(text: Column) -> Column:
     # characters that only look different are no edits; few texts have any
-    odd = text.rlike(_ODD)
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(_ODD)
     alike = F.when(odd, as_latin(fold(F.when(odd, text)))).otherwise(F.coalesce(text, F.lit("")))
     plain = F.btrim(F.regexp_replace(F.lower(alike), r"[^\p{IsAlphabetic}\p{IsDigit}]+", " "))
     return F.filter(F.split(plain, " "), lambda w: w != "")
