@@ -1,8 +1,9 @@
 """Problem 2: new batches against everything accepted before.
 
 What is known is kept as hashes in a bucketed table in the shared folder: the
-name of the article in its address, the normalised content, and pieces of title
-and lede together. A batch is hashed, joined bucket by bucket (the table is not
+name of the article in its address, the normalised content, the whole title, the
+whole lede, and parts of each side by side. A batch looks for its runs of words at
+every place, so an unchanged part of either is enough to be compared. A batch is hashed, joined bucket by bucket (the table is not
 shuffled, and its texts are not read), and its own hashes are appended. A full
 copy or a known address needs only that the hash is there. Entries that share a
 piece are compared with the text they share it with, which lies in a second
@@ -24,6 +25,9 @@ from .lookalikes import as_latin, fold
 EDITS = ((14, 0.35), (30, 0.2))
 #: Most differing characters of a lede.
 LEDE_EDITS = 60
+#: Lengths in words of the parts that titles and ledes are known by. Each changed word spoils one part at most, so
+#: records are compared unless a title has as many changed words as parts and the lede has too.
+TITLE_RUNS, LEDE_RUNS = (2, 3), (2, 3, 5)
 #: Characters without width, combining, full-width, ligatures, and letters with Latin look-alikes.
 _ODD = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300}-\x{36F}\x{FF01}-\x{FF60}\x{FB00}-\x{FB06}\x{370}-\x{3FF}\x{400}-\x{52F}]"
 
@@ -70,36 +74,60 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _records(rows: DataFrame, url: str) -> DataFrame:
-    """Hashes and normalised text of each row; its columns ``batch_no``, ``row`` and ``linked`` are kept."""
+def _records(rows: DataFrame, url: str, asking: bool = True) -> DataFrame:
+    """Hashes and normalised text of each row; its columns ``batch_no``, ``row`` and ``linked`` are kept.
+
+    Records that are only known, and not ``asking``, need no runs at every word.
+    """
     r = with_article_name(rows, "outlet", url).select(
         "batch_no", "row", (F.btrim(url) != "").alias("linked"), "outlet", "name",
         _words(F.col("title")).alias("t"), _words(F.col("lede")).alias("l"),
     )
-    longest = F.slice(F.array_sort(F.transform("l", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
-    # one seed: behind a word put before the title, the second piece is the first of the other text
-    heads = [F.slice("t", 1, 4), F.slice("t", 2, 4), F.slice("t", F.greatest(F.size("t") - 3, F.lit(1)), 4)]
-    parts = [F.slice("l", 1, 5), F.slice("l", F.greatest(F.size("l") - 4, F.lit(1)), 5), longest]
     r = r.select(
         "batch_no", "row", "linked",
         F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
         F.when(F.size("t") > 0, F.xxhash64(F.lit("content"), "outlet", "t", "l")).alias("content"),
         # a record without a lede is compared by its address and as a whole only
         ((F.size("t") >= 3) & (F.size("l") >= 3)).alias("long"),
-        *[F.xxhash64(F.lit("head"), "outlet", h).alias(f"h{i}") for i, h in enumerate(heads)],
-        *[F.xxhash64(F.lit(f"part{i}"), p).alias(f"p{i}") for i, p in enumerate(parts)],
-        F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
+        "outlet", "t", "l", F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
     )
-    pieces = F.array(*[F.xxhash64(f"h{i}", f"p{j}") for i in range(3) for j in range(3)])
-    return r.select("batch_no", "row", "linked", "name_hash", "content", F.when(F.col("long"), pieces).alias("pieces"), "title", "lede")
+    either = lambda f: F.when(F.col("long"), F.array_distinct(F.concat(f("title", "t", TITLE_RUNS), f("lede", "l", LEDE_RUNS))))
+    return r.select("batch_no", "row", "linked", "name_hash", "content", either(_kept).alias("kept"), *([either(_asked).alias("asked")] if asking else []), "title", "lede")
+
+
+def _runs(kind: str, words: str, length: int, step: int) -> Column:
+    """Hashes of the runs of ``length`` words that begin at every ``step``-th word."""
+    last = F.size(words) - length + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.lit(f"{kind}{length}"), "outlet", F.slice(words, i, length)))
+
+
+def _whole(kind: str, words: str) -> Column:
+    return F.when(F.size(words) > 0, F.array(F.xxhash64(F.lit(kind), "outlet", words))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _kept(kind: str, words: str, runs: tuple[int, ...]) -> Column:
+    """Pieces a record is known by: the whole, and parts side by side that cover it but for a rest.
+
+    The parts are of the greatest length that gives two of them.
+    """
+    parts = F.array().cast("array<bigint>")
+    for n in sorted(runs):
+        parts = F.when(F.size(words) >= 2 * n, _runs(kind, words, n, n)).otherwise(parts)
+    return F.concat(_whole(kind, words), parts)
+
+
+def _asked(kind: str, words: str, runs: tuple[int, ...]) -> Column:
+    """Pieces a record looks for: the whole, and the runs at every word, so that a part is met wherever edits have moved it."""
+    return F.concat(_whole(kind, words), *[_runs(kind, words, n, 1) for n in runs])
 
 
-def _keys(records: DataFrame, *also: str) -> DataFrame:
-    """One row a hash: ``h``, and for pieces the content hash ``c`` they belong to."""
+def _keys(records: DataFrame, pieces: str, *also: str) -> DataFrame:
+    """One row a hash: ``h``, and for those in ``pieces`` the content hash ``c`` they belong to."""
     key = lambda h, c: F.struct(h.alias("h"), c.cast("long").alias("c"))
     exact = F.array(key(F.col("name_hash"), F.lit(None)), key(F.col("content"), F.lit(None)))
-    pieces = F.coalesce(F.transform("pieces", lambda p: key(p, F.col("content"))), F.array().cast("array<struct<h:bigint,c:bigint>>"))
-    return records.select(*also, "content", F.explode(F.concat(exact, pieces)).alias("k")).where(F.col("k.h").isNotNull()).select(*also, "content", "k.h", "k.c")
+    near = F.coalesce(F.transform(pieces, lambda p: key(p, F.col("content"))), F.array().cast("array<struct<h:bigint,c:bigint>>"))
+    return records.select(*also, "content", F.explode(F.concat(exact, near)).alias("k")).where(F.col("k.h").isNotNull()).select(*also, "content", "k.h", "k.c")
 
 
 def _same_text(a: str, b: str) -> Column:
@@ -135,17 +163,18 @@ class ArticleHistory:
     def append(self, records: DataFrame) -> None:
         """Add the hashes of a stage of records, each once."""
         text = (F.col("h") == F.col("content")) & F.col("c").isNull()
-        keys = _keys(records, "title", "lede").select("h", "c", F.when(text, F.col("title")).alias("title"), F.when(text, F.col("lede")).alias("lede"))
+        keys = _keys(records, "kept", "title", "lede").select("h", "c", F.when(text, F.col("title")).alias("title"), F.when(text, F.col("lede")).alias("lede"))
         self._write(keys.repartition(self.buckets, "h").dropDuplicates(["h", "c"]))
 
     def check(self, records: DataFrame) -> DataFrame:
         """``row, linked`` of the records that are known, or that repeat a record of the batch with a smaller ``row``."""
         known = self.spark.table(self.table)
-        asked = _keys(records, "row", "linked").drop("content")
+        asked = _keys(records, "asked", "row", "linked").drop("content")
+        own_keys = _keys(records, "kept", "row").drop("content")
         # the batch is the small side and is built; the table is read where it lies, without its texts
         # hashes of different kinds never meet: each kind has its own seed
         old = known.select("h", F.col("c").alias("other")).join(asked.hint("shuffle_hash"), "h")
-        earlier = asked.groupBy("h", F.col("c").alias("other")).agg(F.min("row").alias("first"))
+        earlier = own_keys.groupBy("h", F.col("c").alias("other")).agg(F.min("row").alias("first"))
         new = asked.join(earlier, "h").where(F.col("first") < F.col("row"))
         hits = self.work.stage(old.select("row", "linked", "other").unionByName(new.select("row", "linked", "other")).distinct(), "hits")
         exact = hits.where(F.col("other").isNull()).select("row", "linked")
@@ -176,7 +205,7 @@ def repeated_entries(items: DataFrame, incoming: DataFrame, buckets: int | None
     spark = items.sparkSession
     history = ArticleHistory(spark, buckets)
     work = history.work
-    old = work.stage(_records(items.select(F.lit(0).alias("batch_no"), F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url"), "items")
+    old = work.stage(_records(items.select(F.lit(0).alias("batch_no"), F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url", asking=False), "items")
     history.append(old)
     work.drop(old)
     rows = incoming.where(F.col("entry_id").isNotNull() & F.col("batch_no").isNotNull())

@@ -66,3 +66,19 @@ def test_empty(spark):
 def test_hot_copies(spark):
     e = [(n, 1 + n % 3, "o", f"https://x.example/a/{3000000 + n}/t", "The very same news of all", LEDE) for n in range(1, 200)]
     assert run(spark, [], e) == set(range(1, 200)) - {3}
+
+
+OTHER = "https://x.example/a/2000001/t"
+EIGHT = "Council votes to repair harbour wall before winter"
+
+
+@pytest.mark.parametrize("old, new, lede", [
+    ("Council to repair the harbour wall", "Council to rebuild the harbour wall", LEDE),  # a middle word
+    (EIGHT, "Council votes to mend harbour wall before spring", LEDE),  # two words of eight
+    (EIGHT, "Breaking news: " + EIGHT + " | Outlet", LEDE),  # words before and after
+    (EIGHT, EIGHT, LEDE.replace("council", "board").replace("winter", "autumn").replace("harbour", "harbor")),  # each of the lede's old places
+    (EIGHT, EIGHT.replace("repair", "mend"), LEDE.replace("council", "board").replace("winter", "autumn").replace("harbour", "harbor")),
+])
+def test_edits_at_any_place(spark, old, new, lede):
+    assert run(spark, [("i", "o", "https://x.example/a/1000001/t", old, LEDE)], [(1, 1, "o", OTHER, new, lede)]) == {1}
+    assert run(spark, [], [(1, 1, "o", "https://x.example/a/1000001/t", old, LEDE), (2, 1, "o", OTHER, new, lede)]) == {2}  # within a batch
