@@ -62,6 +62,11 @@ def cosine_join(spark, d):
     return pairs.score_pairs_sql(pairs.comparable(v), 0.8)
 
 
+@query("j01_cosine_join_all", COSINE_SQL)
+def cosine_join_all(spark, d):
+    return pairs.score_pairs_sql(pairs.comparable(table(spark, d, "vectors")), 0.8)
+
+
 @query("d06_route", f"""WITH {PAIRS_SQL}
     SELECT pair_id, score, score >= 0.80 AS linked, score >= 0.57 AND score < 0.80 AS borderline, score >= 0.30 AS sample FROM p""")
 def route(spark, d):

@@ -24,3 +24,8 @@ def test_against_sql(spark, con, name):
 def test_without_sql(spark, name):
     df = catalog.queries()[name](spark, oracle.FOLDER)
     assert df.columns and df.count() >= 0
+
+
+def test_a_join_covers_every_model(spark):
+    rows = {n: {tuple(r) for r in catalog.queries()[n](spark, oracle.FOLDER).select("model_id", "a", "b").collect()} for n in ("j01_cosine_join_all", "j01_cosine_pairs")}
+    assert rows["j01_cosine_join_all"] == rows["j01_cosine_pairs"] and len({m for m, _, _ in rows["j01_cosine_join_all"]}) == 2
