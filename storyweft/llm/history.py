@@ -27,7 +27,9 @@ EDITS = ((14, 0.35), (30, 0.2))
 LEDE_EDITS = 60
 #: Lengths in words of the parts that titles and ledes are known by. Each changed word spoils one part at most, so
 #: records are compared unless a title has as many changed words as parts and the lede has too.
-TITLE_RUNS, LEDE_RUNS = (2, 3), (2, 3, 5)
+TITLE_RUNS, LEDE_RUNS = (1, 2, 3), (2, 3, 5)
+#: Letters of scripts written without blanks; each is a word of its own in the parts.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Characters without width, combining, full-width, ligatures, and letters with Latin look-alikes.
 _ODD = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300}-\x{36F}\x{FF01}-\x{FF60}\x{FB00}-\x{FB06}\x{370}-\x{3FF}\x{400}-\x{52F}]"
 
@@ -86,15 +88,19 @@ def _records(rows: DataFrame, url: str, asking: bool = True) -> DataFrame:
     r = r.select(
         "batch_no", "row", "linked",
         F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
-        F.when(F.size("t") > 0, F.xxhash64(F.lit("content"), "outlet", "t", "l")).alias("content"),
-        # a record without a lede is compared by its address and as a whole only
-        ((F.size("t") >= 3) & (F.size("l") >= 3)).alias("long"),
-        "outlet", "t", "l", F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
+        F.when(F.size("t") + F.size("l") > 0, F.xxhash64(F.lit("content"), "outlet", "t", "l")).alias("content"),
+        "outlet", _spaced("t").alias("t"), _spaced("l").alias("l"), F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
     )
-    either = lambda f: F.when(F.col("long"), F.array_distinct(F.concat(f("title", "t", TITLE_RUNS), f("lede", "l", LEDE_RUNS))))
+    either = lambda f: F.array_distinct(F.concat(f("title", "t", TITLE_RUNS), f("lede", "l", LEDE_RUNS)))
     return r.select("batch_no", "row", "linked", "name_hash", "content", either(_kept).alias("kept"), *([either(_asked).alias("asked")] if asking else []), "title", "lede")
 
 
+def _spaced(words: str) -> Column:
+    text = F.array_join(words, " ")
+    unspaced = (F.octet_length(text) != F.length(text)) & text.rlike(_UNSPACED)
+    return F.when(unspaced, F.filter(F.split(F.regexp_replace(text, _UNSPACED, " $1 "), " "), lambda w: w != "")).otherwise(F.col(words))
+
+
 def _runs(kind: str, words: str, length: int, step: int) -> Column:
     """Hashes of the runs of ``length`` words that begin at every ``step``-th word."""
     last = F.size(words) - length + 1
@@ -131,7 +137,7 @@ def _keys(records: DataFrame, pieces: str, *also: str) -> DataFrame:
 
 
 def _same_text(a: str, b: str) -> Column:
-    """Title and lede equal up to small edits."""
+    """Title and lede equal up to small edits; the share holds for the title where either text is too short to tell."""
     longest = F.greatest(F.length(f"{a}.lede"), F.length(f"{b}.lede"))
     titles = F.levenshtein(f"{a}.title", f"{b}.title", max(t for t, _ in EDITS))
     ledes = F.levenshtein(f"{a}.lede", f"{b}.lede", LEDE_EDITS)
@@ -139,7 +145,10 @@ def _same_text(a: str, b: str) -> Column:
     small = F.lit(False)
     for title, share in EDITS:
         small = small | (titles.between(0, title) & (ledes >= 0) & (ledes <= longest * share))
-    return (longest > 0) & near & small
+    size = lambda c: F.size(F.split(c, " "))
+    bare = F.least(*[size(f"{x}.{c}") for x in (a, b) for c in ("title", "lede")]) < 3
+    few = titles.between(0, EDITS[0][0]) & (titles <= F.greatest(F.length(f"{a}.title"), F.length(f"{b}.title")) * EDITS[1][1])
+    return near & small & (~bare | few)
 
 
 class ArticleHistory:

@@ -82,3 +82,15 @@ EIGHT = "Council votes to repair harbour wall before winter"
 def test_edits_at_any_place(spark, old, new, lede):
     assert run(spark, [("i", "o", "https://x.example/a/1000001/t", old, LEDE)], [(1, 1, "o", OTHER, new, lede)]) == {1}
     assert run(spark, [], [(1, 1, "o", "https://x.example/a/1000001/t", old, LEDE), (2, 1, "o", OTHER, new, lede)]) == {2}  # within a batch
+
+
+@pytest.mark.parametrize("old, new, lede, same", [
+    ("Council to repair the harbour wall", "Council to repair the harbor wall", None, True),
+    ("Council to repair the harbour wall", "Council sells the old town hall", "", False),
+    ("Harbour wall repaired", "Harbour wall repaird", None, True),
+    ("Harbour repaired", "Harbour sold", "Read more", False),
+    ("市議会は港の防波堤を修理することを決めた", "市議会が港の防波堤を修理することを決めた", None, True),
+    ("市議会は港の防波堤を修理することを決めた", "町の図書館は来年の春に新しく開館する予定", None, False),
+])
+def test_short_or_missing_ledes(spark, old, new, lede, same):
+    assert run(spark, [("i", "o", "https://x.example/a/1000001/t", old, lede)], [(1, 1, "o", OTHER, new, lede)]) == ({1} if same else set())
