@@ -2,8 +2,9 @@
 
 A stage is a table written to the folder that every executor sees, so that the
 loss of an executor costs a task retry and never the whole loop. The folder is
-the one the session names in ``spark.checkpoint.dir``; only a session without
-one (tests, a laptop) gets a folder of its own.
+the one the session names in ``spark.checkpoint.dir``. A session without one gets a
+folder of its own only where all of Spark is one process (``local[n]``); on a cluster
+it is an error, since executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ def shared_root(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="storyweft-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         root = "file://" + folder
@@ -52,10 +56,11 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:04d}-{name}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as a scan of what was written."""
+    def stage(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        """Write ``df``, in folders ``by`` columns if given, and return it as a scan of what was written."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
         # the schema is known, so no file has to be opened to infer it
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
@@ -68,6 +73,9 @@ class Workspace:
             if path:
                 remove_path(self.spark, path)
 
+    def remove(self, path: str) -> None:
+        remove_path(self.spark, path)
+
     def close(self) -> None:
         remove_path(self.spark, self.root)
 
