@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeated_entries(_t(spark, d, "items"), _t(spark, d, "incoming"))
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return history.entry_coverage(_t(spark, d, "items"), _t(spark, d, "incoming"), looks=False)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(_t(spark, d, "vectors"))
 
@@ -60,6 +64,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_coverage": p2_coverage,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
@@ -82,6 +87,18 @@ SQL = {
         sym AS (SELECT u AS s, v AS t FROM links UNION ALL SELECT v, u FROM links),
         reach(s, t) AS (SELECT s, t FROM sym UNION SELECT r.s, e.t FROM reach r JOIN sym e ON r.t = e.s)
         SELECT least(s, min(t)) AS group_id, s AS item_id FROM reach GROUP BY s""",
+    "p2_coverage": r"""
+        WITH r AS (SELECT entry_id, batch_no, outlet, title, lede FROM incoming WHERE entry_id IS NOT NULL AND batch_no IS NOT NULL UNION ALL SELECT NULL, NULL, outlet, title, lede FROM items),
+        n AS (SELECT row_number() OVER () AS id, * FROM r),
+        t AS (SELECT id, entry_id, batch_no, outlet, kind, list_filter(regexp_split_to_array(regexp_replace(array_to_string(list_filter(regexp_split_to_array(lower(coalesce(x, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> ''), ' '),
+            '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), ' +'), lambda w: w <> '') AS ws
+          FROM (SELECT *, 'title' AS kind, title AS x FROM n UNION ALL SELECT *, 'lede', lede FROM n)),
+        s AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: i = 1 OR ((unicode(ws[i]) + length(ws[i])) % 2 = 1 AND (unicode(ws[i - 1]) + length(ws[i - 1])) % 2 = 0)) AS st, sum(len(ws)) OVER (PARTITION BY id) AS size FROM t),
+        p AS (SELECT id, entry_id, batch_no, outlet, kind, unnest(list_transform(range(1, len(st) + 1), lambda k: struct_pack(p := array_to_string(ws[st[k]:coalesce(st[k + 1], len(ws) + 1) - 1], ' '), w := coalesce(st[k + 1], len(ws) + 1) - st[k]))) AS q FROM s
+          UNION ALL SELECT id, entry_id, batch_no, outlet, kind || ' word', unnest(list_transform(ws, lambda w: struct_pack(p := w, w := CAST(1 AS BIGINT)))) FROM s WHERE size < 16),
+        d AS (SELECT DISTINCT id, entry_id, batch_no, coalesce(outlet, '') AS outlet, kind, q.p AS p, q.w AS w FROM p),
+        k AS (SELECT outlet, kind, p, w, bool_or(entry_id IS NULL) AS old, min(batch_no) AS first FROM d GROUP BY ALL)
+        SELECT entry_id, CAST(sum(w) AS BIGINT) AS words, CAST(sum(CASE WHEN old OR first < batch_no THEN w ELSE 0 END) AS BIGINT) AS covered FROM d JOIN k USING (outlet, kind, p, w) WHERE entry_id IS NOT NULL GROUP BY entry_id""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p7_found": r"""
         WITH w AS (

@@ -1,34 +1,50 @@
 """Problem 2: new batches against everything accepted before.
 
-What is known is kept as hashes in a bucketed table in the shared folder: the
-name of the article in its address, the normalised content, the whole title, the
-whole lede, and parts of each side by side. A batch looks for its runs of words at
-every place, so an unchanged part of either is enough to be compared. A batch is hashed, joined bucket by bucket (the table is not
-shuffled, and its texts are not read), and its own hashes are appended. A full
-copy or a known address needs only that the hash is there. Entries that share a
-piece are compared with the text they share it with, which lies in a second
-table, bucketed by content hash.
+The history is kept as two bucketed, sorted tables in a named folder, and can be
+opened again by any later session:
+
+* ``known``, by hash: the name of the article in its address, and the normalised
+  content with its text; each once, with the batch and row that brought it first.
+* ``pieces``, by hash: the paragraphs of every distinct content. A feed entry is a
+  title and a few sentences, so its paragraphs are short: a text is cut before words
+  that its own words determine, wherever they stand, into stretches of about four
+  words, and an edit spoils only the stretches it touches.
+
+A batch is hashed once. A bucket-local semi-join with ``known`` gives addresses and
+full copies; one with ``pieces`` gives the share of each remaining record that is
+known, its coverage. Records covered far enough are compared, by edit distance, with
+the contents that share a piece with them and came earlier. Which pieces are looked up follows from
+the coverage asked for: a content that covers a record to that share has one of its
+rarest pieces, so the frequent ones need not be followed, and nothing is lost. The
+hashes of a batch that are new are appended before it is checked, each with the row
+that brought it, so a batch repeats itself no differently than it repeats the
+history. Neither table is shuffled, and texts are read only for the comparison.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, shared_root
 from .lookalikes import as_latin, fold
 
 #: Differing characters that are small edits: of a title, with the share of those of a lede.
 #: A title that hardly differs allows more in the lede than one that differs in words.
 EDITS = ((14, 0.35), (30, 0.2))
-#: Most differing characters of a lede.
-LEDE_EDITS = 60
-#: Lengths in words of the parts that titles and ledes are known by. Each changed word spoils one part at most, so
-#: records are compared unless a title has as many changed words as parts and the lede has too.
-TITLE_RUNS, LEDE_RUNS = (1, 2, 3), (2, 3, 5)
-#: Letters of scripts written without blanks; each is a word of its own in the parts.
+#: Share of a record's words that must stand in known pieces, and in pieces shared with one content, to be compared.
+COVERAGE = 0.25
+#: Records of fewer words are known by their single words too: one edit may spoil all the pieces of a short text.
+SHORT_WORDS = 16
+#: Buckets that the contents of one piece are spread over.
+SPREAD = 4
+#: Appends after which the tables are rewritten with one file a bucket.
+COMPACT_AFTER = 64
+#: Letters of scripts written without blanks; each is a word of its own in the pieces.
 _UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 #: Characters without width, combining, full-width, ligatures, and letters with Latin look-alikes.
 _ODD = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300}-\x{36F}\x{FF01}-\x{FF60}\x{FB00}-\x{FB06}\x{370}-\x{3FF}\x{400}-\x{52F}]"
@@ -68,163 +84,314 @@ def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
     return r.withColumn("name", F.when(u != "", F.concat_ws("|", place, name))).drop("_u", "_asked", "_path", "_dated", "_number", "_code")
 
 
-def _words(text: Column) -> Column:
-    # characters that only look different are no edits; few texts have any
-    odd = (F.octet_length(text) != F.length(text)) & text.rlike(_ODD)
-    alike = F.when(odd, as_latin(fold(F.when(odd, text)))).otherwise(F.coalesce(text, F.lit("")))
-    plain = F.btrim(F.regexp_replace(F.lower(alike), r"[^\p{IsAlphabetic}\p{IsDigit}]+", " "))
+def _words(text: Column, looks: bool = True) -> Column:
+    if looks:
+        # characters that only look different are no edits; few texts have any
+        odd = (F.octet_length(text) != F.length(text)) & text.rlike(_ODD)
+        text = F.when(odd, as_latin(fold(F.when(odd, text)))).otherwise(text)
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _records(rows: DataFrame, url: str, asking: bool = True) -> DataFrame:
-    """Hashes and normalised text of each row; its columns ``batch_no``, ``row`` and ``linked`` are kept.
-
-    Records that are only known, and not ``asking``, need no runs at every word.
-    """
-    r = with_article_name(rows, "outlet", url).select(
-        "batch_no", "row", (F.btrim(url) != "").alias("linked"), "outlet", "name",
-        _words(F.col("title")).alias("t"), _words(F.col("lede")).alias("l"),
-    )
-    r = r.select(
-        "batch_no", "row", "linked",
-        F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
-        F.when(F.size("t") + F.size("l") > 0, F.xxhash64(F.lit("content"), "outlet", "t", "l")).alias("content"),
-        "outlet", _spaced("t").alias("t"), _spaced("l").alias("l"), F.array_join("t", " ").alias("title"), F.array_join("l", " ").alias("lede"),
-    )
-    either = lambda f: F.array_distinct(F.concat(f("title", "t", TITLE_RUNS), f("lede", "l", LEDE_RUNS)))
-    return r.select("batch_no", "row", "linked", "name_hash", "content", either(_kept).alias("kept"), *([either(_asked).alias("asked")] if asking else []), "title", "lede")
-
-
 def _spaced(words: str) -> Column:
     text = F.array_join(words, " ")
     unspaced = (F.octet_length(text) != F.length(text)) & text.rlike(_UNSPACED)
     return F.when(unspaced, F.filter(F.split(F.regexp_replace(text, _UNSPACED, " $1 "), " "), lambda w: w != "")).otherwise(F.col(words))
 
 
-def _runs(kind: str, words: str, length: int, step: int) -> Column:
-    """Hashes of the runs of ``length`` words that begin at every ``step``-th word."""
-    last = F.size(words) - length + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(f"{kind}{length}"), "outlet", F.slice(words, i, length)))
+def _starts(words: str) -> Column:
+    """Places (from 1) at which a piece begins: the first word, and each marked word behind an unmarked one."""
+    mark = lambda w: (F.ascii(w) + F.length(w)) % 2 == 1
+    word = lambda i: F.element_at(words, i)
+    inner = F.when(F.size(words) > 1, F.sequence(F.lit(2), F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(words) > 0, F.concat(F.array(F.lit(1)), F.filter(inner, lambda i: mark(word(i)) & ~mark(word(i - 1)))))
 
 
-def _whole(kind: str, words: str) -> Column:
-    return F.when(F.size(words) > 0, F.array(F.xxhash64(F.lit(kind), "outlet", words))).otherwise(F.array().cast("array<bigint>"))
+def _cut(kind: str, words: str, starts: str) -> Column:
+    """``(h, w)`` of each piece: hash with outlet and kind of text, and number of words."""
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(words) + 1)
+    return F.coalesce(
+        F.transform(starts, lambda s, k: F.struct(F.xxhash64(F.lit(kind), "outlet", F.slice(words, s, end(k) - s)).alias("h"), (end(k) - s).alias("w"))),
+        F.array().cast("array<struct<h:bigint,w:int>>"),
+    )
 
 
-def _kept(kind: str, words: str, runs: tuple[int, ...]) -> Column:
-    """Pieces a record is known by: the whole, and parts side by side that cover it but for a rest.
+def with_pieces(rows: DataFrame, looks: bool = True) -> DataFrame:
+    """``rows`` (``outlet``, ``title``, ``lede``) with ``words_t``, ``words_l`` and ``pieces``, the distinct ``(h, w)`` of both texts.
 
-    The parts are of the greatest length that gives two of them.
+    With ``looks`` characters that look alike are alike. NULL texts have no words; a
+    record without words has no pieces.
     """
-    parts = F.array().cast("array<bigint>")
-    for n in sorted(runs):
-        parts = F.when(F.size(words) >= 2 * n, _runs(kind, words, n, n)).otherwise(parts)
-    return F.concat(_whole(kind, words), parts)
+    r = rows.withColumns({"words_t": _words(F.col("title"), looks), "words_l": _words(F.col("lede"), looks)})
+    r = r.withColumns({"_t": _spaced("words_t"), "_l": _spaced("words_l")})
+    r = r.withColumns({"_st": _starts("_t"), "_sl": _starts("_l")})
+    single = lambda kind, c: F.transform(c, lambda w: F.struct(F.xxhash64(F.lit(kind), "outlet", w).alias("h"), F.lit(1).alias("w")))
+    cut = F.concat(_cut("title", "_t", "_st"), _cut("lede", "_l", "_sl"))
+    words = F.when(F.size("_t") + F.size("_l") < SHORT_WORDS, F.concat(single("title word", "_t"), single("lede word", "_l"))).otherwise(F.array().cast("array<struct<h:bigint,w:int>>"))
+    return r.withColumn("pieces", F.array_distinct(F.concat(cut, words))).drop("_t", "_l", "_st", "_sl")
+
+
+def _records(rows: DataFrame, url: str) -> DataFrame:
+    """Hashes and normalised text of each row; its columns ``batch_no``, ``row`` and ``linked`` are kept."""
+    r = with_article_name(rows, "outlet", url).select("batch_no", "row", (F.btrim(url) != "").alias("linked"), "outlet", "name", "title", "lede")
+    return with_pieces(r).select(
+        "batch_no", "row", "linked",
+        F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
+        F.when(F.size("words_t") + F.size("words_l") > 0, F.xxhash64(F.lit("content"), "outlet", "words_t", "words_l")).alias("content"),
+        F.array_join("words_t", " ").alias("title"), F.array_join("words_l", " ").alias("lede"), "pieces",
+    )
 
 
-def _asked(kind: str, words: str, runs: tuple[int, ...]) -> Column:
-    """Pieces a record looks for: the whole, and the runs at every word, so that a part is met wherever edits have moved it."""
-    return F.concat(_whole(kind, words), *[_runs(kind, words, n, 1) for n in runs])
+def _same_text(a: str, b: str) -> Column:
+    """Title and lede equal up to small edits, by their shares; by the title where either text is too short to tell."""
+    size = lambda x, c: F.length(f"{x}.{c}")
+    longest = F.greatest(size(a, "lede"), size(b, "lede"))
+    titles = F.levenshtein(f"{a}.title", f"{b}.title", max(t for t, _ in EDITS))
+    least = F.floor(longest * max(s for _, s in EDITS)).cast("int")
+    # no more edits than allowed are counted; -1 stands for more
+    ledes = F.call_function("levenshtein", F.col(f"{a}.lede"), F.col(f"{b}.lede"), least)
+    near = F.abs(size(a, "lede") - size(b, "lede")) <= least
+    small = reduce(lambda x, y: x | y, [titles.between(0, t) & (ledes <= longest * s) for t, s in EDITS])
+    words = lambda c: F.size(F.split(c, " "))
+    bare = F.least(*[words(f"{x}.{c}") for x in (a, b) for c in ("title", "lede")]) < 3
+    few = titles.between(0, EDITS[0][0]) & (titles <= F.greatest(size(a, "title"), size(b, "title")) * EDITS[1][1])
+    return near & (titles >= 0) & (~bare | few) & (ledes >= 0) & small
 
 
-def _keys(records: DataFrame, pieces: str, *also: str) -> DataFrame:
-    """One row a hash: ``h``, and for those in ``pieces`` the content hash ``c`` they belong to."""
-    key = lambda h, c: F.struct(h.alias("h"), c.cast("long").alias("c"))
-    exact = F.array(key(F.col("name_hash"), F.lit(None)), key(F.col("content"), F.lit(None)))
-    near = F.coalesce(F.transform(pieces, lambda p: key(p, F.col("content"))), F.array().cast("array<struct<h:bigint,c:bigint>>"))
-    return records.select(*also, "content", F.explode(F.concat(exact, near)).alias("k")).where(F.col("k.h").isNotNull()).select(*also, "content", "k.h", "k.c")
+def _postings(records: DataFrame, spread: int) -> DataFrame:
+    """``(h, s, c)`` of the pieces of records."""
+    return records.where(F.col("content").isNotNull()).select(F.explode("pieces.h").alias("h"), F.pmod("content", F.lit(spread)).cast("int").alias("s"), F.col("content").alias("c"))
 
 
-def _same_text(a: str, b: str) -> Column:
-    """Title and lede equal up to small edits; the share holds for the title where either text is too short to tell."""
-    longest = F.greatest(F.length(f"{a}.lede"), F.length(f"{b}.lede"))
-    titles = F.levenshtein(f"{a}.title", f"{b}.title", max(t for t, _ in EDITS))
-    ledes = F.levenshtein(f"{a}.lede", f"{b}.lede", LEDE_EDITS)
-    near = F.abs(F.length(f"{a}.lede") - F.length(f"{b}.lede")) <= LEDE_EDITS
-    small = F.lit(False)
-    for title, share in EDITS:
-        small = small | (titles.between(0, title) & (ledes >= 0) & (ledes <= longest * share))
-    size = lambda c: F.size(F.split(c, " "))
-    bare = F.least(*[size(f"{x}.{c}") for x in (a, b) for c in ("title", "lede")]) < 3
-    few = titles.between(0, EDITS[0][0]) & (titles <= F.greatest(F.length(f"{a}.title"), F.length(f"{b}.title")) * EDITS[1][1])
-    return near & small & (~bare | few)
+def _over(hashes: DataFrame, spread: int) -> DataFrame:
+    """Each row once for every part that the contents of a piece are spread over."""
+    return hashes.withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(spread)])))
 
 
 class ArticleHistory:
-    """Known articles as one bucketed table of hashes; batches are checked and appended in turn.
+    """Known articles, kept in a folder; batches are checked and appended in turn.
 
-    A row is a hash ``h``; pieces name the content ``c`` they are of; the row of a
-    content hash carries its normalised text, read only for candidates.
+    ``folder`` is opened if it holds a history and made otherwise; without one a new
+    folder in the shared folder is taken. A batch that is given again, as after a
+    crash, gets the same answers and adds nothing: what is stored carries the batch and
+    row it came from, and only what came earlier counts as known. ``buckets`` is fixed
+    when the history is made; take one for about 64 MB of its final size.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, spread: int = SPREAD):
         self.spark = spark
+        self.folder = (folder or f"{shared_root(spark)}/history-{uuid.uuid4().hex[:12]}").rstrip("/")
+        stored = self._read_state()
+        self.state = stored or {"buckets": buckets or max(8, spark.sparkContext.defaultParallelism), "spread": spread, "appends": 0, "generation": 0}
         self.work = Workspace(spark, "history")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = f"known_{uuid.uuid4().hex[:12]}"
-        self.repeats = f"{self.work.root}/repeats"
-        self._write(spark.createDataFrame([], "h long, c long, title string, lede string"))
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "h").option("path", f"{self.work.root}/{self.table}").saveAsTable(self.table)
-
-    def append(self, records: DataFrame) -> None:
-        """Add the hashes of a stage of records, each once."""
-        text = (F.col("h") == F.col("content")) & F.col("c").isNull()
-        keys = _keys(records, "kept", "title", "lede").select("h", "c", F.when(text, F.col("title")).alias("title"), F.when(text, F.col("lede")).alias("lede"))
-        self._write(keys.repartition(self.buckets, "h").dropDuplicates(["h", "c"]))
-
-    def check(self, records: DataFrame) -> DataFrame:
-        """``row, linked`` of the records that are known, or that repeat a record of the batch with a smaller ``row``."""
-        known = self.spark.table(self.table)
-        asked = _keys(records, "asked", "row", "linked").drop("content")
-        own_keys = _keys(records, "kept", "row").drop("content")
-        # the batch is the small side and is built; the table is read where it lies, without its texts
-        # hashes of different kinds never meet: each kind has its own seed
-        old = known.select("h", F.col("c").alias("other")).join(asked.hint("shuffle_hash"), "h")
-        earlier = own_keys.groupBy("h", F.col("c").alias("other")).agg(F.min("row").alias("first"))
-        new = asked.join(earlier, "h").where(F.col("first") < F.col("row"))
-        hits = self.work.stage(old.select("row", "linked", "other").unionByName(new.select("row", "linked", "other")).distinct(), "hits")
-        exact = hits.where(F.col("other").isNull()).select("row", "linked")
-        near = hits.where(F.col("other").isNotNull()).join(exact.select("row"), "row", "left_anti")
-        if not near.limit(1).count():
-            return exact
-        mine = records.select("row", "title", "lede")
-        pairs = near.join(mine, "row")
-        texts = known.where(F.col("c").isNull() & F.col("title").isNotNull()).select(F.col("h").alias("other"), "title", "lede")
-        own = records.groupBy(F.col("content").alias("other")).agg(F.first("title").alias("title"), F.first("lede").alias("lede"))
-        same = texts.alias("b").join(pairs.alias("a").hint("shuffle_hash"), "other").where(_same_text("a", "b")).select("a.row", "a.linked")
-        same_new = own.alias("b").join(pairs.alias("a"), "other").where(_same_text("a", "b")).select("a.row", "a.linked")
-        return exact.unionByName(same).unionByName(same_new).distinct()
+        self.tables: dict[str, str] = {}
+        if not stored:
+            self._write_state()
+        self._define()
+
+    # -- what is stored
+
+    def _path(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read_state(self) -> dict | None:
+        """The newest complete state; a state is written whole under a name of its own, never changed."""
+        root, fs = self._path("state")
+        names = sorted(str(f.getPath().getName()) for f in fs.listStatus(root)) if fs.exists(root) else []
+        done = [n for n in names if n.endswith(".json")]
+        if not done:
+            return None
+        text = self.spark.read.text(f"{self.folder}/state/{done[-1]}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def _write_state(self) -> None:
+        self.state["version"] = self.state.get("version", 0) + 1
+        name = f"state/{self.state['version']:09d}"
+        part, fs = self._path(name + ".part")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        fs.rename(part, self._path(name + ".json")[0])
+
+    _SHAPES = {"known": ("h BIGINT, batch INT, row BIGINT, title STRING, lede STRING", ["h"]), "pieces": ("h BIGINT, s INT, c BIGINT", ["h", "s"])}
+
+    def _define(self) -> None:
+        """Names in the session's catalog for what lies in the folder; dropping them leaves the files."""
+        self.close()
+        for kind, (shape, keys) in self._SHAPES.items():
+            name = f"articles_{kind}_{uuid.uuid4().hex[:12]}"
+            by = ", ".join(keys)
+            self.spark.sql(f"CREATE TABLE {name} ({shape}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.state['buckets']} BUCKETS LOCATION '{self._data(kind)}'")
+            self.tables[kind] = name
+
+    def _data(self, kind: str) -> str:
+        return f"{self.folder}/{kind}-{self.state['generation']}"
+
+    def _add(self, kind: str, rows: DataFrame) -> None:
+        shape, keys = self._SHAPES[kind]
+        columns = [c.split(" ")[0] for c in shape.split(", ")]
+        # one file a bucket and append
+        rows = rows.select(columns).repartition(self.state["buckets"], *keys)
+        rows.write.mode("append").format("parquet").bucketBy(self.state["buckets"], *keys).sortBy(*keys).option("path", self._data(kind)).saveAsTable(self.tables[kind])
+
+    def known(self) -> DataFrame:
+        return self.spark.table(self.tables["known"])
+
+    def pieces(self) -> DataFrame:
+        return self.spark.table(self.tables["pieces"])
 
     def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """Forget the names of the tables; the history stays in its folder."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = {}
+
+    def compact(self) -> None:
+        """Rewrite both tables with one file a bucket, beside the old ones, and switch to them."""
+        old = {kind: (self.spark.table(name), self._data(kind)) for kind, name in self.tables.items()}
+        names, self.tables = list(self.tables.values()), {}
+        self.state = {**self.state, "generation": self.state["generation"] + 1, "appends": 0}
+        for kind in old:
+            # what an interrupted rewrite has left
+            self.work.remove(self._data(kind))
+        self._define()
+        for kind, (rows, _) in old.items():
+            self._add(kind, rows)
+        self._write_state()
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for _, path in old.values():
+            self.work.remove(path)
+
+    # -- a batch
+
+    def _append(self, records: DataFrame) -> None:
+        """Add the hashes of a stage of records of one batch that aren't known."""
+        both = records.select("batch_no", "row", F.explode(F.array_compact(F.array("name_hash", "content"))).alias("h"))
+        first = both.groupBy("h").agg(F.min(F.struct("batch_no", "row")).alias("x")).select("h", F.col("x.batch_no").alias("batch"), "x.row")
+        # the batch is the small side; the table is read where it lies, without its texts
+        met = self.known().select("h").join(first.select("h").hint("shuffle_hash"), "h", "left_semi").distinct()
+        texts = records.where(F.col("content").isNotNull()).select(F.col("content").alias("h"), "row", "title", "lede")
+        fresh = first.join(met, "h", "left_anti").join(texts, ["h", "row"], "left")
+        # repeated rows may hold a content twice
+        self._add("known", fresh.dropDuplicates(["h"]))
+        brought = records.select("batch_no", "row", "content", "pieces").where(F.col("content").isNotNull()).dropDuplicates(["content"])
+        of_batch = self.known().select(F.col("h").alias("content"), F.col("batch").alias("batch_no")).join(brought.select("content", "batch_no", "pieces").hint("shuffle_hash"), ["content", "batch_no"])
+        self._add("pieces", _postings(of_batch, self.state["spread"]))
+
+    def _exact(self, records: DataFrame) -> DataFrame:
+        """``row`` of the records whose address or content came earlier."""
+        each = records.select("batch_no", "row", F.explode(F.array_compact(F.array("name_hash", "content"))).alias("h"))
+        earlier = (F.col("batch") < F.col("batch_no")) | ((F.col("batch") == F.col("batch_no")) & (F.col("first") < F.col("row")))
+        known = self.known().select("h", "batch", F.col("row").alias("first"))
+        return known.join(each.hint("shuffle_hash"), "h").where(earlier).select("row").distinct()
+
+    def covered(self, records: DataFrame) -> DataFrame:
+        """``row, content, total, h, w, many`` of the pieces of appended records.
+
+        ``many`` counts the other contents of a piece, those of the whole batch among them;
+        ``total`` is the number of words of all pieces of the record.
+        """
+        one = records.select("row", "content", F.expr("aggregate(pieces, 0, (s, p) -> s + p.w)").alias("total"), F.explode("pieces").alias("p")).select("row", "content", "total", "p.h", "p.w")
+        # a frequent piece is one row of either side
+        asked = _over(one.select("h").distinct(), self.state["spread"])
+        stored = self.pieces().join(asked.hint("shuffle_hash"), ["h", "s"], "left_semi").groupBy("h").agg((F.count(F.lit(1)) - 1).alias("many"))
+        return one.join(stored, "h")
+
+    def _near(self, records: DataFrame) -> DataFrame:
+        """``row`` of the records that are, up to small edits, a content that came earlier."""
+        pieces = self.covered(records).where("many > 0")
+        # of each record the known words from a piece on, the rarest piece first: while they reach the share asked for
+        rest = Window.partitionBy("row").orderBy(F.col("many").desc(), "h").rowsBetween(Window.unboundedPreceding, 0)
+        chosen = pieces.withColumn("rest", F.sum("w").over(rest)).where(F.col("rest") >= F.col("total") * COVERAGE).select("row", "content", "h")
+        stored = self.pieces().join(_over(chosen, self.state["spread"]).hint("shuffle_hash"), ["h", "s"])
+        pairs = stored.where(F.col("c") != F.col("content")).select("row", F.col("c").alias("other")).distinct()
+        asked = pairs.join(records.select("batch_no", "row", "title", "lede"), "row").hint("shuffle_hash")
+        texts = self.known().where(F.col("title").isNotNull()).select(F.col("h").alias("other"), "batch", F.col("row").alias("first"), "title", "lede")
+        earlier = (F.col("b.batch") < F.col("a.batch_no")) | ((F.col("b.batch") == F.col("a.batch_no")) & (F.col("b.first") < F.col("a.row")))
+        return texts.alias("b").join(asked.alias("a"), "other").where(earlier & _same_text("a", "b")).select("a.row").distinct()
+
+    def take(self, records: DataFrame, batch: int, found: str | None = None) -> None:
+        """Append a stage of records of one batch, and write the ``row`` of those that repeat what came earlier to ``found``.
+
+        Without ``found`` the records are only appended. A batch that was appended before
+        is only checked.
+        """
+        if batch > self.state.get("done", -1):
+            self._append(records)
+            self.state["done"], self.state["appends"] = batch, self.state["appends"] + 1
+            self._write_state()
+            if self.state["appends"] >= COMPACT_AFTER:
+                self.compact()
+        if found:
+            linked = records.where("linked")
+            exact = self._exact(linked)
+            exact = self.work.stage(exact, "exact")
+            near = self._near(linked.join(exact, "row", "left_anti"))
+            exact.unionByName(near).write.mode("overwrite").parquet(found)
+            self.work.drop(exact)
+
+
+def item_records(items: DataFrame) -> DataFrame:
+    """The records of stored articles, as batch 0."""
+    return _records(items.select(F.lit(0).alias("batch_no"), F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url")
+
+
+def entry_records(incoming: DataFrame) -> DataFrame:
+    """The records of feed entries with an id and a batch number."""
+    rows = incoming.where(F.col("entry_id").isNotNull() & F.col("batch_no").isNotNull())
+    return _records(rows.select(F.col("batch_no").cast("int"), F.col("entry_id").cast("long").alias("row"), "outlet", "link", "title", "lede"), "link")
+
+
+def check_entries(history: ArticleHistory, incoming: DataFrame) -> DataFrame:
+    """``(entry_id)`` of the entries that bring an article again, batch by batch; the history is what the folder holds, and grows.
+
+    Entries without a link are never returned but are known to later ones by their
+    content. Rows with a NULL ``entry_id`` or ``batch_no`` are left out. Batches are
+    numbered from 1; what is in the history under a smaller number is older.
+    """
+    spark, work = history.spark, history.work
+    kind = incoming.schema["entry_id"].dataType.simpleString()
+    batches = [r[0] for r in incoming.where("entry_id IS NOT NULL AND batch_no IS NOT NULL").select(F.col("batch_no").cast("int")).distinct().orderBy("batch_no").collect()]
+    if not batches:
+        return spark.createDataFrame([], f"entry_id {kind}")
+    found = f"{work.root}/found"
+    records = work.stage(entry_records(incoming), "incoming", by=["batch_no"])
+    for b in batches:
+        history.take(records.where(F.col("batch_no") == b), b, f"{found}/batch={b}")
+    work.drop(records)
+    return spark.read.schema("row long").parquet(*[f"{found}/batch={b}" for b in batches]).select(F.col("row").cast(kind).alias("entry_id")).distinct()
 
 
-def repeated_entries(items: DataFrame, incoming: DataFrame, buckets: int | None = None) -> DataFrame:
+def repeated_entries(items: DataFrame, incoming: DataFrame, folder: str | None = None, buckets: int | None = None) -> DataFrame:
     """``(entry_id)`` of incoming entries that bring an article again, batch by batch.
 
     Known are the items, entries of smaller batches, and entries of the same batch
-    with a smaller id. Entries without a link are never returned but are known to
-    later ones by their content. NULL titles and ledes count as empty; records without
-    a title and lede are compared by address only; rows with a NULL ``entry_id`` or
-    ``batch_no`` are left out. Extra columns are ignored; empty tables are allowed.
+    with a smaller id. NULL titles and ledes count as empty; records without a title
+    and lede are compared by address only. Extra columns are ignored; empty tables are
+    allowed. With ``folder`` the history is kept there, and ``check_entries`` goes on
+    from it without the items; otherwise it lies in the shared folder.
     """
-    spark = items.sparkSession
-    history = ArticleHistory(spark, buckets)
-    work = history.work
-    old = work.stage(_records(items.select(F.lit(0).alias("batch_no"), F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url", asking=False), "items")
-    history.append(old)
-    work.drop(old)
-    rows = incoming.where(F.col("entry_id").isNotNull() & F.col("batch_no").isNotNull())
-    records = work.stage(_records(rows.select("batch_no", F.col("entry_id").alias("row"), "outlet", "link", "title", "lede"), "link"), "incoming")
-    for b in [r[0] for r in records.select("batch_no").distinct().orderBy("batch_no").collect()]:
-        batch = records.where(F.col("batch_no") == b)
-        history.check(batch).where("linked").select(F.col("row").alias("entry_id")).write.mode("append").parquet(history.repeats)
-        history.append(batch)
-    history.close()
-    kind = rows.schema["entry_id"].dataType.simpleString()
-    if not records.limit(1).count():
-        return spark.createDataFrame([], f"entry_id {kind}")
-    return spark.read.schema(f"entry_id {kind}").parquet(history.repeats).distinct()
+    history = ArticleHistory(items.sparkSession, folder, buckets)
+    try:
+        old = history.work.stage(item_records(items), "items")
+        history.take(old, 0)
+        history.work.drop(old)
+        return check_entries(history, incoming)
+    finally:
+        history.close()
+
+
+def entry_coverage(items: DataFrame, incoming: DataFrame, looks: bool = True) -> DataFrame:
+    """``(entry_id, words, covered)``: words of each entry with any, and those in pieces of an item or of an entry of a smaller batch.
+
+    One pass without a stored history, for reports. A piece in several places of an
+    entry counts once. Words of short texts count as pieces too (``SHORT_WORDS``).
+    """
+    cut = lambda df, *keys: with_pieces(df.select(*keys, "outlet", "title", "lede"), looks).select(*keys, F.explode("pieces").alias("p")).select(*keys, "p.h", "p.w")
+    mine = cut(incoming.where("entry_id IS NOT NULL AND batch_no IS NOT NULL"), "entry_id", "batch_no")
+    first = mine.groupBy("h").agg(F.min("batch_no").alias("first"))
+    old = cut(items).select("h").distinct().withColumn("old", F.lit(True))
+    known = F.col("old").isNotNull() | (F.col("first") < F.col("batch_no"))
+    return mine.join(first, "h").join(old, "h", "left").groupBy("entry_id").agg(F.sum("w").alias("words"), F.sum(F.when(known, F.col("w")).otherwise(0)).alias("covered"))

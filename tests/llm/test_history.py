@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from storyweft.llm import history
@@ -14,7 +13,7 @@ def run(spark, items, entries):
     return {r.entry_id for r in history.repeated_entries(i, e).collect()}
 
 
-@pytest.mark.parametrize("a, b, same", [
+NAMES = [
     ("https://www.x.example/2026/01/05/some-title", "http://WWW.x.example:80//2026/01/05/Some%2DTitle/?utm_source=a#c", True),
     ("https://x.example/tech/1000105/a-title", "https://m.x.example/science/1000105/other-words/amp", True),
     ("https://x.example/story.php?id=7&sec=a", "https://x.example/story.php?sec=b&id=7&amp=1", True),
@@ -23,11 +22,13 @@ def run(spark, items, entries):
     ("https://x.example/2026/01/05/some-title", "https://x.example/2026/01/06/some-title", False),
     ("https://x.example/2026/01/05/some-title", "https://x.example/2026/01/05/some-title/index.html", True),
     ("https://x.example/about", "https://x.example/other", False),
-])
-def test_names(spark, a, b, same):
-    df = history.with_article_name(spark.createDataFrame([("o", a), ("o", b)], "outlet string, url string"), "outlet", "url")
-    one, two = [r.name for r in df.collect()]
-    assert (one == two) == same
+]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([(k, "o", u) for k, (a, b, _) in enumerate(NAMES) for u in (a, b)], "k int, outlet string, url string")
+    same = {r.k: r.n == 1 for r in history.with_article_name(df, "outlet", "url").groupBy("k").agg(F.countDistinct("name").alias("n")).collect()}
+    assert same == {k: x[2] for k, x in enumerate(NAMES)}
 
 
 def test_null_addresses_have_no_name(spark):
@@ -72,25 +73,96 @@ OTHER = "https://x.example/a/2000001/t"
 EIGHT = "Council votes to repair harbour wall before winter"
 
 
-@pytest.mark.parametrize("old, new, lede", [
+EDITED = [
     ("Council to repair the harbour wall", "Council to rebuild the harbour wall", LEDE),  # a middle word
     (EIGHT, "Council votes to mend harbour wall before spring", LEDE),  # two words of eight
     (EIGHT, "Breaking news: " + EIGHT + " | Outlet", LEDE),  # words before and after
-    (EIGHT, EIGHT, LEDE.replace("council", "board").replace("winter", "autumn").replace("harbour", "harbor")),  # each of the lede's old places
+    (EIGHT, EIGHT, LEDE.replace("council", "board").replace("winter", "autumn").replace("harbour", "harbor")),
     (EIGHT, EIGHT.replace("repair", "mend"), LEDE.replace("council", "board").replace("winter", "autumn").replace("harbour", "harbor")),
-])
-def test_edits_at_any_place(spark, old, new, lede):
-    assert run(spark, [("i", "o", "https://x.example/a/1000001/t", old, LEDE)], [(1, 1, "o", OTHER, new, lede)]) == {1}
-    assert run(spark, [], [(1, 1, "o", "https://x.example/a/1000001/t", old, LEDE), (2, 1, "o", OTHER, new, lede)]) == {2}  # within a batch
+]
+
 
+def test_edits_at_any_place(spark):
+    # an outlet a case, so that all are one run
+    old = [("i", f"o{k}", "https://x.example/a/1000001/t", a, LEDE) for k, (a, _, _) in enumerate(EDITED)]
+    new = [(k, 1, f"o{k}", OTHER, b, lede) for k, (_, b, lede) in enumerate(EDITED)]
+    assert run(spark, old, new) == set(range(len(EDITED)))
+    within = [(10 * k + 1, 1, f"o{k}", "https://x.example/a/1000001/t", a, LEDE) for k, (a, _, _) in enumerate(EDITED)]
+    assert run(spark, [], within + [(10 * k + 2, 1, f"o{k}", OTHER, b, lede) for k, (_, b, lede) in enumerate(EDITED)]) == {10 * k + 2 for k in range(len(EDITED))}
 
-@pytest.mark.parametrize("old, new, lede, same", [
+
+BARE = [
     ("Council to repair the harbour wall", "Council to repair the harbor wall", None, True),
     ("Council to repair the harbour wall", "Council sells the old town hall", "", False),
     ("Harbour wall repaired", "Harbour wall repaird", None, True),
     ("Harbour repaired", "Harbour sold", "Read more", False),
     ("市議会は港の防波堤を修理することを決めた", "市議会が港の防波堤を修理することを決めた", None, True),
     ("市議会は港の防波堤を修理することを決めた", "町の図書館は来年の春に新しく開館する予定", None, False),
-])
-def test_short_or_missing_ledes(spark, old, new, lede, same):
-    assert run(spark, [("i", "o", "https://x.example/a/1000001/t", old, lede)], [(1, 1, "o", OTHER, new, lede)]) == ({1} if same else set())
+]
+
+
+def test_short_or_missing_ledes(spark):
+    old = [("i", f"o{k}", "https://x.example/a/1000001/t", a, lede) for k, (a, _, lede, _) in enumerate(BARE)]
+    assert run(spark, old, [(k, 1, f"o{k}", OTHER, b, lede) for k, (_, b, lede, _) in enumerate(BARE)]) == {k for k, x in enumerate(BARE) if x[3]}
+
+
+def frames(spark, items, entries):
+    i = spark.createDataFrame([(x[0], x[1], x[2], x[3], x[4], 1, "b", 2) for x in items], ITEMS)
+    return i, spark.createDataFrame([(*x, "r", 3) for x in entries], ENTRIES)
+
+
+NEWS = [(n, 1 + n % 3, "o", f"https://x.example/a/{4000000 + n}/t", f"Number {n} of the news of all", LEDE.replace("twelve", str(n))) for n in range(1, 30)]
+
+
+def test_a_history_is_opened_again(spark, tmp_path):
+    folder = f"file://{tmp_path}/known"
+    items = [("i", "o", "https://x.example/a/1000001/t", "Council to repair the harbour wall", LEDE)]
+    i, e = frames(spark, items, [(1, 1, "o", "https://x.example/b/1000001/u", "t", None), (2, 1, "o", "https://x.example/b/1000002/u", "Port of the north closes", None)])
+    assert {r.entry_id for r in history.repeated_entries(i, e, folder).collect()} == {1}
+    # a later session has the folder only
+    again = history.ArticleHistory(spark, folder)
+    _, more = frames(spark, [], [(3, 2, "o", "https://x.example/c/1000002/u", "q", None), (4, 2, "o", "https://x.example/c/1000004/u", "Council to repair the harbour wall", LEDE + " Now.")])
+    assert {r.entry_id for r in history.check_entries(again, more).collect()} == {3, 4}
+    rows = again.known().count(), again.pieces().count()
+    # the same batch once more: the same answer, nothing added
+    assert {r.entry_id for r in history.check_entries(again, more).collect()} == {3, 4}
+    assert rows == (again.known().count(), again.pieces().count())
+    again.compact()
+    assert rows == (again.known().count(), again.pieces().count())
+    again.close()
+    third = history.ArticleHistory(spark, folder)
+    assert rows == (third.known().count(), third.pieces().count())
+    third.close()
+
+
+def test_nothing_is_kept_twice(spark, tmp_path):
+    folder = f"file://{tmp_path}/known"
+    e = [(n, 1 + n % 3, "o", "https://x.example/a/3000000/t", "The very same news of all", LEDE) for n in range(1, 40)]
+    i, e = frames(spark, [], e + [(100 + n, 4, None, None, None, None) for n in range(3)])
+    assert history.repeated_entries(i, e, folder).count() == 38
+    h = history.ArticleHistory(spark, folder)
+    assert h.known().count() == h.known().select("h").distinct().count() == 2
+    assert h.pieces().count() == h.pieces().distinct().count()
+    h.close()
+
+
+def test_coverage(spark):
+    i, e = frames(spark, [("i", "o", None, "Council to repair the harbour wall before the winter of the year", LEDE)], [
+        (1, 1, "o", None, "Council to repair the harbour wall before the winter of the year", LEDE), (2, 1, "p", None, "Council to repair the harbour wall before the winter of the year", LEDE), (3, 2, "o", None, None, None),
+        (4, 2, "o", None, "Council to repair the harbour wall before the winter of the year", "Nobody had expected such a thing in a place where money never was there for any of it, said a fisherman."),
+    ])
+    rows = {r.entry_id: (r.covered, r.words) for r in history.entry_coverage(i, e).collect()}
+    assert rows[1][0] == rows[1][1] and rows[2][0] == 0 and 3 not in rows
+    assert 0 < rows[4][0] < rows[4][1]
+
+
+def test_brute_force(spark):
+    """Against a comparison of all pairs by the same rule, without pieces."""
+    edited = [(100 + n, 4, "o", f"https://x.example/z/{5000000 + n}/t", t + " again", l.replace("old", "very old").replace("winter", "autumn")) for n, _, _, _, t, l in NEWS[:10]]
+    other = [(200 + n, 5, "o", f"https://x.example/y/{6000000 + n}/t", f"Story {n} has another title", f"Line {n} of what a ship and {n * 11} crates of fish meant for a town by the sea and for all the people in it.") for n in range(10)]
+    rows = NEWS + edited + other
+    _, e = frames(spark, [], rows)
+    r = history.entry_records(e).select("batch_no", "row", "title", "lede")
+    a, b = r.alias("a"), r.alias("b")
+    same = a.join(b, ((F.col("b.batch_no") < F.col("a.batch_no")) | ((F.col("b.batch_no") == F.col("a.batch_no")) & (F.col("b.row") < F.col("a.row"))))).where(history._same_text("a", "b"))
+    assert run(spark, [], rows) == {x[0] for x in same.select("a.row").distinct().collect()}
