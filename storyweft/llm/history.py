@@ -231,8 +231,8 @@ class ArticleHistory:
     def _add(self, kind: str, rows: DataFrame) -> None:
         shape, keys = self._SHAPES[kind]
         columns = [c.split(" ")[0] for c in shape.split(", ")]
-        # one file a bucket and append
-        rows = rows.select(columns).repartition(self.state["buckets"], *keys)
+        # one file a bucket and append; each row once
+        rows = rows.select(columns).repartition(self.state["buckets"], *keys).dropDuplicates(columns[: 3 if kind == "pieces" else 1])
         rows.write.mode("append").format("parquet").bucketBy(self.state["buckets"], *keys).sortBy(*keys).option("path", self._data(kind)).saveAsTable(self.tables[kind])
 
     def known(self) -> DataFrame:
@@ -267,18 +267,23 @@ class ArticleHistory:
     # -- a batch
 
     def _append(self, records: DataFrame) -> None:
-        """Add the hashes of a stage of records of one batch that aren't known."""
-        both = records.select("batch_no", "row", F.explode(F.array_compact(F.array("name_hash", "content"))).alias("h"))
-        first = both.groupBy("h").agg(F.min(F.struct("batch_no", "row")).alias("x")).select("h", F.col("x.batch_no").alias("batch"), "x.row")
-        # the batch is the small side; the table is read where it lies, without its texts
-        met = self.known().select("h").join(first.select("h").hint("shuffle_hash"), "h", "left_semi").distinct()
-        texts = records.where(F.col("content").isNotNull()).select(F.col("content").alias("h"), "row", "title", "lede")
-        fresh = first.join(met, "h", "left_anti").join(texts, ["h", "row"], "left")
-        # repeated rows may hold a content twice
-        self._add("known", fresh.dropDuplicates(["h"]))
-        brought = records.select("batch_no", "row", "content", "pieces").where(F.col("content").isNotNull()).dropDuplicates(["content"])
-        of_batch = self.known().select(F.col("h").alias("content"), F.col("batch").alias("batch_no")).join(brought.select("content", "batch_no", "pieces").hint("shuffle_hash"), ["content", "batch_no"])
-        self._add("pieces", _postings(of_batch, self.state["spread"]))
+        """Add the hashes of a stage of records of one batch that aren't known.
+
+        The batch is dealt to the buckets once; finding what is new and writing it need
+        no further shuffle, and the tables are read where they lie, without texts.
+        """
+        none = F.lit(None).cast("string")
+        key = lambda h, title, lede: F.struct(F.col(h).alias("h"), title.alias("title"), lede.alias("lede"))
+        both = F.array(key("name_hash", none, none), key("content", F.col("title"), F.col("lede")))
+        rows = records.select("batch_no", "row", F.explode(both).alias("k")).where("k.h IS NOT NULL").select("batch_no", "row", "k.*").repartition(self.state["buckets"], "h")
+        first = rows.groupBy("h").agg(F.min(F.struct("batch_no", "row", "title", "lede")).alias("x")).select("h", F.col("x.batch_no").alias("batch"), "x.row", "x.title", "x.lede")
+        met = self.known().select("h").join(rows.select("h").distinct().hint("shuffle_hash"), "h", "left_semi")
+        self._add("known", first.join(met, "h", "left_anti"))
+        brought = records.where(F.col("content").isNotNull()).select("batch_no", F.col("row").alias("_row"), "content", "pieces")
+        stored = self.known().select(F.col("h").alias("content"), "batch", "row")
+        # ranges, since more join keys than the buckets' would have the table shuffled
+        same = F.col("batch").between(F.col("batch_no"), F.col("batch_no")) & F.col("row").between(F.col("_row"), F.col("_row"))
+        self._add("pieces", _postings(stored.join(brought.hint("shuffle_hash"), "content").where(same), self.state["spread"]))
 
     def _exact(self, records: DataFrame) -> DataFrame:
         """``row`` of the records whose address or content came earlier."""
@@ -335,7 +340,7 @@ class ArticleHistory:
 
 def item_records(items: DataFrame) -> DataFrame:
     """The records of stored articles, as batch 0."""
-    return _records(items.select(F.lit(0).alias("batch_no"), F.lit(0).cast("long").alias("row"), "outlet", "url", "title", "lede"), "url")
+    return _records(items.select(F.lit(0).alias("batch_no"), F.monotonically_increasing_id().alias("row"), "outlet", "url", "title", "lede"), "url")
 
 
 def entry_records(incoming: DataFrame) -> DataFrame:
