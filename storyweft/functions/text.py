@@ -61,8 +61,13 @@ def author_name(raw: Column) -> Column:
 
 
 def clean_tags(tags: Column) -> Column:
-    """Tags as plain text, empty ones dropped, in their order."""
-    return F.filter(F.transform(tags, squeeze), lambda t: t.isNotNull() & (t != ""))
+    """Tags as plain text, without markup and entities; empty ones dropped, in their order."""
+    bare = F.transform(tags, lambda t: F.regexp_replace(t, "<[^>]+>", " "))
+    # a Python function takes no list element by element, so the tags pass through it as one text
+    joined = F.array_join(bare, "\0")
+    coded = F.contains(joined, F.lit("&"))
+    resolved = F.when(coded, F.split(_unescape(F.when(coded, joined)), "\0")).otherwise(bare)
+    return F.filter(F.transform(resolved, squeeze), lambda t: t.isNotNull() & (t != ""))
 
 
 def folded_words(c: Column) -> Column:

@@ -41,6 +41,25 @@ def _upper_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return run.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(key).agg(F.min(value).alias(out))
 
 
+def with_previous_time(rows: DataFrame, key: str, time: str, tie: str, out: str) -> DataFrame:
+    """``rows`` with ``out``, the time of the row before in the order of time and tie; rows without a key or time are left out.
+
+    Day by day, so that a key is not one task: the first row of a day follows the last
+    of the day before that has one.
+    """
+    dated = rows.where(F.col(time).isNotNull() & F.col(key).isNotNull()).withColumn("_day", F.to_date(time))
+    days = dated.groupBy(key, "_day").agg(F.max(time).alias("_max"))
+    days = days.withColumn("_prev", F.lag("_max").over(Window.partitionBy(key).orderBy("_day"))).drop("_max")
+    before = F.coalesce(F.lag(time).over(Window.partitionBy(key, "_day").orderBy(time, tie)), F.col("_prev"))
+    return dated.join(days, [key, "_day"]).withColumn(out, before).drop("_day", "_prev")
+
+
+def partition(items: DataFrame, promotional: Column) -> tuple[DataFrame, DataFrame]:
+    """``(news, promotional)``: every item is in one of the two; where the rule gives NULL it is news."""
+    hit = F.coalesce(promotional, F.lit(False))
+    return items.where(~hit), items.where(hit)
+
+
 def measure(entries: DataFrame, now: str) -> DataFrame:
     """Per outlet: entries, lede lengths, repeated titles, tracking parameters, recency and gaps.
 
@@ -57,12 +76,8 @@ def measure(entries: DataFrame, now: str) -> DataFrame:
         F.round((F.unix_timestamp(clock) - F.unix_timestamp(F.max("_ts"))) / 3600, 6).alias("age_hours"), F.count("_ts").alias("_dated"),
     )
     tracked = e.select("outlet", F.explode(U.tracking_params(F.col("link"))).alias("k")).groupBy("outlet").agg(F.countDistinct("k").alias("tracking"))
-    # day by day, so that an outlet is not one task: the first entry of a day follows the last of the day before that has one
-    dated = e.where(F.col("_ts").isNotNull()).select("outlet", "_ts", F.to_date("_ts").alias("_day"))
-    days = dated.groupBy("outlet", "_day").agg(F.max("_ts").alias("_max"))
-    days = days.withColumn("_prev", F.lag("_max").over(Window.partitionBy("outlet").orderBy("_day"))).drop("_max")
-    before = F.coalesce(F.lag("_ts").over(Window.partitionBy("outlet", "_day").orderBy("_ts")), F.col("_prev"))
-    gaps = dated.join(days, ["outlet", "_day"]).withColumn("_gap", (F.unix_timestamp("_ts") - F.unix_timestamp(before)) / 3600)
+    dated = with_previous_time(e.where(F.col("_ts").isNotNull()).select("outlet", "_ts", "link"), "outlet", "_ts", "link", "_before")
+    gaps = dated.withColumn("_gap", (F.unix_timestamp("_ts") - F.unix_timestamp("_before")) / 3600)
     medians = _upper_median(e, "outlet", "_w", "median_lede_words").join(_upper_median(gaps, "outlet", "_gap", "_g"), "outlet", "left")
     return (
         base.join(medians, "outlet", "left").join(tracked, "outlet", "left")

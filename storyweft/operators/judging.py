@@ -9,12 +9,33 @@ from ..functions import urls as U
 from .dedupe import last_answers
 
 
-def labelling_pool(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both tables by ``pair_id``; of a pair in both the row of ``first`` stays, of several the smallest."""
+def labelling_pool(first: DataFrame, second: DataFrame, labellable: Column | None = None) -> DataFrame:
+    """Both tables by ``pair_id``; of a pair in both the row of ``first`` stays, of several the smallest.
+
+    ``labellable`` is a rule on the columns; pairs that break it are no use to a human.
+    """
     both = first.withColumn("_from", F.lit(0)).unionByName(second.withColumn("_from", F.lit(1)))
     rest = [F.col(c).asc_nulls_last() for c in first.columns if c != "pair_id"]
     rank = F.row_number().over(Window.partitionBy("pair_id").orderBy("_from", *rest))
-    return both.withColumn("_rank", rank).where("_rank = 1").drop("_from", "_rank")
+    pool = both.withColumn("_rank", rank).where("_rank = 1").drop("_from", "_rank")
+    return pool if labellable is None else pool.where(F.coalesce(labellable, F.lit(True)))
+
+
+def is_labellable(outlet_a: Column, outlet_b: Column, class_a: Column, class_b: Column) -> Column:
+    """Two outlets, and neither title of a class that is no news; an unknown outlet differs from any."""
+    return ~F.coalesce(outlet_a == outlet_b, F.lit(False)) & class_a.isNull() & class_b.isNull()
+
+
+def labelled_pairs(labels: DataFrame, pool: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, counts)``: pairs of the pool with the last answer ``same_story`` of their labels; ``counts`` is one row ``(pairs, unmatched)``.
+
+    Labels whose pair is not in the pool can't be shown again and are only counted.
+    """
+    last = last_answers(labels, order).select("pair_id", "same_story")
+    found = pool.join(last, "pair_id")
+    known = pool.select("pair_id").distinct().withColumn("_known", F.lit(True))
+    counts = last.join(known, "pair_id", "left").agg(F.count("_known").alias("pairs"), F.count_if(F.col("_known").isNull()).alias("unmatched"))
+    return found, counts
 
 
 def unanswered(pairs: DataFrame, *answered: DataFrame) -> DataFrame:

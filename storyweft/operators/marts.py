@@ -31,15 +31,28 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "low", 1).when(severity == "medium", 2).when(severity == "high", 3).otherwise(0)
 
 
-def story_table(members: DataFrame) -> DataFrame:
-    """``(story, date, outlets, items)``; the date is that of the first item."""
-    return members.groupBy("story").agg(F.substring(F.min("published"), 1, 10).alias("date"), F.countDistinct("outlet").alias("outlets"), F.count(F.lit(1)).alias("items"))
+def story_table(members: DataFrame, discrepancies: DataFrame | None = None) -> DataFrame:
+    """``(story, date, outlets, items, severity)``; the date is that of the first item, the severity the rank of the worst discrepancy.
+
+    ``discrepancies`` is ``(story, severity)``; a story without any has the rank 0.
+    """
+    stories = members.groupBy("story").agg(F.substring(F.min("published"), 1, 10).alias("date"), F.countDistinct("outlet").alias("outlets"), F.count(F.lit(1)).alias("items"))
+    if discrepancies is None:
+        return stories.withColumn("severity", F.lit(0))
+    worst = discrepancies.groupBy("story").agg(F.max(severity_rank(F.col("severity"))).alias("_worst"))
+    return stories.join(worst, "story", "left").withColumn("severity", F.coalesce("_worst", F.lit(0))).drop("_worst")
 
 
 def front_page(stories: DataFrame, days: int = 4) -> DataFrame:
-    """Stories of the newest ``days`` dates that have one, in order: date, outlets, id, all descending."""
+    """Stories of the newest ``days`` dates that have one with their ``place``, by date, outlets, severity and id, all descending."""
     newest = stories.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
-    return stories.join(newest, "date", "left_semi").orderBy(F.col("date").desc(), F.col("outlets").desc(), F.col("story").desc())
+    order = [F.col(c).desc() for c in ("outlets", "severity", "story")]
+    page = stories.join(newest, "date", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("date").orderBy(*order)))
+    # as many rows as days
+    sizes = page.groupBy("date").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("date", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return page.join(F.broadcast(starts), "date").withColumn("place", F.col("_start") + F.col("_n")).drop("_n", "_start").orderBy("place")
 
 
 def claims_matrix(quotes: DataFrame, outlets: list[str]) -> DataFrame:
@@ -47,6 +60,11 @@ def claims_matrix(quotes: DataFrame, outlets: list[str]) -> DataFrame:
     return quotes.where(F.col("claim_id").isNotNull()).groupBy("cluster_id", "claim_id").pivot("outlet", outlets).agg(F.count(F.lit(1)))
 
 
+def claim_cells(quotes: DataFrame) -> DataFrame:
+    """``(cluster_id, claim_id, outlet, quotes)``: the cells of the claims matrix that hold a quote, each quote once, in order."""
+    return quotes.where(F.col("claim_id").isNotNull()).groupBy("cluster_id", "claim_id", "outlet").agg(F.sort_array(F.collect_set("quote")).alias("quotes"))
+
+
 def story_links(members: DataFrame) -> DataFrame:
     """Members of each story in the order of outlet, time and id, one an item."""
     one = members.groupBy("story", "item_id").agg(F.min(F.struct("outlet", "published")).alias("x")).select("story", "item_id", "x.outlet", "x.published")

@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 def numbered(df: DataFrame, group: str, score: str, tie: str, out: str, descending: bool = True, width: float = 0.001, count: str | None = None) -> DataFrame:
     """``df`` with the row number ``out`` (from 1) of each row of a group by score, then by the string ``tie``.
 
-    A group is cut into ranges of score and, within one, by the first characters of
-    the tie; rows are numbered in each part and the sizes of the parts before are
-    added. So neither a large group nor a frequent score is one task's work. ``count``
-    names a column for the size of the group.
+    Rows are counted by group, score and the first characters of the tie; running sums
+    of the counts give each of these cells its first number, and only the rows of one
+    cell are sorted together. So neither a large group nor a frequent score is one
+    task's work, and no task sees more than the distinct scores of a range of ``width``.
+    ``count`` names a column for the size of the group. Rows without a score are left out.
     """
     part = F.floor(F.col(score) / F.lit(width))
     # rows without a group are a group of their own, which a join would lose
-    p = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\0"))).withColumn("_part", -part if descending else part).withColumn("_first", F.substring(tie, 1, 2))
-    sizes = p.groupBy("_g", "_part", "_first").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_g", "_part")
-    # a frequent score is split by its ties only where all rows of the part have one score
-    ends = p.groupBy("_g", "_part").agg((F.min(score) == F.max(score)).alias("_flat"), F.count(F.lit(1)).alias("_all"))
-    inner = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(w.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    outer = ends.withColumn("_out", F.coalesce(F.sum("_all").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if count:
-        outer = outer.withColumn(count, F.sum("_all").over(Window.partitionBy("_g")))
-    j = p.join(outer.drop("_all"), ["_g", "_part"]).join(inner, ["_g", "_part", "_first"])
-    j = j.withColumn("_cell", F.when(F.col("_flat"), F.col("_first")))
+    p = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    p = p.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("\0"))).withColumn("_part", -part if descending else part).withColumn("_first", F.substring(tie, 1, 2))
     order = F.col(score).desc() if descending else F.col(score)
-    inside = F.row_number().over(Window.partitionBy("_g", "_part", "_cell").orderBy(order, tie))
-    number = F.col("_out") + F.when(F.col("_flat"), F.col("_in")).otherwise(F.lit(0)) + inside
-    return j.withColumn(out, number).drop("_g", "_part", "_first", "_flat", "_out", "_in", "_cell")
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = p.groupBy("_g", "_part", score, "_first").agg(F.count(F.lit(1)).alias("_n"))
+    of_score = cells.groupBy("_g", "_part", score).agg(F.sum("_n").alias("_n"))
+    of_part = of_score.groupBy("_g", "_part").agg(F.sum("_n").alias("_n"))
+    cells = cells.withColumn("_c", before(Window.partitionBy("_g", "_part", score).orderBy("_first"))).drop("_n")
+    of_score = of_score.withColumn("_s", before(Window.partitionBy("_g", "_part").orderBy(order))).drop("_n")
+    of_part = of_part.withColumn("_p", before(Window.partitionBy("_g").orderBy("_part")))
+    if count:
+        of_part = of_part.withColumn(count, F.sum("_n").over(Window.partitionBy("_g")))
+    starts = cells.join(of_score, ["_g", "_part", score]).join(of_part.drop("_n"), ["_g", "_part"])
+    inside = F.row_number().over(Window.partitionBy("_g", "_part", score, "_first").orderBy(tie))
+    j = p.join(starts, ["_g", "_part", score, "_first"]).withColumn(out, F.col("_p") + F.col("_s") + F.col("_c") + inside)
+    return j.select(*df.columns, *([count] if count else []), out)

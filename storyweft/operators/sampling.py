@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions import vectors as V
+from .judging import judge_queue, unanswered
 from .ranking import numbered
 
 
@@ -24,11 +25,19 @@ def label_sample(pairs: DataFrame, already: DataFrame, floor: float, width: floa
     return ranked.join(have, "bucket", "left").where(F.col("rn") <= cap - F.coalesce("have", F.lit(0))).drop("have", "rn")
 
 
-def labelling_order(pairs: DataFrame, buckets: int = 8) -> DataFrame:
-    """``pairs`` with ``turn`` and ``bucket``: round-robin over score buckets, high scores first."""
-    ends = pairs.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    b = pairs.join(F.broadcast(ends)).withColumn("bucket", V.spread_bucket(F.col("score"), F.col("_lo"), F.col("_hi"), buckets)).drop("_lo", "_hi")
-    return numbered(b, "bucket", "score", "pair_id", "turn")
+def labelling_order(pairs: DataFrame, tau_low: float, tau_high: float, buckets: int = 8) -> DataFrame:
+    """``pairs`` with ``bucket``, ``turn`` and ``place``: round-robin over equal slices of [tau_low, tau_high), high scores first.
+
+    Scores outside go to the nearest slice; one slice if the two are equal. ``turn``
+    counts within a slice, ``place`` (from 1) over all.
+    """
+    b = pairs.withColumn("bucket", V.spread_bucket(F.col("score"), F.lit(float(tau_low)), F.lit(float(tau_high)), buckets))
+    turns = numbered(b, "bucket", "score", "pair_id", "turn")
+    # the sizes of the slices are one row
+    sizes = b.where(F.col("score").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("bucket", "n")).alias("_sizes"))
+    full = F.aggregate("_sizes", F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], F.col("turn") - 1))
+    round_ = F.size(F.filter("_sizes", lambda x: (x["n"] >= F.col("turn")) & (x["bucket"] <= F.col("bucket"))))
+    return turns.join(F.broadcast(sizes)).withColumn("place", full + round_).drop("_sizes")
 
 
 def allocate(bands: DataFrame, budget: int) -> DataFrame:
@@ -67,7 +76,7 @@ def page(pool: DataFrame, labels: DataFrame, edges: list[float], budget: int) ->
     return interleave(stride(free, allocate(sizes, budget)))
 
 
-def queue_page(queue: DataFrame, budget: int) -> DataFrame:
-    """Head of the queue in scattered order."""
-    head = queue.orderBy(F.col("score").desc(), "pair_id").limit(budget)
+def queue_page(pairs: DataFrame, judged: DataFrame, budget: int) -> DataFrame:
+    """The first unjudged pairs of the judge's queue with ``place``, a scattered order; none for a budget of 0 or less."""
+    head = judge_queue(unanswered(pairs, judged), max(budget, 0))
     return head.withColumn("place", U.scatter("pair_id"))

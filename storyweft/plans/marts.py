@@ -35,7 +35,9 @@ def gate(spark, d):
     return feeds.gates(feeds.measure(table(spark, d, "incoming"), NOW)).select("outlet", "has_lede", "stale", "reasons")
 
 
-MEMBERS_SQL = _GROUPED + """, k AS (SELECT component FROM g GROUP BY component HAVING count(DISTINCT outlet) >= 2), m AS (SELECT g.component AS story, item_id, outlet, published FROM g JOIN k USING (component))"""
+MEMBERS_SQL = _GROUPED + """, k AS (SELECT component FROM g GROUP BY component HAVING count(DISTINCT outlet) >= 2), m AS (SELECT g.component AS story, item_id, outlet, published FROM g JOIN k USING (component)),
+    v AS (SELECT story, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS severity FROM (SELECT story, CASE WHEN count(*) > 2 THEN 'high' WHEN count(*) = 2 THEN 'medium' ELSE 'low' END AS severity
+      FROM quotes q JOIN m ON m.item_id = q.item_id WHERE claim_id IS NULL GROUP BY story, q.cluster_id) GROUP BY story)"""
 
 
 def members(spark, d):
@@ -54,15 +56,22 @@ def outlet_stats(spark, d):
     return marts.outlet_stats(m, quoted)
 
 
-@query("s04_stories", MEMBERS_SQL + " SELECT story, substr(min(published), 1, 10) AS date, count(DISTINCT outlet) AS outlets, count(*) AS items FROM m GROUP BY story")
+@query("s04_stories", MEMBERS_SQL + " SELECT story, substr(min(published), 1, 10) AS date, count(DISTINCT outlet) AS outlets, count(*) AS items, coalesce(any_value(v.severity), 0) AS severity FROM m LEFT JOIN v USING (story) GROUP BY story")
 def stories(spark, d):
-    return marts.story_table(members(spark, d))
+    return marts.story_table(*severities(spark, d))
 
 
-@query("w14_front_page", MEMBERS_SQL + """, s AS (SELECT story, substr(min(published), 1, 10) AS date, count(DISTINCT outlet) AS outlets, count(*) AS items FROM m GROUP BY story)
-    SELECT * FROM s WHERE date IN (SELECT DISTINCT date FROM s ORDER BY date DESC LIMIT 4)""")
+def severities(spark, d):
+    """Members, and discrepancies of a severity by the number of quotes without a claim."""
+    m = members(spark, d)
+    q = table(spark, d, "quotes").where("claim_id IS NULL").join(m.select("item_id", "story"), "item_id").groupBy("story", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return m, q.select("story", F.when(F.col("n") > 2, "high").when(F.col("n") == 2, "medium").otherwise("low").alias("severity"))
+
+
+@query("w14_front_page", MEMBERS_SQL + """, s AS (SELECT story, substr(min(published), 1, 10) AS date, count(DISTINCT outlet) AS outlets, count(*) AS items, coalesce(any_value(v.severity), 0) AS severity FROM m LEFT JOIN v USING (story) GROUP BY story)
+    SELECT *, row_number() OVER (ORDER BY date DESC, outlets DESC, severity DESC, story DESC) AS place FROM s WHERE date IN (SELECT DISTINCT date FROM s ORDER BY date DESC LIMIT 4)""")
 def front(spark, d):
-    return marts.front_page(marts.story_table(members(spark, d)))
+    return marts.front_page(marts.story_table(*severities(spark, d)))
 
 
 @query("s06_story_links", MEMBERS_SQL + " SELECT story, item_id, outlet, published, row_number() OVER (PARTITION BY story ORDER BY outlet, published, item_id) AS place FROM m")
@@ -83,6 +92,11 @@ def first_to_report(spark, d):
     return at.withColumn("r", F.rank().over(Window.partitionBy("story").orderBy("published"))).where("r = 1").select("story", "outlet")
 
 
+@query("j23_claim_cells", "SELECT cluster_id, claim_id, outlet, list_sort(list(DISTINCT quote)) AS quotes FROM quotes WHERE claim_id IS NOT NULL GROUP BY 1, 2, 3")
+def claim_cells(spark, d):
+    return marts.claim_cells(table(spark, d, "quotes"))
+
+
 @query("j23_claims_matrix", """SELECT cluster_id, claim_id, nullif(count(*) FILTER (outlet = 'pixel-harbor'), 0) AS "pixel-harbor", nullif(count(*) FILTER (outlet = 'deltacourier'), 0) AS deltacourier
     FROM quotes WHERE claim_id IS NOT NULL GROUP BY 1, 2""")
 def claims(spark, d):

@@ -56,10 +56,9 @@ def cosine_pairs(spark, d):
     return pairs.score_pairs(pairs.comparable(table(spark, d, "vectors")), 0.8)
 
 
-@query("j01_cosine_join", COSINE_SQL.replace("FROM u x", "FROM u x").replace("WHERE round", "WHERE x.model_id = 'prism-32m' AND round"))
+@query("j01_cosine_join", COSINE_SQL)
 def cosine_join(spark, d):
-    v = table(spark, d, "vectors").where("model_id = 'prism-32m'")
-    return pairs.score_pairs_sql(pairs.comparable(v), 0.8)
+    return pairs.score_pairs_sql(pairs.comparable(table(spark, d, "vectors")), 0.8)
 
 
 @query("j01_cosine_join_all", COSINE_SQL)
@@ -125,10 +124,10 @@ def quote_check(spark, d):
     return quote_problems(table(spark, d, "quotes"), i).select("quote_id", "problem")
 
 
-@query("j17_answered_by_both", "SELECT DISTINCT pair_id FROM judgments WHERE backend = 'nightly' AND pair_id IN (SELECT pair_id FROM judgments WHERE backend = 'quickjudge')")
+@query("j17_answered_by_both", "SELECT DISTINCT pair_id FROM judgments WHERE backend = 'api' AND pair_id IN (SELECT pair_id FROM judgments WHERE backend <> 'api')")
 def answered_by_both(spark, d):
     j = table(spark, d, "judgments")
-    return j.where("backend = 'nightly'").select("pair_id").distinct().join(j.where("backend = 'quickjudge'").select("pair_id"), "pair_id", "left_semi")
+    return j.where("backend = 'api'").select("pair_id").distinct().join(j.where("backend <> 'api'").select("pair_id"), "pair_id", "left_semi")
 
 
 @query("j18_import_problems", f"""WITH {PAIRS_SQL}, k AS (SELECT pair_id, max(round(score, 4)) AS s FROM p GROUP BY 1),
@@ -153,16 +152,16 @@ def pool(spark, d):
     return judging.labelling_pool(pick("borderline", "pending"), pick("sample", "sample"))
 
 
-@query("u02_answered_ids", "SELECT pair_id FROM judgments WHERE backend = 'api' UNION SELECT pair_id FROM judgments WHERE backend = 'nightly'")
+@query("u02_answered_ids", "SELECT pair_id FROM judgments WHERE backend = 'api' UNION SELECT pair_id FROM judgments WHERE backend <> 'api'")
 def answered_ids(spark, d):
     j = table(spark, d, "judgments")
-    return j.where("backend = 'api'").select("pair_id").union(j.where("backend = 'nightly'").select("pair_id")).distinct()
+    return j.where("backend = 'api'").select("pair_id").union(j.where("backend <> 'api'").select("pair_id")).distinct()
 
 
-@query("u03_agreed_pairs", "SELECT pair_id FROM judgments WHERE same_story AND backend = 'nightly' INTERSECT SELECT pair_id FROM judgments WHERE same_story AND backend = 'quickjudge'")
+@query("u03_agreed_pairs", "SELECT pair_id FROM judgments WHERE same_story AND backend = 'api' INTERSECT SELECT pair_id FROM judgments WHERE same_story AND backend <> 'api'")
 def agreed(spark, d):
     j = table(spark, d, "judgments").where("same_story")
-    return j.where("backend = 'nightly'").select("pair_id").intersect(j.where("backend = 'quickjudge'").select("pair_id"))
+    return j.where("backend = 'api'").select("pair_id").intersect(j.where("backend <> 'api'").select("pair_id"))
 
 
 @query("u05_pruned_vectors", "SELECT item_id FROM vectors EXCEPT SELECT id FROM items")
@@ -191,11 +190,11 @@ def comps(spark, d):
     return components.components(strong(spark, d))
 
 
-@query("f04_labelled_clusters", f"""WITH RECURSIVE links AS (SELECT DISTINCT lower(trim(item_id_a)) AS u, lower(trim(item_id_b)) AS v FROM judgments WHERE same_story AND backend = 'nightly' AND lower(trim(item_id_a)) <> lower(trim(item_id_b))), {REACH}
+@query("f04_labelled_clusters", f"""WITH RECURSIVE links AS (SELECT DISTINCT lower(trim(item_id_a)) AS u, lower(trim(item_id_b)) AS v FROM judgments WHERE same_story AND lower(trim(item_id_a)) <> lower(trim(item_id_b))), {REACH}
     SELECT component, count(*) AS size, count(DISTINCT i.outlet) AS outlets FROM comp JOIN (SELECT id, min(outlet) AS outlet FROM items GROUP BY id) i ON i.id = item_id GROUP BY component HAVING count(DISTINCT i.outlet) >= 2""")
 def labelled_clusters(spark, d):
     clean = lambda c: F.lower(F.btrim(c))
-    j = table(spark, d, "judgments").where("same_story AND backend = 'nightly'").select(clean("item_id_a").alias("u"), clean("item_id_b").alias("v")).where("u <> v")
+    j = table(spark, d, "judgments").where("same_story").select(clean("item_id_a").alias("u"), clean("item_id_b").alias("v")).where("u <> v")
     i = table(spark, d, "items").groupBy(F.col("id").alias("item_id")).agg(F.min("outlet").alias("outlet"))
     g = components.components(j).join(i, "item_id")
     return clusters.component_sizes(g).where("fate = 'kept'").select("component", "size", "outlets")

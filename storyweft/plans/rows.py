@@ -72,7 +72,15 @@ def author(spark, d):
     return table(spark, d, "incoming").select("entry_id", T.author_name(F.col("author")).alias("author"))
 
 
-@query("c05_tags", f"SELECT id, list_filter(list_transform(tags, lambda t: {squeezed('t')}), lambda t: t <> '') AS tags FROM items")
+def unmarked(c: str) -> str:
+    """Text without tags, the five basic entities and the no-break space resolved."""
+    out = f"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    return out
+
+
+@query("c05_tags", f"SELECT id, list_filter(list_transform(tags, lambda t: {squeezed(unmarked('t'))}), lambda t: t <> '') AS tags FROM items")
 def tags(spark, d):
     return table(spark, d, "items").select("id", T.clean_tags(F.col("tags")).alias("tags"))
 
@@ -119,9 +127,9 @@ def cluster_id(spark, d):
     return table(spark, d, "items").select("id", U.cluster_id(F.col("id"), F.col("published")).alias("cluster_id"))
 
 
-@query("c15_pair_id", "SELECT least(a, b) || '-' || greatest(a, b) AS pair_id, score FROM pairs")
+@query("c15_pair_id", "SELECT least(a, b) || '-' || greatest(a, b) AS pair_id, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM pairs")
 def pair_id(spark, d):
-    return table(spark, d, "pairs").select(U.pair_id(F.col("a"), F.col("b")).alias("pair_id"), "score")
+    return table(spark, d, "pairs").select(U.pair_id(F.col("a"), F.col("b")).alias("pair_id"), F.nanvl("score", F.lit(None).cast("double")).alias("score"))
 
 
 @query("c16_scatter")
@@ -188,10 +196,10 @@ def hash_vector(spark, d):
 
 
 @query("c29_sample_bucket", """
-    SELECT a, b, score, CASE WHEN score IS NOT NULL AND NOT isnan(score) THEN least(greatest(CAST(floor((round(score, 6) - 0.3) / 0.05) AS INTEGER), 0), 13) END AS bucket FROM pairs""")
+    SELECT a, b, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, CASE WHEN score IS NOT NULL AND NOT isnan(score) THEN least(greatest(CAST(floor((round(score, 6) - 0.3) / 0.05) AS INTEGER), 0), 13) END AS bucket FROM pairs""")
 def sample_bucket(spark, d):
     fine = F.col("score").isNotNull() & ~F.isnan("score")
-    return table(spark, d, "pairs").select("a", "b", "score", F.when(fine, V.sample_bucket(F.col("score"), 0.3, 0.05)).alias("bucket"))
+    return table(spark, d, "pairs").select("a", "b", F.nanvl("score", F.lit(None).cast("double")).alias("score"), F.when(fine, V.sample_bucket(F.col("score"), 0.3, 0.05)).alias("bucket"))
 
 
 @query("c30_spread_bucket", """
@@ -312,10 +320,8 @@ def session(spark, d):
 @query("w03_gaps", """
     SELECT event_id, date_diff('second', date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), date_trunc('second', ts)) AS gap FROM events""")
 def gaps(spark, d):
-    from pyspark.sql import Window
-
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", (F.unix_timestamp("ts") - F.unix_timestamp(before)).alias("gap"))
+    e = feeds.with_previous_time(table(spark, d, "events"), "user_id", "ts", "event_id", "before")
+    return e.select("event_id", (F.unix_timestamp("ts") - F.unix_timestamp("before")).alias("gap"))
 
 
 @query("w15_first_of_group", "SELECT outlet, id FROM (SELECT outlet, id, row_number() OVER (PARTITION BY outlet ORDER BY published, id, fetched) AS r FROM items) WHERE r = 1")
@@ -324,20 +330,20 @@ def first_of_group(spark, d):
 
 
 @query("c10_pair_question", """
-    SELECT pair_id, '{"title":"' || x.outlet || '","other":"' || y.outlet || '"}' AS question FROM (SELECT DISTINCT a || '-' || b AS pair_id, a, b FROM pairs) p
-    JOIN (SELECT id, min(outlet) AS outlet FROM items GROUP BY id) x ON p.a = x.id JOIN (SELECT id, min(outlet) AS outlet FROM items GROUP BY id) y ON p.b = y.id""")
+    SELECT pair_id, CAST(json_object('title', x.title, 'other', y.title) AS VARCHAR) AS question FROM (SELECT DISTINCT a || '-' || b AS pair_id, a, b FROM pairs) p
+    JOIN (SELECT id, min(coalesce(title, '')) AS title FROM items GROUP BY id) x ON p.a = x.id JOIN (SELECT id, min(coalesce(title, '')) AS title FROM items GROUP BY id) y ON p.b = y.id""")
 def pair_question(spark, d):
-    i = table(spark, d, "items").groupBy("id").agg(F.min("outlet").alias("outlet"))
+    i = table(spark, d, "items").groupBy("id").agg(F.min(F.coalesce("title", F.lit(""))).alias("title"))
     p = table(spark, d, "pairs").select("a", "b").distinct().withColumn("pair_id", F.concat("a", F.lit("-"), "b"))
-    j = p.join(i.select(F.col("id").alias("a"), F.col("outlet").alias("x")), "a").join(i.select(F.col("id").alias("b"), F.col("outlet").alias("y")), "b")
+    j = p.join(i.select(F.col("id").alias("a"), F.col("title").alias("x")), "a").join(i.select(F.col("id").alias("b"), F.col("title").alias("y")), "b")
     return j.select("pair_id", T.pair_question(F.col("x").alias("title"), F.col("y").alias("other")).alias("question"))
 
 
-@query("b13_stable_json", """SELECT '{"id":"' || id || '","outlet":"' || outlet || '","published":"' || published || '"}' AS json FROM items""")
+@query("b13_stable_json", """SELECT CAST(to_json({'author': author, 'fetched': fetched, 'id': id, 'lede': lede, 'outlet': outlet, 'published': published, 'tags': tags, 'title': title, 'url': url}) AS VARCHAR) AS json FROM items""")
 def stable_json(spark, d):
     from ..sources.sinks import stable_json as as_json
 
-    return as_json(table(spark, d, "items").select("published", "outlet", "id"))
+    return as_json(table(spark, d, "items"))
 
 
 @query("b14_best_run", """

@@ -103,10 +103,11 @@ def label_sample(spark, d):
     return sampling.label_sample(p, already, 0.3, 0.05, 20).select("pair_id", "score", "bucket")
 
 
-@query("w06_labelling_order", f"""WITH {PAIRS_SQL}, e AS (SELECT min(score) AS lo, max(score) AS hi FROM p), b AS (SELECT pair_id, score, CASE WHEN hi <= lo THEN 0 ELSE least(greatest(CAST(floor((score - lo) / (hi - lo) * 8) AS INTEGER), 0), 7) END AS bucket FROM p, e)
-    SELECT pair_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, pair_id) AS turn FROM b""")
+@query("w06_labelling_order", f"""WITH {PAIRS_SQL}, b AS (SELECT pair_id, score, least(greatest(CAST(floor((score - 0.57::DOUBLE) / (0.80::DOUBLE - 0.57::DOUBLE) * 8) AS INTEGER), 0), 7) AS bucket FROM p),
+    t AS (SELECT pair_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, pair_id) AS turn FROM b)
+    SELECT *, row_number() OVER (ORDER BY turn, bucket) AS place FROM t""")
 def labelling_order(spark, d):
-    return sampling.labelling_order(scored(spark, d)).select("pair_id", "bucket", "turn")
+    return sampling.labelling_order(scored(spark, d), 0.57, 0.80).select("pair_id", "bucket", "turn", "place")
 
 
 EDGES = [0.80, 0.75, 0.70, 0.65, 0.60]
@@ -141,7 +142,13 @@ def page(spark, d):
 
 @query("w11_queue_page")
 def queue_page(spark, d):
-    return sampling.queue_page(scored(spark, d), 100).select("pair_id", "place")
+    return sampling.queue_page(scored(spark, d).where("score >= 0.57"), answers(spark, d), 100).select("pair_id", "place")
+
+
+@query("w11_queue_head", f"""WITH {PAIRS_SQL} SELECT pair_id FROM p WHERE score >= 0.57 AND pair_id NOT IN (SELECT pair_id FROM judgments WHERE same_story IS NOT NULL)
+    ORDER BY coalesce(outlet_a = outlet_b, false), score DESC, pair_id LIMIT 100""")
+def queue_head(spark, d):
+    return sampling.queue_page(scored(spark, d).where("score >= 0.57"), answers(spark, d), 100).select("pair_id")
 
 
 @query("g18_band_table", f"""WITH {PAIRS_SQL}, q AS (SELECT {_BAND} AS band, pair_id IN (SELECT pair_id FROM judgments) AS done FROM p)
