@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -42,26 +43,37 @@ def embed_by_hash(items: DataFrame, vectors: DataFrame, dim: int = 8) -> DataFra
     return todo.select(F.col("id").alias("item_id"), F.lit(model).alias("model_id"), F.lit(dim).alias("dim"), hash_vector(embed_text(F.col("title"), F.col("lede")), dim).alias("vector"))
 
 
-def ask(questions: DataFrame, make_post: Callable[[], Callable[[str], float]], retries: int = 4) -> DataFrame:
-    """``questions`` (``pair_id``, ``body``) with ``p``, or ``error`` after the retries; p must lie in [0, 1]."""
+def ask(questions: DataFrame, make_post: Callable[[], Callable[[str], float]], retries: int = 4, wait: float = 1.0) -> DataFrame:
+    """``questions`` (``pair_id``, ``body``) with ``p``, or ``error``.
+
+    An answer is a number in [0, 1]; anything else, a boolean or a text among them, is
+    an error at once. A failed call is tried again, after ``wait`` seconds and twice as
+    long each time, unless its exception has a ``status`` that blames the request (400
+    to 499, other than 408 and 429).
+    """
+
+    def answer(post, body) -> tuple[float | None, str | None]:
+        error = "not asked"
+        for n in range(retries):
+            if n and wait:
+                time.sleep(wait * 2 ** (n - 1))
+            try:
+                p = post(body)
+            except Exception as e:  # noqa: BLE001 - any failure of a call is data
+                error, status = str(e)[:200], getattr(e, "status", None)
+                if isinstance(status, int) and 400 <= status < 500 and status not in (408, 429):
+                    break
+                continue
+            if isinstance(p, bool) or not isinstance(p, int | float):
+                return None, f"{p!r} is no number"[:200]
+            return (float(p), None) if 0 <= p <= 1 else (None, "outside [0, 1]")
+        return None, error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         post = make_post()
         for f in frames:
-            ps, errors = [], []
-            for body in f["body"]:
-                p, error = None, None
-                for _ in range(retries):
-                    try:
-                        p = float(post(body))
-                        error = None if 0 <= p <= 1 else "outside [0, 1]"
-                        p = p if error is None else None
-                        break
-                    except Exception as e:  # noqa: BLE001 - any failure of a call is data
-                        error = str(e)[:200]
-                ps.append(p)
-                errors.append(error)
-            yield pd.DataFrame({"pair_id": f["pair_id"], "p": pd.Series(ps, dtype="float64"), "error": pd.Series(errors, dtype="object")})
+            said = [answer(post, body) for body in f["body"]]
+            yield pd.DataFrame({"pair_id": f["pair_id"], "p": pd.Series([p for p, _ in said], dtype="float64"), "error": pd.Series([e for _, e in said], dtype="object")})
 
     return questions.select("pair_id", "body").mapInPandas(run, "pair_id string, p double, error string")
 

@@ -130,10 +130,59 @@ def weighted(spark, d):
     return marts.weighted_score(g, {"n": 4.0, "a": 3.0, "l": 2.0}).select("outlet", "total")
 
 
-@query("v01_analysis_problems")
+_BUILT = """
+    b AS (SELECT DISTINCT cluster_id, claim_id, coalesce(outlet, '') AS outlet, coalesce(item_id, '') AS item_id, coalesce(quote, '') AS quote FROM quotes WHERE cluster_id IS NOT NULL),
+    c AS (SELECT cluster_id, count(DISTINCT claim_id) AS claims, bool_or(length(quote) < 3) AS short, bool_or(length(quote) > 400) AS long, bool_or(NOT regexp_matches(claim_id, '^c[0-9]{1,2}$')) AS odd,
+      bool_or(NOT regexp_matches(item_id, '^[0-9a-f]{40}$')) AS unknown, bool_or(outlet = '') AS nowhere FROM b WHERE claim_id IS NOT NULL GROUP BY 1),
+    d AS (SELECT cluster_id, count(*) AS n, count(DISTINCT outlet) AS outlets, bool_or(length(quote) < 3) AS short, bool_or(length(quote) > 400) AS long,
+      bool_or(NOT regexp_matches(item_id, '^[0-9a-f]{40}$')) AS unknown, bool_or(outlet = '') AS nowhere FROM b WHERE claim_id IS NULL GROUP BY 1),
+    a AS (SELECT cluster_id FROM b GROUP BY 1),
+    e AS (SELECT cluster_id, unnest(list_filter([CASE WHEN NOT regexp_matches(cluster_id, '^[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9a-f]{6}$') THEN 'cluster_id: pattern' END,
+      CASE WHEN coalesce(claims, 0) = 0 THEN 'claims: minItems' END, CASE WHEN claims > 20 THEN 'claims: maxItems' END, CASE WHEN odd THEN 'claims/id: pattern' END,
+      CASE WHEN c.short THEN 'claims/sources/quote: minLength' END, CASE WHEN c.long THEN 'claims/sources/quote: maxLength' END, CASE WHEN c.unknown THEN 'claims/sources/item_id: pattern' END, CASE WHEN c.nowhere THEN 'claims/sources/outlet: minLength' END,
+      CASE WHEN d.n = 1 THEN 'discrepancies/quotes: minItems' END, CASE WHEN d.short THEN 'discrepancies/quotes/quote: minLength' END, CASE WHEN d.long THEN 'discrepancies/quotes/quote: maxLength' END,
+      CASE WHEN d.unknown THEN 'discrepancies/quotes/item_id: pattern' END, CASE WHEN d.nowhere THEN 'discrepancies/quotes/outlet: minLength' END], lambda p: p IS NOT NULL)) AS problem FROM a LEFT JOIN c USING (cluster_id) LEFT JOIN d USING (cluster_id))"""
+
+
+def built_analyses(spark, d):
+    """An analysis of each cluster made of its quotes: those without a claim are one discrepancy."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    q = table(spark, d, "quotes").where("cluster_id IS NOT NULL").select("cluster_id", "claim_id", F.struct(blank("outlet").alias("outlet"), blank("item_id").alias("item_id"), blank("quote").alias("quote")).alias("q")).distinct()
+    of_claim = q.where("claim_id IS NOT NULL").groupBy("cluster_id", "claim_id").agg(F.sort_array(F.collect_list("q")).alias("sources"))
+    claims = of_claim.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct(F.col("claim_id").alias("id"), F.lit("It was said.").alias("statement"), "sources"))).alias("claims"))
+    found = q.where("claim_id IS NULL").groupBy("cluster_id").agg(F.sort_array(F.collect_list("q")).alias("quotes"))
+    found = found.select("cluster_id", F.array(F.struct(F.lit("number").alias("kind"), F.lit("low").alias("severity"), F.lit("They differ.").alias("explanation"), "quotes")).alias("discrepancies"))
+    whole = q.select("cluster_id").distinct().join(claims, "cluster_id", "left").join(found, "cluster_id", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(whole.schema[c].dataType))
+    text = F.to_json(F.struct(
+        "cluster_id", F.lit(1).alias("cluster_version"), F.lit("api").alias("backend"), F.lit("m").alias("model"), F.lit("2026-01-01T00:00:00Z").alias("generated_at"), F.lit("A headline").alias("headline"),
+        F.lit("A summary.").alias("summary"), none("claims").alias("claims"), none("discrepancies").alias("discrepancies"), F.lit("partial").alias("agreement"),
+    ))
+    return whole.select("cluster_id", text.alias("text"))
+
+
+@query("v01_analysis_problems", f"""WITH {_BUILT} SELECT * FROM e
+    UNION ALL SELECT cluster_id, 'discrepancies: one outlet' FROM d WHERE outlets < 2 AND cluster_id NOT IN (SELECT cluster_id FROM e)""")
 def analysis_problems(spark, d):
-    from ..operators.contract import parse_analyses, schema_problems
-
-    raw = table(spark, d, "documents").where("kind = 'analysis'").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    parsed = parse_analyses(raw).where("readable").select(F.col("doc_id").alias("cluster_id"), *[F.col(f"parsed.{c}") for c in ("headline", "summary", "claims", "discrepancies")])
-    return schema_problems(parsed)
+    from ..operators.contract import schema_problems
+
+    return schema_problems(built_analyses(spark, d)).select("cluster_id", "problem")
+
+
+@query("d13_publishable", f"""WITH {_BUILT},
+    k AS (SELECT cluster_id, CASE WHEN count(DISTINCT item_id) % 3 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN count(DISTINCT item_id) % 5 = 0 THEN 'superseded' ELSE 'analyzed' END AS status FROM quotes WHERE claim_id IS NOT NULL GROUP BY 1),
+    i AS (SELECT id, min(outlet) AS outlet, min(coalesce(title, '')) AS title, min(coalesce(lede, '')) AS lede FROM items GROUP BY id),
+    x AS (SELECT b.*, i.id, i.outlet AS o, trim(regexp_replace(b.quote, '{S}+', ' ', 'g')) AS q, trim(regexp_replace(title, '{S}+', ' ', 'g')) AS t, trim(regexp_replace(lede, '{S}+', ' ', 'g')) AS l FROM b LEFT JOIN i ON i.id = b.item_id),
+    w AS (SELECT DISTINCT cluster_id FROM x WHERE id IS NULL OR outlet <> o OR q = '' OR NOT (contains(t, q) OR contains(l, q))
+      UNION SELECT cluster_id FROM b WHERE (cluster_id, item_id) NOT IN (SELECT (cluster_id, item_id) FROM quotes WHERE claim_id IS NOT NULL AND item_id IS NOT NULL)
+      UNION SELECT cluster_id FROM d WHERE outlets < 2)
+    SELECT a.cluster_id AS file_id, CASE WHEN a.cluster_id IN (SELECT cluster_id FROM e) OR version IS NULL THEN 'invalid' WHEN status = 'superseded' OR version <> 1 THEN 'stale'
+      WHEN a.cluster_id IN (SELECT cluster_id FROM w) THEN 'invalid' ELSE 'story' END AS outcome FROM a LEFT JOIN k USING (cluster_id)""")
+def publishable(spark, d):
+    from ..operators.contract import publishable as outcome_of
+
+    q = table(spark, d, "quotes").where("claim_id IS NOT NULL")
+    n = q.groupBy("cluster_id").agg(F.countDistinct("item_id").alias("n"))
+    stored = n.select("cluster_id", F.when(F.col("n") % 3 == 0, 2).otherwise(1).alias("version"), F.when(F.col("n") % 5 == 0, "superseded").otherwise("analyzed").alias("status"))
+    i = table(spark, d, "items").groupBy("id").agg(F.min("outlet").alias("outlet"), F.min(F.coalesce("title", F.lit(""))).alias("title"), F.min(F.coalesce("lede", F.lit(""))).alias("lede"))
+    return outcome_of(built_analyses(spark, d).withColumnRenamed("cluster_id", "file_id"), stored, q.select("cluster_id", "item_id"), i)

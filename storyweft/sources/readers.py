@@ -10,31 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.dedupe import best_run
 
-_RSS = "title string, link string, description string, author string, pubDate string, category array<string>, guid string"
-_ATOM = "title string, link array<struct<_href:string,_rel:string>>, summary string, content string, updated string, published string, author struct<name:string>, category array<struct<_term:string>>"
+_RSS = "title string, link string, description string, author string, pubDate string, category array<string>, guid string, `content:encoded` string, _broken string"
+_ATOM = "title string, link array<struct<_href:string,_rel:string>>, summary string, content string, updated string, published string, author struct<name:string>, category array<struct<_term:string>>, _broken string"
 
 
 def rss_entries(spark: SparkSession, path: str, outlet: str) -> DataFrame:
-    """Entries of RSS files in the columns of ``to_items``; ``fetched`` is the time of the file."""
-    raw = spark.read.format("xml").option("rowTag", "item").option("mode", "DROPMALFORMED").schema(_RSS).load(path)
+    """Entries of RSS files in the columns of ``to_items``; ``fetched`` is the time of the file.
+
+    An entry that can't be read comes with ``broken``, its text, and nothing else.
+    """
+    raw = _xml(spark, path, "item", _RSS)
     return raw.select(
-        F.lit(outlet).alias("outlet"), "link", "title", F.col("description").alias("summary"), "author", F.col("pubDate").alias("published"),
-        F.lit(None).cast("string").alias("updated"), F.coalesce("category", F.array().cast("array<string>")).alias("tags"), _fetched().alias("fetched"),
+        F.lit(outlet).alias("outlet"), "link", "title", F.coalesce(F.nullif("description", F.lit("")), F.col("`content:encoded`")).alias("summary"), "author", F.col("pubDate").alias("published"),
+        F.lit(None).cast("string").alias("updated"), F.coalesce("category", F.array().cast("array<string>")).alias("tags"), _fetched().alias("fetched"), F.col("_broken").alias("broken"),
     )
 
 
 def atom_entries(spark: SparkSession, path: str, outlet: str) -> DataFrame:
     """Entries of Atom files; the link is the alternate one, else the first."""
-    raw = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(_ATOM).load(path)
+    raw = _xml(spark, path, "entry", _ATOM)
     alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
     link = F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])
     return raw.select(
         F.lit(outlet).alias("outlet"), link.alias("link"), "title", F.coalesce(F.nullif("summary", F.lit("")), "content").alias("summary"), F.col("author.name").alias("author"),
-        "published", "updated", F.coalesce(F.transform("category", lambda c: c["_term"]), F.array().cast("array<string>")).alias("tags"), _fetched().alias("fetched"),
+        "published", "updated", F.coalesce(F.transform("category", lambda c: c["_term"]), F.array().cast("array<string>")).alias("tags"), _fetched().alias("fetched"), F.col("_broken").alias("broken"),
     )
 
 
+def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").schema(schema).load(path)
+
+
 def _fetched():
     return F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -49,6 +57,17 @@ def feed_entries(spark: SparkSession, feeds: list[tuple[str, str, str]]) -> Data
     return out
 
 
+def feed_failures(entries: DataFrame) -> DataFrame:
+    """``(outlet, entries, broken)``: how many entries of each outlet could not be read."""
+    return entries.groupBy("outlet").agg(F.count(F.lit(1)).alias("entries"), F.count("broken").alias("broken"))
+
+
+def read_runs(spark: SparkSession, path: str, limit: int | None = 14) -> DataFrame:
+    """Run records, one a date, the newest first; ``limit`` bounds the report."""
+    runs = best_run(read_json_table(spark, path, schemas.RUN)).orderBy(F.col("date").desc())
+    return runs if limit is None else runs.limit(limit)
+
+
 def read_items(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
     """Stored items; with ``since`` only partitions of that date and later, with no upper end."""
     items = spark.read.parquet(f"{root}/items")

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import first_by, new_rows
+from ..operators.dedupe import best_run, first_by, new_rows  # noqa: F401 - kept under its old name
 from ..workspace import remove_path
 
 
@@ -60,23 +60,39 @@ def changed_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_new", row_hash(rows, key)).join(old, key, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("_new"))).drop("_old", "_new")
 
 
-def upsert(rows: DataFrame, path: str, key: str) -> int:
-    """Write changed rows into a snapshot table; returns how many changed. Without a change nothing is written."""
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the complete snapshots of a table, oldest first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+    return [f"{path}/{n}" for n in names if n.startswith("snapshot-") and _exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete snapshot of a table written by ``upsert``."""
+    return spark.read.parquet(_snapshots(spark, path)[-1])
+
+
+def upsert(rows: DataFrame, path: str, key: str, keep: int = 2) -> int:
+    """Write a new snapshot with the changed rows; returns how many changed. Without a change nothing is written.
+
+    A snapshot counts once it is complete, and the one before stays until the next, so
+    neither a crash nor a reader of the old one loses the table. ``keep`` snapshots stay.
+    """
     spark = rows.sparkSession
-    if not _exists(spark, path):
-        rows.write.parquet(path)
-        return rows.count()
-    stored = spark.read.parquet(path)
+    known = _snapshots(spark, path)
+    n = int(known[-1].rsplit("-", 1)[1]) + 1 if known else 0
+    if not known:
+        rows.write.mode("overwrite").parquet(f"{path}/snapshot-{n:06d}")
+        return spark.read.parquet(f"{path}/snapshot-{n:06d}").count()
+    stored = spark.read.parquet(known[-1])
     changed = changed_rows(rows, stored, key)
-    n = changed.count()
-    if n:
-        fresh = f"{path}-{uuid.uuid4().hex[:8]}"
-        stored.join(changed.select(key), key, "left_anti").unionByName(changed).write.parquet(fresh)
-        remove_path(spark, path)
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(fresh)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(p, jvm.org.apache.hadoop.fs.Path(path))
-    return n
+    count = changed.count()
+    if count:
+        stored.join(changed.select(key), key, "left_anti").unionByName(changed).write.mode("overwrite").parquet(f"{path}/snapshot-{n:06d}")
+        for old in known[: -(keep - 1) or None]:
+            remove_path(spark, old)
+    return count
 
 
 def prune(kept: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -84,11 +100,6 @@ def prune(kept: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return stored.select(key).distinct().join(kept.select(key).distinct(), key, "left_anti")
 
 
-def best_run(runs: DataFrame) -> DataFrame:
-    """One record a date: one with a duration before one without, then the latest."""
-    return first_by(runs, ["date"], [F.col("duration_seconds").isNull(), F.col("finished_at").desc_nulls_last()])
-
-
 def set_status(clusters: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     """Clusters with a new status for the given ids; superseded ones stay."""
     hit = ids.select("cluster_id").distinct().withColumn("_hit", F.lit(True))

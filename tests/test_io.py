@@ -30,7 +30,7 @@ def test_upsert_writes_only_changes(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     assert sinks.upsert(df, path, "k") == 2 and sinks.upsert(df, path, "k") == 0
     assert sinks.upsert(spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string"), path, "k") == 2
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+    assert {tuple(r) for r in sinks.read_snapshot(spark, path).collect()} == {(1, "a"), (2, "b"), (3, "c")}
 
 
 def test_insert_once(spark, tmp_path):
@@ -106,15 +106,26 @@ def test_backends(spark):
     assert embed_by_hash(i, have).count() == 2
 
     def make():
+        tries = []
+
         def post(body):
+            if len(tries) > 1:
+                raise RuntimeError("asked again")
             if body == "bad":
                 raise RuntimeError("no")
-            return 2.0 if body == "high" else 0.5
+            if body == "refused":
+                error = RuntimeError("bad request")
+                error.status = 400
+                tries.append(body)
+                raise error
+            return {"high": 2.0, "true": True, "text": "0.5"}.get(body, 0.5)
 
         return post
 
-    q = spark.createDataFrame([("p", "ok"), ("q", "bad"), ("r", "high")], "pair_id string, body string")
-    assert {r.pair_id: (r.p, r.error) for r in ask(q, make).collect()} == {"p": (0.5, None), "q": (None, "no"), "r": (None, "outside [0, 1]")}
+    q = spark.createDataFrame([("p", "ok"), ("q", "bad"), ("r", "high"), ("s", "true"), ("t", "text"), ("u", "refused")], "pair_id string, body string")
+    assert {r.pair_id: (r.p, r.error) for r in ask(q.coalesce(1), make, wait=0).collect()} == {
+        "p": (0.5, None), "q": (None, "no"), "r": (None, "outside [0, 1]"), "s": (None, "True is no number"), "t": (None, "'0.5' is no number"), "u": (None, "bad request"),
+    }
 
 
 def test_settings(tmp_path, spark):

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -182,18 +183,120 @@ def test_quotes_and_analyses(spark):
     q = spark.createDataFrame([(1, "i", "o", "title here"), (2, "i", "x", "title"), (3, "z", "o", "t"), (4, "i", "o", "here A lede"), (5, "i", "o", "none"), (6, "i", "o", None), (7, "n", "o", "x")], "k int, item_id string, outlet string, quote string")
     got = {r.k: r.problem for r in contract.quote_problems(q, items).collect()}
     assert got == {1: None, 2: "outlet differs", 3: "item unknown", 4: "across title and lede", 5: "not verbatim", 6: "not verbatim", 7: "not verbatim"}
-    text = '{"cluster_id":"c","cluster_version":1,"headline":"H","summary":"S","claims":[{"id":"c1","statement":"x","sources":[{"outlet":"o","item_id":"i","quote":"abc"}]},{"id":"c1","statement":"x","sources":[]}],"discrepancies":[{"kind":"k","severity":"low","quotes":[{"outlet":"o","item_id":"i","quote":"q"}],"claim_ids":["c9"]}]}'
-    raw = spark.createDataFrame([(text,), ("{broken",), (None,)], "text string")
+
+
+H40 = "0123456789abcdef0123456789abcdef01234567"
+
+
+def analysis(**changes):
+    q = {"outlet": "o", "item_id": H40, "quote": "title here"}
+    a = {
+        "cluster_id": "2026-01-05-0a1b2c", "cluster_version": 1, "backend": "api", "model": "m", "generated_at": "2026-01-05T00:00:00Z", "headline": "H", "summary": "S",
+        "claims": [{"id": "c1", "statement": "x", "sources": [q]}], "agreement": "full",
+        "discrepancies": [{"kind": "number", "severity": "low", "explanation": "e", "quotes": [q, {**q, "outlet": "p"}], "claim_ids": ["c1"]}],
+    }
+    return json.dumps({k: v for k, v in (a | changes).items() if v is not None})
+
+
+def test_analysis_format(spark):
+    q = {"outlet": "o", "item_id": H40, "quote": "title here"}
+    odd = {"kind": "nonsense", "severity": "low", "explanation": "", "quotes": [q]}
+    cases = {
+        "good": (analysis(), set()),
+        "broken": ("{broken", {"document: unreadable"}),
+        "null": (None, {"document: unreadable"}),
+        "list": ("[]", {"document: type"}),
+        "extra": (analysis(extra=1), {"document: unknown field"}),
+        "missing": (analysis(agreement=None), {"document: agreement is missing"}),
+        "enum": (analysis(agreement="some", backend="other"), {"agreement: enum", "backend: enum"}),
+        "ids": (analysis(cluster_id="c", cluster_version=0, model=""), {"cluster_id: pattern", "cluster_version: minimum", "model: minLength"}),
+        "types": (analysis(cluster_version="1", headline=5), {"cluster_version: type", "headline: type"}),
+        "long": (analysis(headline="h" * 121, summary="s" * 601, notes="n" * 501), {"headline: maxLength", "summary: maxLength", "notes: maxLength"}),
+        "many": (analysis(claims=[{"id": f"c{n}", "statement": "x", "sources": [q]} for n in range(21)], discrepancies=[]), {"claims: maxItems"}),
+        "claims": (analysis(claims=[{"id": "d1", "statement": "", "sources": [], "more": 1}]), {"claims/id: pattern", "claims/statement: minLength", "claims/sources: minItems", "claims: unknown field"}),
+        "odd": (analysis(discrepancies=[odd]), {"discrepancies/kind: enum", "discrepancies/explanation: minLength", "discrepancies/quotes: minItems"}),
+        "quote": (analysis(claims=[{"id": "c1", "statement": "x", "sources": [{"outlet": "", "item_id": "i", "quote": "ab"}]}]), {"claims/sources/outlet: minLength", "claims/sources/item_id: pattern", "claims/sources/quote: minLength"}),
+        "words": (analysis(headline="a " * 16, summary="b " * 81), {"headline: over 15 words", "summary: over 80 words"}),
+        "twice": (analysis(claims=[{"id": "c1", "statement": "x", "sources": [q]}] * 2), {"claims: id twice"}),
+        "unknown": (analysis(discrepancies=[{"kind": "number", "severity": "low", "explanation": "e", "quotes": [q, q], "claim_ids": ["c9"]}]), {"discrepancies: unknown claim", "discrepancies: one outlet"}),
+    }
+    raw = spark.createDataFrame([(k, t, 1) for k, (t, _) in cases.items()], "cluster_id string, text string, problem int")
+    got = {k: set() for k in cases}
+    for r in contract.schema_problems(raw.drop("problem")).collect():
+        got[r.cluster_id].add(r.problem)
+    assert got == {k: want for k, (_, want) in cases.items()}
+    assert contract.schema_problems(raw.limit(0)).count() == 0
+
+
+def test_validation_against_clusters(spark):
+    c = "2026-01-05-0a1b2"
+    files = [(c + "c", analysis()), (c + "d", analysis(cluster_id=c + "e")), (c + "e", analysis(cluster_id=c + "e")), (c + "f", analysis(cluster_id=c + "f")), (c + "0", analysis(cluster_id=c + "0", cluster_version=2)), (c + "1", "{")]
+    raw = spark.createDataFrame(files, "file_id string, text string")
+    known = spark.createDataFrame([(c + "c", 1, "pending"), (c + "d", 1, "pending"), (c + "e", 1, "superseded"), (c + "0", 1, "pending")], "cluster_id string, version int, status string")
+    members = spark.createDataFrame([(c + x, H40) for x in "cde0"], "cluster_id string, item_id string")
+    items = spark.createDataFrame([(H40, "o", "A title  here", None)], "id string, outlet string, title string, lede string")
+    got = {}
+    for r in contract.validate(raw, known, members, items).collect():
+        got.setdefault(r.file_id[-1], set()).add(r.problem)
+    both = {"quotes: outlet differs"}  # the second quote names outlet p
+    assert got == {
+        "c": both, "d": both | {"cluster: another id"}, "e": both | {"cluster: superseded"}, "f": {"cluster: no cluster file", "quotes: item is not in cluster"}, "0": both | {"cluster: another version"},
+        "1": {"document: unreadable"},
+    }
+    assert {r.file_id[-1]: r.outcome for r in contract.publishable(raw, known, members, items).collect()} == {"c": "invalid", "d": "invalid", "e": "stale", "f": "invalid", "0": "stale", "1": "invalid"}
+
+
+def test_parsed_analyses(spark):
+    raw = spark.createDataFrame([(analysis(),), ("{broken",), (None,)], "text string")
     parsed = contract.parse_analyses(raw).where("readable").select("parsed.*")
-    problems = {r.problem for r in contract.schema_problems(parsed).collect()}
-    assert problems == {"claims: no source", "quotes: form", "claims: id twice", "discrepancies: unknown claim", "discrepancies: one outlet"}
-    assert contract.flat_quotes(parsed).count() == 2
-    known = spark.createDataFrame([("c", 2, "pending")], "cluster_id string, version int, status string")
+    assert contract.flat_quotes(parsed).count() == 3
+    known = spark.createDataFrame([("2026-01-05-0a1b2c", 2, "pending")], "cluster_id string, version int, status string")
     assert contract.cluster_problems(parsed, known).first().disposition == "stale"
-    good, bad = contract.split_valid(parsed, contract.schema_problems(parsed), "cluster_id")
+    problems = spark.createDataFrame([("2026-01-05-0a1b2c", "x")], "cluster_id string, problem string")
+    good, bad = contract.split_valid(parsed, problems, "cluster_id")
     assert good.count() == 0 and bad.count() == 1
 
 
+def test_labelling_order(spark):
+    rows = [("a", 0.79), ("b", 0.78), ("c", 0.58), ("d", 0.2), ("e", 3.0), ("f", 0.70)]
+    got = {r.pair_id: (r.bucket, r.turn, r.place) for r in sampling.labelling_order(spark.createDataFrame(rows, "pair_id string, score double"), 0.57, 0.80, 8).collect()}
+    # scores outside the band go to its ends; the slices take turns, from the lowest
+    assert got == {"c": (0, 1, 1), "f": (4, 1, 2), "e": (7, 1, 3), "d": (0, 2, 4), "a": (7, 2, 5), "b": (7, 3, 6)}
+
+
+def test_page_of_the_queue(spark):
+    rows = [("a-b", "a", "b", "o", "o", 0.79), ("c-d", "c", "d", "o", "p", 0.60), ("e-f", "e", "f", "o", "p", 0.58), ("g-h", "g", "h", "o", "p", 0.9), ("i-i", "i", "i", "o", "p", 0.9)]
+    p = spark.createDataFrame(rows, "pair_id string, a string, b string, outlet_a string, outlet_b string, score double")
+    done = spark.createDataFrame([("g-h",)], "pair_id string")
+    assert {r.pair_id for r in sampling.queue_page(p, done, 2).collect()} == {"c-d", "e-f"}
+    assert {r.pair_id for r in sampling.queue_page(p, done, 3).collect()} == {"c-d", "e-f", "a-b"}
+    assert sampling.queue_page(p, done, -1).count() == 0
+
+
+def test_front_page(spark):
+    m = spark.createDataFrame([(s, o, f"2026-01-0{d}T00:00:00Z", o) for s, d, n in (("s1", 1, 2), ("s2", 2, 2), ("s3", 2, 3), ("s4", 2, 2)) for o in "xyz"[:n]], "story string, outlet string, published string, item_id string")
+    d = spark.createDataFrame([("s2", "low"), ("s2", "high"), ("s4", "medium"), ("s1", "odd")], "story string, severity string")
+    rows = marts.front_page(marts.story_table(m, d), 2).collect()
+    assert [(r.story, r.place, r.severity) for r in rows] == [("s3", 1, 0), ("s2", 2, 3), ("s4", 3, 2), ("s1", 4, 0)]
+    assert [r.story for r in marts.front_page(marts.story_table(m), 1).collect()] == ["s3", "s4", "s2"]
+
+
+def test_labellable(spark):
+    df = spark.createDataFrame([("a", "x", "y", None, None), ("b", "x", "x", None, None), ("c", "x", "y", "list", None), ("d", None, "y", None, None)], "pair_id string, oa string, ob string, ca string, cb string")
+    rule = judging.is_labellable(F.col("oa"), F.col("ob"), F.col("ca"), F.col("cb"))
+    assert {r.pair_id for r in judging.labelling_pool(df, df, rule).collect()} == {"a", "d"}
+    labels = spark.createDataFrame([("a", False, "1"), ("a", True, "2"), ("z", True, "1")], "pair_id string, same_story boolean, at string")
+    pairs_, counts = judging.labelled_pairs(labels, df, [F.col("at").desc()])
+    assert [(r.pair_id, r.same_story) for r in pairs_.collect()] == [("a", True)] and tuple(counts.first()) == (1, 1)
+
+
+def test_tags_are_plain_text(spark):
+    df = spark.createDataFrame([(["<b>AI</b>  &amp; more", "R&D", "", None, "<i></i>"],), ([],), (None,)], "tags array<string>")
+    from storyweft.functions.text import clean_tags
+
+    assert [r[0] for r in df.select(clean_tags(F.col("tags"))).collect()] == [["AI & more", "R&D"], [], None]
+
+
 def test_judging(spark):
     j = "pair_id string, item_id_a string, item_id_b string, same_story boolean, judged_at string"
     human = spark.createDataFrame([("a-b", "a", "b", True, "1"), ("a-b", "a", "b", False, "2"), ("c-d", "c", "d", True, "1")], j)
