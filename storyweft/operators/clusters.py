@@ -63,7 +63,12 @@ def _signature(members: DataFrame, key: str) -> DataFrame:
 
 
 def update_clusters(items: DataFrame, links: DataFrame, clusters: DataFrame, members: DataFrame, min_outlets: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``(clusters, members)`` after new links.
+    """``(clusters, members)`` after new links; see ``cluster_state``."""
+    return cluster_state(items, links, clusters, members, min_outlets)[:2]
+
+
+def cluster_state(items: DataFrame, links: DataFrame, clusters: DataFrame, members: DataFrame, min_outlets: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(clusters, members, fates)`` after new links; ``fates`` are the components with a fate, ``stored`` where a cluster is touched.
 
     The clusters are ``(cluster_id, version, status, anchor, anchor_published,
     superseded_by, size, state)``, the members ``(cluster_id, item_id)``: one row an item,
@@ -110,7 +115,16 @@ def update_clusters(items: DataFrame, links: DataFrame, clusters: DataFrame, mem
     owner = winners.select("component", "cluster_id").unionByName(made.select("component", "cluster_id"))
     after = grouped.select("component", "item_id").join(owner, "component").select("cluster_id", "item_id")
     left = stored.select("cluster_id", "item_id").distinct().join(losers.select("cluster_id"), "cluster_id", "left_semi")
-    return kept.select(shape).unionByName(gone.select(shape)).unionByName(fresh.select(shape)), after.unionByName(left)
+    known_to = touched.select("component").distinct().withColumn("_t", F.lit(True))
+    fates = component_sizes(grouped, min_outlets).join(known_to, "component", "left")
+    fates = fates.withColumn("fate", F.when(F.col("_t").isNotNull(), "stored").otherwise(F.col("fate"))).drop("_t")
+    return kept.select(shape).unionByName(gone.select(shape)).unionByName(fresh.select(shape)), after.unionByName(left), fates
+
+
+def pending_mirror(clusters: DataFrame, mirrored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(insert, remove)``: pending clusters that the mirror lacks, and mirrored ids that are pending no more."""
+    now = clusters.where(F.col("status") == "pending")
+    return now.join(mirrored.select("cluster_id").distinct(), "cluster_id", "left_anti"), mirrored.select("cluster_id").distinct().join(now.select("cluster_id"), "cluster_id", "left_anti")
 
 
 def pending_queue(clusters: DataFrame, limit: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import rate
+from ..functions.vectors import dot, rate
 
 
 def discrepancy_keys(rows: DataFrame) -> DataFrame:
@@ -59,6 +59,28 @@ def collect_batch(results: DataFrame, pending: DataFrame, submitted: DataFrame)
     return results.join(now, "cluster_id", "left").join(sent, "cluster_id", "left").withColumn("disposition", d).drop("_now", "_sent")
 
 
+def vector_scores(labels: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(scored, counts)``: labelled pairs with the cosine of their vectors as ``score``, a model each; ``counts`` is ``(model_id, scored, skipped)``.
+
+    ``labels`` is ``(pair_id, item_id_a, item_id_b, same_story)``, one row a pair, and
+    ``vectors`` ``(model_id, item_id, unit)``. A pair that lacks a vector of a model is
+    skipped there. A stored score is never used.
+    """
+    side = lambda k: vectors.select("model_id", F.col("item_id").alias(f"item_id_{k}"), F.col("unit").alias(f"_{k}"))
+    scored = labels.join(side("a"), "item_id_a").join(side("b"), ["model_id", "item_id_b"])
+    scored = scored.select("model_id", "pair_id", "same_story", F.round(dot(F.col("_a"), F.col("_b")), 6).alias("score"))
+    # one row
+    all_ = labels.agg(F.count(F.lit(1)).alias("_n"))
+    models = vectors.select("model_id").distinct().join(scored.groupBy("model_id").agg(F.count(F.lit(1)).alias("scored")), "model_id", "left")
+    counts = models.join(F.broadcast(all_)).select("model_id", F.coalesce("scored", F.lit(0)).alias("scored"), (F.col("_n") - F.coalesce("scored", F.lit(0))).alias("skipped"))
+    return scored, counts
+
+
+def bench_order(results: DataFrame) -> DataFrame:
+    """Models by recall, then AUC, both descending, then name."""
+    return results.orderBy(F.col("recall").desc(), F.col("auc").desc(), "model_id")
+
+
 def lane(answers: DataFrame, pool: DataFrame, low: float, high: float) -> DataFrame:
     """Pairs of two outlets whose answer lies between the cut-offs: what a human still has to look at."""
     crossing = pool.where(F.col("outlet_a") != F.col("outlet_b")).select("pair_id")

@@ -26,6 +26,16 @@ def is_labellable(outlet_a: Column, outlet_b: Column, class_a: Column, class_b:
     return ~F.coalesce(outlet_a == outlet_b, F.lit(False)) & class_a.isNull() & class_b.isNull()
 
 
+def page_payload(pairs: DataFrame) -> DataFrame:
+    """``(json)``: what a labelling page reads of each pair, under short names, the score to 4 places.
+
+    ``pairs`` has ``pair_id``, ``score`` and, of both items, ``a_outlet``, ``a_title``,
+    ``a_lede``, ``a``, ``a_published`` and the like for b. NULLs are kept.
+    """
+    side = lambda k: F.struct(F.col(f"{k}_outlet").alias("o"), F.col(f"{k}_title").alias("t"), F.col(f"{k}_lede").alias("l"), F.col(k).alias("i"), F.col(f"{k}_published").alias("p"))
+    return pairs.select(F.to_json(F.struct(F.col("pair_id").alias("id"), (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("s"), side("a").alias("a"), side("b").alias("b")), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def labelled_pairs(labels: DataFrame, pool: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """``(pairs, counts)``: pairs of the pool with the last answer ``same_story`` of their labels; ``counts`` is one row ``(pairs, unmatched)``.
 

@@ -125,6 +125,33 @@ def cutoff_grid(rows: DataFrame, cutoffs: list[float], p: str = "p") -> DataFram
     return g.withColumn("precision", F.round(rate_or_null(F.col("tp"), F.col("tp") + F.col("fp")), 6))
 
 
+def halves_grid(rows: DataFrame, cutoffs: list[float], p: str = "p") -> DataFrame:
+    """``(variant, tuning, cutoff, tp, fp, fn, precision)``: the grid of each variant on either half of the pairs.
+
+    ``rows`` has ``variant``, ``tuning``, the probability and ``same_story``.
+    """
+    grid = _labelled(rows, p).withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])))
+    hit, y = F.col(p) >= F.col("cutoff"), F.col("same_story")
+    g = grid.groupBy("variant", "tuning", "cutoff").agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"))
+    return g.withColumn("precision", F.round(rate_or_null(F.col("tp"), F.col("tp") + F.col("fp")), 6))
+
+
+def held_out_at_pick(rows: DataFrame, cutoffs: list[float], target: float, p: str = "p") -> DataFrame:
+    """``(variant, picked, tp, fp, fn, precision)``: the lowest cut-off that reaches the precision on the tuning half, and what it does on the other.
+
+    A variant that no cut-off brings there has NULLs.
+    """
+    grid = halves_grid(rows, cutoffs, p)
+    picked = grid.where(F.col("tuning") & (F.col("tp") + F.col("fp") > 0) & (F.col("precision") >= target)).groupBy("variant").agg(F.min("cutoff").alias("picked"))
+    held = grid.where(~F.col("tuning")).select("variant", F.col("cutoff").alias("picked"), "tp", "fp", "fn", "precision")
+    return rows.select("variant").distinct().join(picked, "variant", "left").join(held, ["variant", "picked"], "left").select("variant", "picked", "tp", "fp", "fn", "precision")
+
+
+def disagreements(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """The rows whose guess differs from the truth, both being known."""
+    return rows.where(F.col(truth) != F.col(guess))
+
+
 def pick_cutoff(rows: DataFrame, cutoffs: list[float], target: float, p: str = "p") -> DataFrame:
     """``(cutoff)``: the lowest that reaches the precision with at least one hit; NULL if none does."""
     return cutoff_grid(rows, cutoffs, p).where((F.col("tp") + F.col("fp") > 0) & (F.col("precision") >= target)).agg(F.min("cutoff").alias("cutoff"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import marts, pairs, rows, scores  # noqa: F401 - importing registers them
+from . import marts, pairs, rows, runs, scores  # noqa: F401 - importing registers them
 from .registry import QUERIES, SQL
 
 

@@ -158,10 +158,10 @@ def answered_ids(spark, d):
     return j.where("backend = 'api'").select("pair_id").union(j.where("backend <> 'api'").select("pair_id")).distinct()
 
 
-@query("u03_agreed_pairs", "SELECT pair_id FROM judgments WHERE same_story AND backend = 'api' INTERSECT SELECT pair_id FROM judgments WHERE same_story AND backend <> 'api'")
+@query("u03_agreed_pairs", "SELECT pair_id FROM judgments WHERE same_story INTERSECT SELECT a || '-' || b FROM pairs WHERE score >= 0.57 AND NOT isnan(score)")
 def agreed(spark, d):
     j = table(spark, d, "judgments").where("same_story")
-    return j.where("backend = 'api'").select("pair_id").intersect(j.where("backend <> 'api'").select("pair_id"))
+    return j.select("pair_id").intersect(scored(spark, d).where("score >= 0.57").select("pair_id"))
 
 
 @query("u05_pruned_vectors", "SELECT item_id FROM vectors EXCEPT SELECT id FROM items")
