@@ -1,11 +1,13 @@
 """Problem 4: text that looks the same in different characters.
 
 One form of each value is made in three steps. Folding: characters without width
-go, every space becomes one blank, full-width and half-width forms and ligatures
-become plain, accents are composed. Script-aware repair: a letter run that mixes
-scripts, or consists of look-alikes only within a value of another script, is
-rewritten in its dominant script where the result is a word of the corpus.
-Comparing: values of one form that are different strings look the same.
+go, every space becomes one blank, full-width and half-width forms, letters of
+mathematical alphabets and ligatures become plain, accents are composed.
+Script-aware repair: of each token of letters of several scripts the letters are
+counted by script; look-alikes are replaced by those of the dominant script, or
+failing that of the next, where the result is a word of the corpus. A token that is
+all look-alikes is mixed too where it stands in a value of another script. Comparing:
+values of one form that are different strings look the same.
 
 Folding stays in the JVM for values whose characters need no composition; only
 the others pass through an Arrow function.
@@ -23,9 +25,11 @@ from pyspark.sql.types import StringType
 
 from ..workspace import Workspace
 
-#: Letters drawn alike, Cyrillic and Greek against Latin.
-CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅԌԚԜ", "aeopcyxijshdqwABEKMHOPCTXIJSGQW"
-GREEK, GREEK_AS = "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"
+#: Letters drawn like Latin ones, by script, each with its Latin letter.
+CYRILLIC, CYRILLIC_AS = "аеорсухіјѕһԁԛԝѵгӏАВЕКМНОРСТУХІЈЅԌԚԜѴӀҮ", "aeopcyxijshdqwvrlABEKMHOPCTYXIJSGQWVIY"
+GREEK, GREEK_AS = "οαγινρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "oayivpuABEZHIKMNOPTYXC"
+ARMENIAN, ARMENIAN_AS = "օսհոցզյՕՏԼ", "ouhngqjOSL"
+CHEROKEE, CHEROKEE_AS = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"
 
 
 @lru_cache(1)
@@ -40,7 +44,7 @@ def _plain_table() -> dict[int, str]:
                 table[cp] = " "
         elif kind == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or cp in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0):
             table[cp] = ""
-        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) or 0xFB00 <= cp <= 0xFB06:
+        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) or 0xFB00 <= cp <= 0xFB06 or (kind[0] == "L" and unicodedata.decomposition(c).startswith("<font>")):
             table[cp] = unicodedata.normalize("NFKC", c)
     return table
 
@@ -92,16 +96,44 @@ def fold(c: Column) -> Column:
 _LETTERS = r"[\p{L}\p{M}]+"
 _PIECES = r"([\p{L}\p{M}]+|[^\p{L}\p{M}]+)"
 _NOT_LETTERS = r"[^\p{L}\p{M}]+"
-_FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
+#: Scripts that share letters with Latin, in the order in which they are tried when as many letters of a token are of each.
+_SCRIPTS = {"Cyrillic": (CYRILLIC, CYRILLIC_AS), "Greek": (GREEK, GREEK_AS), "Armenian": (ARMENIAN, ARMENIAN_AS), "Cherokee": (CHEROKEE, CHEROKEE_AS)}
+_FOREIGN = "[" + "".join(rf"\p{{Is{s}}}" for s in _SCRIPTS) + "]"
+_TWINS = ("".join(x for x, _ in _SCRIPTS.values()), "".join(y for _, y in _SCRIPTS.values()))
 
 
 def as_latin(c: Column) -> Column:
     """Look-alike letters as Latin ones, wherever they stand."""
-    return F.when(c.rlike(_FOREIGN), F.translate(c, CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)).otherwise(c)
+    return F.when(c.rlike(_FOREIGN), F.translate(c, *_TWINS)).otherwise(c)
 
 
-def _as_cyrillic(c: Column) -> Column:
-    return F.translate(c, CYRILLIC_AS + GREEK, CYRILLIC + "".join(CYRILLIC[CYRILLIC_AS.index(x)] if x in CYRILLIC_AS else x for x in GREEK_AS))
+def _as_script(c: Column, script: str) -> Column:
+    """Letters of other scripts as those of ``script`` that look like them; letters without a twin stay."""
+    own, latin = _SCRIPTS[script]
+    back = {y: x for x, y in reversed(list(zip(own, latin)))}
+    pairs = [(x, back[y]) for x, y in zip(*_TWINS) if y in back and x not in own] + list(back.items())
+    return F.translate(c, "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+
+
+def _letters(c: Column, script: str) -> Column:
+    return F.length(F.regexp_replace(c, rf"[^\p{{Is{script}}}]", ""))
+
+
+def _targets(piece: Column, latin_value: Column) -> Column:
+    """What a token may stand for, best first: ``(n, s, target)`` in each script that all its letters have twins in.
+
+    Only tokens of two scripts or more have any, and tokens of look-alikes in a value of
+    Latin words.
+    """
+    counts = {"Latin": _letters(piece, "Latin")} | {s: _letters(piece, s) for s in _SCRIPTS}
+    several = sum(((n > 0).cast("int") for n in counts.values()), F.lit(0)) > 1
+    out = []
+    for k, (script, n) in enumerate(counts.items()):
+        target = as_latin(piece) if script == "Latin" else _as_script(piece, script)
+        others = "".join(rf"\p{{Is{x}}}" for x in counts if x != script)
+        fits = several & (n > 0) if script != "Latin" else (several & (n > 0)) | (latin_value & ~several)
+        out.append(F.when(fits & ~target.rlike(f"[{others}]"), F.struct((-n).alias("n"), F.lit(k).alias("s"), target.alias("target"))))
+    return F.array_sort(F.array_compact(F.array(*out)))
 
 
 def folded_stage(values: DataFrame, keys: list[str], text: str, work: Workspace) -> DataFrame:
@@ -124,20 +156,14 @@ def one_form(folded: DataFrame, keys: list[str], text: str, work: Workspace) ->
     pieces = odd.withColumn("_latin", latin_words >= own_words).select(
         *keys, "_v", "_latin", F.posexplode(F.regexp_extract_all("_folded", F.lit(_PIECES), F.lit(1))).alias("_pos", "piece")
     )
-    latin, cyrillic = as_latin(F.col("piece")), _as_cyrillic(F.col("piece"))
-    has_latin = F.col("piece").rlike(r"\p{IsLatin}")
-    target = (
-        # every foreign letter has a Latin twin: Latin is the script of the run, or of its value
-        F.when(~latin.rlike(_FOREIGN) & (has_latin | F.col("_latin")), latin)
-        .when(has_latin & ~cyrillic.rlike(r"[\p{IsLatin}\p{IsGreek}]"), cyrillic)
-    )
-    mixed = pieces.where(F.col("piece").rlike(_FOREIGN)).select("_latin", "piece", target.alias("target")).where(F.col("target").isNotNull()).distinct()
+    mixed = pieces.where(F.col("piece").rlike(_FOREIGN)).select("_latin", "piece").distinct()
+    mixed = mixed.select("_latin", "piece", F.posexplode(_targets(F.col("piece"), F.col("_latin"))).alias("_n", "_t")).select("_latin", "piece", "_n", F.col("_t.target").alias("target"))
     marked = F.col("target").rlike(r"\p{M}")
     mixed = work.stage(mixed.withColumn("target", F.when(marked, _compose_py(F.when(marked, F.col("target")))).otherwise(F.col("target"))), "mixed")
     # vocabulary: words as they stand in the texts, and results on which several spellings agree
     agreed = mixed.groupBy("target").agg(F.countDistinct("piece").alias("n")).where("n > 1").select("target")
     known = folded.select(F.explode(F.split(now, _NOT_LETTERS)).alias("target")).distinct().unionByName(agreed)
-    repairs = mixed.join(known, "target", "left_semi")
+    repairs = mixed.join(known, "target", "left_semi").groupBy("_latin", "piece").agg(F.min_by("target", "_n").alias("target"))
     mended = (
         pieces.join(repairs, ["_latin", "piece"], "left")
         .groupBy(*keys, "_v")

@@ -54,3 +54,20 @@ def test_script_of_a_token_decides(spark):
 
 def test_empty(spark):
     assert run(spark, []) == set()
+
+
+def test_dominant_script(spark):
+    items = [
+        item("a", "рoса и мороз утром"), item("b", "роса и мороз утром"),  # one Latin o in a Cyrillic word whose letters all have Latin twins
+        item("c", "Уear end"), item("d", "Year end"), item("e", "a νote"), item("f", "a vote"),
+        item("g", "the ԝһоle story"), item("h", "the whole story"), item("i", "𝐌𝐚𝐭𝐡 letters"), item("j", "Math letters"),
+        item("k", "օpen door"), item("l", "open door"), item("m", "ᎢᎻe end of it"), item("n", "THe end of it"),
+        item("o", "λόγος"), item("p", "logos"), item("q", "мир"), item("r", "mир"),  # r has no twin for m in the corpus' words
+    ]
+    assert run(spark, items) == {("title", x) for x in "abcdefghijklmn"}
+
+
+def test_targets(spark):
+    df = spark.createDataFrame([("рoса", False), ("Тhe", False), ("ο", True), ("ο", False), ("word", True), ("жo", False), ("", True)], "p string, l boolean")
+    got = [[t["target"] for t in r[0]] for r in df.select(lookalikes._targets(lookalikes.F.col("p"), lookalikes.F.col("l"))).collect()]
+    assert got == [["роса", "poca"], ["The"], ["o"], [], [], ["жо"], []]
