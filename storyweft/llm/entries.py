@@ -57,6 +57,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "golden_items"))
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "golden_items"), max_substitutions=1)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_t(spark, d, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
+    "p7_near": p7_near,
     "p8_found": p8_found,
 }
 
@@ -112,6 +117,16 @@ SQL = {
         passages AS (
           SELECT golden_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS run FROM g WHERE len(ws) >= 13)
         SELECT DISTINCT doc_id, golden_id FROM runs JOIN passages USING (run)""",
+    "p7_near": r"""
+        WITH w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+        g AS (
+          SELECT golden_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM golden_items WHERE text IS NOT NULL),
+        a AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: ws[i:i + 12])) AS r FROM w WHERE len(ws) >= 13),
+        b AS (SELECT golden_id, unnest(list_transform(range(1, len(ws) - 11), lambda i: ws[i:i + 12])) AS r FROM g WHERE len(ws) >= 13),
+        x AS (SELECT doc_id, r, 1 AS half, array_to_string(r[1:6], ' ') AS k FROM a UNION ALL SELECT doc_id, r, 2, array_to_string(r[8:13], ' ') FROM a),
+        y AS (SELECT golden_id, r, 1 AS half, array_to_string(r[1:6], ' ') AS k FROM b UNION ALL SELECT golden_id, r, 2, array_to_string(r[8:13], ' ') FROM b)
+        SELECT DISTINCT doc_id, golden_id FROM x JOIN y USING (half, k) WHERE len(list_filter(range(1, 14), lambda i: x.r[i] <> y.r[i])) <= 1""",
 }
 
 

@@ -1,48 +1,58 @@
 """Problem 7: evaluation passages inside training text.
 
-Spaced seeds: a mask of fixed positions is laid on every window of words; some
+Spaced seeds: masks of fixed positions are laid on every window of words; some
 positions are ignored, so a window whose words differ only there still gives the
 same hash. The hashes of the evaluation side and of the corpus are joined and
 every hit is verified word by word, with as many substitutions as are allowed.
 
-The evaluation set is taken in blocks of bounded size, each shipped to the
-workers; the corpus is read as it lies and never shuffled. Only windows whose
-hash is one of a block's leave the scan.
+Neither side comes to the driver. The hashes of the evaluation side are summed up
+in a bit table of fixed size, which goes to the workers with the scan; the corpus is
+read once, and only windows that the table lets through leave the scan. These meet
+the hashes of the evaluation side in a join that Spark plans by their true sizes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Maximal runs of letters and digits.
 WORDS = re.compile(r"[^\W_]+")
-#: Masks over 13 words; 0 is an ignored position. With no substitution any one finds
-#: every hit. Each position is ignored by one of the four, so together they find every
-#: window with one substitution, and those with more if one mask ignores them all.
-MASKS = ("1011101110111", "1101110111011", "1110111011101", "0111011101110")
-#: Most words of an evaluation block; about 30 MB in a worker.
-BLOCK_WORDS = 1_000_000
+#: Bits of the table of seeds: 32 MB, and one window in a thousand passes by chance with five million words.
+FILTER_BITS = 1 << 28
 #: Distinct pieces of text kept in a worker.
 PIECE_LIMIT = 400_000
+#: Texts hashed at a time in a worker.
+TEXTS = 256
 
 
-class _Pieces(dict):
-    """Stretch without blanks -> ids of its words in the block's vocabulary, 0 for others."""
+def seed_masks(span: int, substitutions: int) -> tuple[str, ...]:
+    """Masks over ``span`` words that together find every window with so many words substituted; 0 is an ignored place.
+
+    The places are dealt to groups, four or more; as many words spoil as many groups at
+    most, and each choice of so many groups is ignored by one mask. Without substitutions
+    any one mask finds all.
+    """
+    if not substitutions:
+        return ("".join("0" if i % 4 == 1 else "1" for i in range(span)),)
+    groups = min(span, max(4, substitutions + 2))
+    if substitutions >= groups:
+        raise ValueError("as many substitutions as words")
+    return tuple("".join("0" if i % groups in gone else "1" for i in range(span)) for gone in combinations(range(groups), substitutions))
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self._id = vocabulary
+
+class _Pieces(dict):
+    """Stretch without blanks -> 64-bit hashes of its words."""
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        get = self._id.get
-        ids = tuple([get(w.lower(), 0) for w in WORDS.findall(piece)])
+        ids = tuple([xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in WORDS.findall(piece)])
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -62,100 +72,92 @@ def _windows(ids: np.ndarray, breaks: np.ndarray, span: int) -> np.ndarray:
     return starts[starts + span <= breaks[end_of]] if len(starts) else starts
 
 
-def _hashes(ids: np.ndarray, at: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window under the mask, and whether all its kept words are known."""
-    total, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+def _seeds(ids: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
+    """Hash of each window under the mask."""
+    total = np.zeros(len(at), np.uint64)
     for k, w in enumerate(_weights(mask)):
         if w:
-            x = ids[at + k]
-            total += (x + np.uint64(0x9E3779B97F4A7C15)) * w
-            known &= x != 0
-    return total ^ (total >> np.uint64(31)), known
-
-
-def leaked_passages(
-    docs: DataFrame,
-    golden: DataFrame,
-    min_words: int = 13,
-    max_substitutions: int = 0,
-    masks: tuple[str, ...] = MASKS,
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
+            total += ids[at + k] * w
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(32))
+
+
+def _places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a seed in the bit table."""
+    size = np.uint64(bits)
+    return seeds % size, (seeds >> np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15) % size
+
+
+def _scan(span: int, masks: tuple[str, ...], bits: int | None, table):
+    """Windows of ``(id, text)`` rows as ``(id, mask, seed, window)``; with a ``table`` only those that it lets through."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = table.value if table is not None else None
+        pieces = _Pieces()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                if len(pieces) > PIECE_LIMIT:
+                    pieces.clear()
+                get = pieces.__getitem__
+                split = [list(map(get, (t or "").split(" "))) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([sum(map(len, p)) for p in split], dtype=np.int64)
+                ids = np.fromiter(chain.from_iterable(chain.from_iterable(split)), np.uint64)
+                at = _windows(ids, ends, span)
+                for m, mask in enumerate(masks):
+                    seeds, left = _seeds(ids, at, mask), at
+                    if words is not None:
+                        one, two = _places(seeds, bits)
+                        hit = np.flatnonzero((words[one >> np.uint64(6)] >> (one & np.uint64(63))) & np.uint64(1))
+                        two = two[hit]
+                        hit = hit[((words[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1)).astype(bool)]
+                        seeds, left = seeds[hit], at[hit]
+                    win = ids[left[:, None] + np.arange(span)] if len(left) else np.zeros((0, span), np.uint64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0).take(pa.array(np.searchsorted(ends, left, side="right"))),
+                            pa.array(np.full(len(left), m, np.int32)),
+                            pa.array(seeds.view(np.int64)),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1, dtype=np.int32) * span), pa.array(win.ravel().view(np.int64))),
+                        ],
+                        names=["id", "mask", "seed", "window"],
+                    )
+
+    return scan
+
+
+def _bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The bit table of all seeds, as words of 64; at most ``bits`` / 64 rows come to the driver, whatever the number of seeds."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (both & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    rows = seeds.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(-(-bits // 64), np.uint64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def leaked_passages(docs: DataFrame, golden: DataFrame, min_words: int = 13, max_substitutions: int = 0, masks: tuple[str, ...] | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``(doc_id, golden_id)``, distinct: a run of ``min_words`` words of the passage stands in the document.
 
     Words are maximal runs of letters and digits in lower case. With
-    ``max_substitutions`` above 0 that many words of the run may differ. NULL and
-    short texts match nothing; an empty table on either side gives no rows; repeated
-    rows and other columns make no difference.
+    ``max_substitutions`` above 0 that many words of the run may differ; the masks find
+    all such runs. NULL and short texts match nothing; an empty table on either side
+    gives no rows; repeated rows and other columns make no difference. A small table of
+    ``filter_bits`` lets more windows through and changes nothing else.
     """
-    masks = tuple(m.ljust(min_words, "0")[:min_words] for m in masks)
-    if not max_substitutions:
-        masks = masks[:1]
+    masks = masks or seed_masks(min_words, max_substitutions)
     spark = docs.sparkSession
-    size = golden.select(F.sum(F.length("text")).alias("n")).first()[0] or 0
-    blocks = max(1, -(-(size // 4) // block_words))
-    found = []
-    for b in range(blocks):
-        part = golden.where(F.pmod(F.xxhash64("golden_id"), F.lit(blocks)) == b) if blocks > 1 else golden
-        rows = part.where(F.col("text").isNotNull() & F.col("golden_id").isNotNull()).select("golden_id", "text").collect()
-        found.append(_leaked_of_block(spark, docs, rows, golden.schema["golden_id"].dataType.simpleString(), min_words, max_substitutions, masks))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def _leaked_of_block(spark, docs: DataFrame, rows: list, id_type: str, span: int, slack: int, masks: tuple[str, ...]) -> DataFrame:
-    vocabulary: dict[str, int] = {}
-    texts = [[vocabulary.setdefault(w.lower(), len(vocabulary) + 1) for w in WORDS.findall(r["text"])] for r in rows]
-    flat = np.array([i for t in texts for i in t], np.uint64)
-    breaks = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, np.int64)
-    at = _windows(flat, breaks, span)
-    owner = np.searchsorted(breaks, at, side="right")
-    # test side of the join: hash of a mask -> passage and its window
-    seeds, seen = [], []
-    for m, mask in enumerate(masks):
-        h, _ = _hashes(flat, at, mask)
-        seen.append(np.unique(h))
-        seeds += [(m, int(x), rows[o]["golden_id"], flat[s : s + span].astype(int).tolist()) for x, o, s in zip(h.view(np.int64), owner, at)]
-    golden = spark.createDataFrame(seeds, f"mask int, seed long, golden_id {id_type}, passage array<int>").distinct()
-    shipped = spark.sparkContext.broadcast((vocabulary, seen))
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = shipped.value
-        pieces = _Pieces(words)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if len(pieces) > PIECE_LIMIT:
-                pieces.clear()
-            get = pieces.__getitem__
-            parts = [list(map(get, t.split(" "))) for t in texts]
-            ends = np.cumsum([sum(map(len, p)) for p in parts], dtype=np.int64)
-            ids = np.fromiter(chain.from_iterable(chain.from_iterable(parts)), np.uint64)
-            at = _windows(ids, ends, span)
-            for m, mask in enumerate(masks):
-                # a window with an unknown word under the mask can't match; most end here
-                ok = np.ones(len(at), bool)
-                for k in [k for k, c in enumerate(mask) if c == "1"]:
-                    ok &= ids[at + k] != 0
-                left = at[ok]
-                h, _ = _hashes(ids, left, mask)
-                hit = np.isin(h, known[m])
-                left, h = left[hit], h[hit]
-                doc = np.searchsorted(ends, left, side="right")
-                win = ids[left[:, None] + np.arange(span)].astype(np.int32) if len(left) else np.zeros((0, span), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(doc)),
-                        pa.array(np.full(len(left), m, np.int32)),
-                        pa.array(h.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1, dtype=np.int32) * span), pa.array(win.ravel())),
-                    ],
-                    names=["doc_id", "mask", "seed", "window"],
-                )
-
-    hits = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(scan, f"doc_id {doc_type}, mask int, seed long, window array<int>")
+    side = lambda df, key: df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, "text")
+    shape = lambda df, key: f"id {df.schema[key].dataType.simpleString()}, mask int, seed long, window array<long>"
+    passages = side(golden, "golden_id").mapInArrow(_scan(min_words, masks, None, None), shape(golden, "golden_id"))
+    passages = passages.select(F.col("id").alias("golden_id"), "mask", "seed", F.col("window").alias("passage")).distinct()
+    table = spark.sparkContext.broadcast(_bit_table(passages.select("seed"), filter_bits))
+    windows = side(docs, "doc_id").mapInArrow(_scan(min_words, masks, filter_bits, table), shape(docs, "doc_id"))
     differ = F.size(F.filter(F.zip_with("window", "passage", lambda x, y: x != y), lambda d: d))
-    # the evaluation side is a block of bounded size, so the corpus side stays where it is
-    return hits.join(F.broadcast(golden), ["mask", "seed"]).where(differ <= slack).select("doc_id", "golden_id").distinct()
+    hits = windows.join(passages, ["mask", "seed"]).where(differ <= max_substitutions)
+    return hits.select(F.col("id").alias("doc_id"), "golden_id").distinct()

@@ -43,7 +43,8 @@ def corpus():
 def test_against_brute_force(spark):
     docs, golden = corpus()
     assert run(spark, docs, golden) == brute(docs, golden)
-    assert run(spark, docs, golden, block_words=100) == brute(docs, golden)
+    # a table of seeds that is full lets every window through
+    assert run(spark, docs, golden, filter_bits=64) == brute(docs, golden)
 
 
 def test_one_substitution(spark):
@@ -58,3 +59,18 @@ def test_edges(spark):
     golden = [(7, long), (7, long), (8, None), (9, "too short"), (None, long)]
     assert run(spark, docs, golden) == {(3, 7), (4, 7), (5, 7)}
     assert run(spark, [], golden) == set() and run(spark, docs, []) == set()
+
+
+def test_two_substitutions(spark):
+    docs, golden = corpus()
+    edited = [(d, t.replace("W7", "Other").replace("W11", "Odd")) for d, t in docs]
+    assert run(spark, edited, golden, max_substitutions=2) == brute(edited, golden, slack=2)
+
+
+def test_masks_cover_every_choice_of_places():
+    from itertools import combinations
+
+    for span, k in ((13, 1), (13, 2), (5, 3), (8, 2)):
+        masks = leakage.seed_masks(span, k)
+        assert all(any(all(m[p] == "0" for p in gone) for m in masks) for gone in combinations(range(span), k))
+        assert all("1" in m for m in masks)
