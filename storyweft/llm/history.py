@@ -394,7 +394,10 @@ def entry_coverage(items: DataFrame, incoming: DataFrame, looks: bool = True) ->
     One pass without a stored history, for reports. A piece in several places of an
     entry counts once. Words of short texts count as pieces too (``SHORT_WORDS``).
     """
-    cut = lambda df, *keys: with_pieces(df.select(*keys, "outlet", "title", "lede"), looks).select(*keys, F.explode("pieces").alias("p")).select(*keys, "p.h", "p.w")
+    work = Workspace(items.sparkSession, "coverage")
+    # written first: a filter on the pieces would be pushed below them and cut the texts anew for every word
+    pieces = lambda df, *keys: work.stage(with_pieces(df.select(*keys, "outlet", "title", "lede"), looks).select(*keys, "pieces"), "pieces")
+    cut = lambda df, *keys: pieces(df, *keys).select(*keys, F.explode("pieces").alias("p")).select(*keys, "p.h", "p.w")
     mine = cut(incoming.where("entry_id IS NOT NULL AND batch_no IS NOT NULL"), "entry_id", "batch_no")
     first = mine.groupBy("h").agg(F.min("batch_no").alias("first"))
     old = cut(items).select("h").distinct().withColumn("old", F.lit(True))
