@@ -131,7 +131,7 @@ def _targets(piece: Column, latin_value: Column) -> Column:
     for k, (script, n) in enumerate(counts.items()):
         target = as_latin(piece) if script == "Latin" else _as_script(piece, script)
         others = "".join(rf"\p{{Is{x}}}" for x in counts if x != script)
-        fits = several & (n > 0) if script != "Latin" else (several & (n > 0)) | (latin_value & ~several)
+        fits = several & (n > 0) if script != "Latin" else (several & (n > 0)) | (latin_value & ~several & piece.rlike(_FOREIGN))
         out.append(F.when(fits & ~target.rlike(f"[{others}]"), F.struct((-n).alias("n"), F.lit(k).alias("s"), target.alias("target"))))
     return F.array_sort(F.array_compact(F.array(*out)))
 
