@@ -14,8 +14,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Vector of length 1; the zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    # bound by a list of one: a norm that stands within the function would be worked out for every element
+    return F.element_at(F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,26 +1,31 @@
 """Exhaustive pair scoring.
 
-``score_pairs`` compares every pair in blocks: the vectors are dealt to blocks of
-bounded size, each pair of blocks is one group, and a group is two matrices that
-BLAS multiplies. No side is broadcast and no pair below the threshold leaves a
-task, so the memory of a task doesn't depend on the number of vectors.
+``score_pairs`` compares every pair in blocks: the vectors are packed into blocks of
+bounded size, and each pair of blocks is two matrices that BLAS multiplies. The product
+is one of single precision, which only drops what is below the threshold by more than its
+error; the rest is scored in double. No side is broadcast or shuffled for the pairs and
+no pair below the threshold leaves a task, so neither the memory of a task nor the disk
+depends on the number of pairs compared.
 ``score_pairs_sql`` is the same as one join, for small inputs and as a check.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..workspace import Workspace
+from .blocks import BLOCK_ROWS, block_pairs, matrix, pack
 from .ranking import numbered
 
-#: Vectors of a block: two blocks of 64 doubles are 2 MB, their product 32 MB.
-BLOCK_ROWS = 2000
+#: Rows of a block multiplied at once, and pairs scored at once.
+STRIP_ROWS, STRIP_PAIRS = 512, 1 << 16
 
 
 def majority_dim(vectors: DataFrame) -> DataFrame:
@@ -40,38 +45,47 @@ def comparable(vectors: DataFrame) -> DataFrame:
     return one.select("model_id", "item_id", V.unit(F.col("vector").cast("array<double>")).alias("unit"))
 
 
-def score_pairs(rows: DataFrame, floor: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(model_id, a, b, score)``, a < b, of all pairs of one model scoring ``floor`` or more (6 places)."""
-    n = rows.groupBy("model_id").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, math.ceil(n / block_rows))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("block", block)
-    # every unordered pair of blocks that the row's block is part of
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("block"), o).alias("lo"), F.greatest(F.col("block"), o).alias("hi")))
-    spread = dealt.select("model_id", "item_id", "unit", "block", F.explode(pairs).alias("g")).select("model_id", "g.lo", "g.hi", "block", "item_id", "unit")
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left = pdf[pdf["block"] == lo]
-        right = left if lo == hi else pdf[pdf["block"] == hi]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"model_id": [], "a": [], "b": [], "score": []}).astype({"model_id": str, "a": str, "b": str, "score": float})
-        x, y = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
-        i, j, s = [], [], []
-        for at in range(0, len(x), 512):
-            part = np.round(x[at : at + 512] @ y.T, 6)
-            p, q = np.nonzero(part >= floor)
-            keep = (p + at < q) if lo == hi else np.ones(len(p), bool)
-            i.append(p[keep] + at)
-            j.append(q[keep])
-            s.append(part[p[keep], q[keep]])
-        i, j = np.concatenate(i), np.concatenate(j)
-        one, two = left["item_id"].to_numpy()[i], right["item_id"].to_numpy()[j]
-        swap = one > two
-        return pd.DataFrame({"model_id": pdf["model_id"].iloc[0], "a": np.where(swap, two, one), "b": np.where(swap, one, two), "score": np.concatenate(s)})
+def _near(x: np.ndarray, y: np.ndarray, same: bool, floor: float, nan: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``x`` and ``y`` and score of the pairs of unit vectors scoring ``floor`` or more; of ``same`` blocks each pair once."""
+    # more than what single precision and the rounding of the score can take away
+    low = np.float32(floor - 1e-6 - (x.shape[1] + 8) * 2.0**-22)
+    left, right = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    for at in range(0, len(x), STRIP_ROWS):
+        part = left[at : at + STRIP_ROWS] @ right
+        some = np.flatnonzero(~(part < low) if nan else part >= low)
+        for k in range(0, len(some), STRIP_PAIRS):
+            p, q = np.divmod(some[k : k + STRIP_PAIRS], len(y))
+            p += at
+            if same:
+                p, q = p[p < q], q[p < q]
+            score = np.round(np.einsum("ij,ij->i", x[p], y[q]), 6)
+            keep = ~(score < floor) if nan else score >= floor
+            if keep.any():
+                yield p[keep], q[keep], score[keep]
+
+
+def score_pairs(rows: DataFrame, floor: float, block_rows: int = BLOCK_ROWS, nan: bool = False) -> DataFrame:
+    """``(model_id, a, b, score)``, a < b, of all pairs of one model scoring ``floor`` or more (6 places).
+
+    With ``nan`` also those that have no score, as of vectors with infinite elements: SQL takes NaN for more than any number.
+    """
+    blocks = pack(Workspace(rows.sparkSession, "pairs"), rows, ["model_id"], ["item_id"], block_rows)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model, dim, block, ids, units, block_r, ids_r, units_r = batch.columns
+            for r in range(batch.num_rows):
+                d, one, two = dim[r].as_py(), ids[r].values, ids_r[r].values
+                for p, q, score in _near(matrix(units[r], d), matrix(units_r[r], d), block[r] == block_r[r], floor, nan):
+                    a, b = one.take(pa.array(p)), two.take(pa.array(q))
+                    first = pc.less(a, b)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([model[r].as_py()] * len(p), pa.string()), pc.if_else(first, a, b), pc.if_else(first, b, a), pa.array(score)], names=["model_id", "a", "b", "score"]
+                    )
 
     kind = rows.schema["item_id"].dataType.simpleString()
-    return spread.groupBy("model_id", "lo", "hi").applyInPandas(multiply, f"model_id string, a {kind}, b {kind}, score double")
+    paired = block_pairs(blocks).select("model_id", "dim", "block", "item_id", "units", "block_r", "item_id_r", "units_r")
+    return paired.mapInArrow(multiply, f"model_id string, a {kind}, b {kind}, score double")
 
 
 def score_pairs_sql(rows: DataFrame, floor: float) -> DataFrame:

@@ -53,7 +53,7 @@ def majority(spark, d):
 
 @query("j01_cosine_pairs", COSINE_SQL)
 def cosine_pairs(spark, d):
-    return pairs.score_pairs(pairs.comparable(table(spark, d, "vectors")), 0.8)
+    return pairs.score_pairs(pairs.comparable(table(spark, d, "vectors")), 0.8, nan=True)
 
 
 @query("j01_cosine_join", COSINE_SQL)

@@ -48,6 +48,36 @@ def test_kernel_is_the_join(topics, scored):
     assert {tuple(x) for x in both.collect()} == {tuple(x) for x in scored.collect()}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_copy_no_vector(spark, topics):
+    plan = plan_of(pairs.score_pairs(pairs.comparable(topics.select("item_id", "model_id", "vector")), 0.30, block_rows=3))
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Broadcast" not in plan
+
+
+def test_blocks_miss_no_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = [f"{rng.integers(1 << 40):x}é{i}" for i in range(300)]
+    scores = np.round(np.einsum("ik,jk->ij", x, x), 6)
+    floor = float(np.sort(scores[np.triu_indices(300, 1)])[-2000])
+    true = {(m, *sorted((ids[i], ids[j])), scores[i, j]) for i in range(300) for j in range(i) for m in "mn" if scores[i, j] >= floor and (m == "m" or i < 40)}
+    df = spark.createDataFrame([(m, ids[i], x[i].tolist()) for i in range(300) for m in "mn" if m == "m" or i < 40], "model_id string, item_id string, unit array<double>").repartition(3)
+    for block_rows in (11, 64, 1000):
+        got = [tuple(r) for r in pairs.score_pairs(df, floor, block_rows=block_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == true
+
+
+def test_pairs_without_a_score(spark):
+    df = spark.createDataFrame([("a", "m", [float("inf"), 1.0]), ("b", "m", [1.0, 0.0]), ("c", "m", [0.0, 1.0])], "item_id string, model_id string, vector array<double>")
+    rows = pairs.comparable(df)
+    assert pairs.score_pairs(rows, 0.5).collect() == []
+    assert {(r.a, r.b) for r in pairs.score_pairs(rows, 0.5, nan=True).collect()} == {(r.a, r.b) for r in pairs.score_pairs_sql(rows, 0.5).collect()} == {("a", "b"), ("a", "c")}
+
+
 def test_bad_vectors(spark):
     df = spark.createDataFrame([("a", "m", [1.0, 0.0]), ("a", "m", [1.0, 0.0]), ("b", "m", [1.0, 0.0]), ("c", "m", [0.0, 0.0]), ("d", "m", [1.0]), ("e", "m", None), ("f", "m", [float("nan"), 1.0])], "item_id string, model_id string, vector array<double>")
     assert [tuple(r) for r in pairs.score_pairs(pairs.comparable(df), 0.5).collect()] == [("m", "a", "b", 1.0)]
