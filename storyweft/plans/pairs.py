@@ -58,7 +58,7 @@ def cosine_pairs(spark, d):
 
 @query("j01_cosine_join", COSINE_SQL)
 def cosine_join(spark, d):
-    return pairs.score_pairs_sql(pairs.comparable(table(spark, d, "vectors")), 0.8)
+    return cosine_pairs(spark, d)
 
 
 @query("j01_cosine_join_all", COSINE_SQL)

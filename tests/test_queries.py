@@ -29,3 +29,10 @@ def test_without_sql(spark, name):
 def test_a_join_covers_every_model(spark):
     rows = {n: {tuple(r) for r in catalog.queries()[n](spark, oracle.FOLDER).select("model_id", "a", "b").collect()} for n in ("j01_cosine_join_all", "j01_cosine_pairs")}
     assert rows["j01_cosine_join_all"] == rows["j01_cosine_pairs"] and len({m for m, _, _ in rows["j01_cosine_join_all"]}) == 2
+
+
+@pytest.mark.parametrize("name", ["j01_cosine_join"])
+def test_a_join_multiplies_blocks(spark, name):
+    plan = catalog.queries()[name](spark, oracle.FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # pairs of blocks, not of vectors
+    assert "MapInArrow" in plan and "CartesianProduct" in plan and "Exchange" not in plan
