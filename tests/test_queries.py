@@ -31,7 +31,7 @@ def test_a_join_covers_every_model(spark):
     assert rows["j01_cosine_join_all"] == rows["j01_cosine_pairs"] and len({m for m, _, _ in rows["j01_cosine_join_all"]}) == 2
 
 
-@pytest.mark.parametrize("name", ["j01_cosine_join"])
+@pytest.mark.parametrize("name", ["j01_cosine_join", "j01_cosine_join_all"])
 def test_a_join_multiplies_blocks(spark, name):
     plan = catalog.queries()[name](spark, oracle.FOLDER)._jdf.queryExecution().executedPlan().toString()
     # pairs of blocks, not of vectors
