@@ -9,9 +9,11 @@ carried in the rows drops the far ones before any vector is fetched, and what is
 left is ranked by the exact distance.
 
 The number of directions follows the logarithm of the number of vectors, so a
-bucket holds about as many strangers at every size; buckets that are crowded all
-the same are split by finer cells. Equal vectors are one entry of the index and are
-expanded at the end, k + 1 to a class.
+bucket holds about as many strangers at every size. Buckets that are crowded all the
+same are taken out of the index, and their vectors are compared in full: with one another
+and with all that would have visited such a bucket, block by block as in the all-pairs
+scan, of which a task keeps the k + 1 best of each vector. Equal vectors are one entry of
+the index and are expanded at the end, k + 1 to a class.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import BLOCK_ROWS, block_pairs, matrix, pack
 from ..workspace import Workspace
 
 #: Chance that two unrelated unit vectors share a cell of WIDTH, as -log.
@@ -32,9 +36,10 @@ _STRANGER = 0.594
 WIDTH = 2.4
 TABLES = 14
 PROBES = 18
-#: Vectors of a bucket beyond which it is split by finer cells, FINE_FUNCTIONS of a quarter of the width, again and again.
+#: Vectors of a bucket beyond which its vectors are compared in full.
 BUCKET_LIMIT = 4000
-FINE_FUNCTIONS, FINE_PROBES, LEVELS = 8, 12, 4
+#: Rows of a block multiplied at once.
+STRIP_ROWS = 256
 #: Differing bits of 128 up to which a candidate is kept; at cosine 0.85 the mean is 22.6, the deviation 4.3.
 SKETCH_BITS = 41
 
@@ -130,49 +135,99 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     ).select("model_id", "item_id", "vector")
 
 
-def _split_crowded(work: Workspace, classes: DataFrame, index: DataFrame, query: DataFrame, tables: int, width: float, limit: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Index and query rows with the keys of crowded buckets refined, level by level.
+class _Best:
+    """The ``keep`` most similar vectors of each row of a matrix; of equal cosines (6 places) the lower rank is better."""
 
-    Vectors that crowd a bucket lie close together; finer cells of further directions
-    part them, and a query visits its own fine cell and those next to it. Each table
-    has fine functions of its own, so a pair that those of one table part can still
-    meet in the others. Rows of other buckets stay as they are.
+    def __init__(self, x: np.ndarray, vid: np.ndarray, keep: int, least: float):
+        self.x, self.vid, self.keep, self.least = x, vid, keep, least
+        self.cosine = np.full((len(x), keep), -np.inf)
+        self.rank = np.full((len(x), keep), np.iinfo(np.int64).max)
+        self.other = np.zeros((len(x), keep), np.int64)
+
+    def add(self, y: np.ndarray, vid: np.ndarray, rank: np.ndarray) -> None:
+        right, keep = np.ascontiguousarray(y.T), self.keep
+        for at in range(0, len(self.x), STRIP_ROWS):
+            part = self.x[at : at + STRIP_ROWS] @ right
+            # a value that rounds to the least one, or to the last one kept, isn't lower by more than this
+            cut = np.maximum(self.least, self.cosine[at : at + STRIP_ROWS, -1]) - 1e-6
+            some = np.flatnonzero(part >= cut[:, None])
+            if len(some) > 8 * (keep + 1) * len(part) and len(y) > keep + 1:
+                # one more than are kept, since the vector itself may be among them
+                cut = np.maximum(cut, np.partition(part, -(keep + 1), axis=1)[:, -(keep + 1)] - 2e-6)
+                some = np.flatnonzero(part >= cut[:, None])
+            p, q = np.divmod(some, len(y))
+            cosine, p = np.round(part.ravel()[some], 6), p + at
+            last, first = self.cosine[p, -1], self.rank[p, -1]
+            better = (cosine >= self.least) & (self.vid[p] != vid[q]) & ((cosine > last) | ((cosine == last) & (rank[q] < first)))
+            self._merge(p[better], cosine[better], rank[q[better]], vid[q[better]])
+
+    def _merge(self, p: np.ndarray, cosine: np.ndarray, rank: np.ndarray, other: np.ndarray) -> None:
+        rows = np.unique(p)
+        p = np.concatenate((np.repeat(rows, self.keep), p))
+        cosine, rank, other = (np.concatenate((old[rows].ravel(), new)) for old, new in ((self.cosine, cosine), (self.rank, rank), (self.other, other)))
+        order = np.lexsort((rank, -cosine, p))
+        begin = np.searchsorted(p[order], rows)
+        best = order[begin[:, None] + np.arange(self.keep)]
+        self.cosine[rows], self.rank[rows], self.other[rows] = cosine[best], rank[best], other[best]
+
+    def rows(self) -> pa.RecordBatch:
+        p, k = np.nonzero(self.cosine > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.vid[p]), pa.array(self.other[p, k]), pa.array(self.cosine[p, k])], names=["va", "vb", "cosine"])
+
+
+def _best_of_blocks(keep: int, least: float):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
+        for batch in batches:
+            dim, block, vid, units, vid_r, rank_r, units_r = batch.columns
+            for r in range(batch.num_rows):
+                d = dim[r].as_py()
+                # a task gets all partners of a block one after another
+                if block[r] != at:
+                    if now:
+                        yield now.rows()
+                    now, at = _Best(matrix(units[r], d), vid[r].values.to_numpy(), keep, least), block[r]
+                now.add(matrix(units_r[r], d), vid_r[r].values.to_numpy(), rank_r[r].values.to_numpy())
+        if now:
+            yield now.rows()
+
+    return best
+
+
+def _compare_crowded(
+    work: Workspace, classes: DataFrame, members: DataFrame, index: DataFrame, query: DataFrame, limit: int, keep: int, min_cosine: float, block_rows: int,
+) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame | None]:
+    """Query and index rows that are still to be joined, and ``(va, vb, cosine)`` of the vectors in or visiting those.
+
+    A vector in a crowded bucket is compared with all in crowded buckets and all that
+    visit one, a vector that only visits with all in crowded buckets, so no pair that
+    such a bucket would have given is left out. Of each vector the ``keep`` most
+    similar come out, more than once if several tasks found them.
     """
-    step = len(probe_order(FINE_FUNCTIONS, FINE_PROBES)) + 1
-    calm_index, calm_query = [], []
-    for level in range(1, LEVELS + 1):
-        crowded = index.groupBy("key").count().where(F.col("count") > limit).select("key")
-        crowded = work.stage(crowded, "crowded")
-        if not crowded.limit(1).count():
-            break
-        calm_index.append(index.join(crowded, "key", "left_anti"))
-        calm_query.append(query.join(crowded, "key", "left_anti"))
-        # only vectors that are in a crowded bucket are hashed again
-        needed = index.join(crowded, "key", "left_semi").select(F.col("vb").alias("vid")).union(query.join(crowded, "key", "left_semi").select("va")).distinct()
-        fine = classes.join(needed, "vid", "left_semi").select("vid", F.xxhash64("model_id").alias("salt"), "unit").mapInArrow(
-            _hash_rows(FINE_FUNCTIONS, tables, FINE_PROBES, width / 4**level, seed + 1000 * level), "vid long, s1 long, s2 long, keys array<long>"
-        ).select("vid", "keys")
-        fine = work.stage(fine, "fine")
-        mixed = lambda k: F.xxhash64("key", k)
-        index = (
-            index.join(crowded, "key", "left_semi").join(fine.select(F.col("vid").alias("vb"), "keys"), "vb")
-            .select(mixed(F.element_at("keys", F.col("t") * step + 1)).alias("key"), "t", "vb", "b1", "b2")
-        )
-        query = (
-            query.join(crowded, "key", "left_semi").join(fine.withColumnRenamed("vid", "va"), "va")
-            .select("key", "t", "va", "a1", "a2", F.explode(F.slice("keys", F.col("t") * step + 1, step)).alias("f")).select(mixed("f").alias("key"), "t", "va", "a1", "a2")
-        )
-        index, query = work.stage(index, "index"), work.stage(query, "query")
-    for df in calm_index:
-        index = index.unionByName(df.select(index.columns))
-    for df in calm_query:
-        query = query.unionByName(df.select(query.columns))
-    return index, query
+    crowded = work.stage(index.groupBy("key").count().where(F.col("count") > limit).select("key"), "crowded")
+    if not crowded.limit(1).count():
+        return [(query, index)], None
+    inside = index.join(crowded, "key", "left_semi").select(F.col("vb").alias("vid"), F.lit(True).alias("crowd"))
+    visiting = query.join(crowded, "key", "left_semi").select(F.col("va").alias("vid"), F.lit(False).alias("crowd"))
+    chosen = inside.union(visiting).groupBy("vid").agg(F.max("crowd").alias("crowd"))
+    # ids that grow with the order of the smallest item ids, which decide between equal cosines
+    ranks = members.groupBy("vid").agg(F.min("item_id").alias("head")).join(chosen, "vid").orderBy("head").select("vid", "crowd", F.monotonically_increasing_id().alias("rank"))
+    ranks = work.stage(ranks, "ranks")
+    blocks = pack(work, classes.select("vid", "model_id", "unit").join(ranks, "vid"), ["model_id", "crowd"], ["vid", "rank"], block_rows)
+    pairs = block_pairs(blocks, both=True).where(F.col("crowd") | F.col("crowd_r")).select("dim", "block", "vid", "units", "vid_r", "rank_r", "units_r")
+    found = pairs.mapInArrow(_best_of_blocks(keep, min_cosine), "va long, vb long, cosine double")
+    found = work.stage(found, "found")
+    # what was compared in full isn't looked for again in calm buckets: 2 is in a crowded bucket, 1 visits one, 0 neither
+    role = F.coalesce(F.when(F.col("crowd"), 2).otherwise(F.when(~F.col("crowd"), 1)), F.lit(0))
+    calm = lambda df, v: df.join(crowded, "key", "left_anti").join(ranks.select(F.col("vid").alias(v), "crowd"), v, "left").withColumn("role", role).drop("crowd")
+    query, index = calm(query, "va"), calm(index, "vb")
+    rest = [(query.where(f"role = {a}").drop("role"), index.where(f"role <= {b}").drop("role")) for a, b in ((0, 2), (1, 1), (2, 0))]
+    return rest, found
 
 
 def similar_pairs(
     vectors: DataFrame, k: int = 5, min_cosine: float = 0.85, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH,
-    functions: int | None = None, bucket_limit: int = BUCKET_LIMIT, seed: int = 7,
+    functions: int | None = None, bucket_limit: int = BUCKET_LIMIT, seed: int = 7, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(model_id, item_id_a, item_id_b)``, a < b: one is among the k most similar of the other, at ``min_cosine`` or more.
 
@@ -210,10 +265,10 @@ def similar_pairs(
     index = hashed.select(F.posexplode(own).alias("t", "key"), F.col("vid").alias("vb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     query = hashed.select(F.posexplode("keys").alias("at", "key"), F.col("vid").alias("va"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
     query = query.select(F.floor(F.col("at") / step).cast("int").alias("t"), "key", "va", "a1", "a2")
-    index, query = _split_crowded(work, classes, index, query, tables, width, bucket_limit, seed)
+    rest, full = _compare_crowded(work, classes, members, index, query, bucket_limit, k + 1, min_cosine, block_rows)
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     close = (
-        query.join(index, "key").where((F.col("va") != F.col("vb")) & (apart <= SKETCH_BITS))
+        reduce(DataFrame.unionByName, [q.drop("t").join(i.drop("t"), "key") for q, i in rest]).where((F.col("va") != F.col("vb")) & (apart <= SKETCH_BITS))
         .select(F.least("va", "vb").alias("va"), F.greatest("va", "vb").alias("vb"))
         .distinct()
     )
@@ -230,6 +285,8 @@ def similar_pairs(
     # the k + 1 smallest ids stand for a class: no item needs more of it
     heads = members.withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("item_id"))).where(F.col("r") <= k + 1).select("vid", "item_id")
     directed = scored.unionByName(scored.select(F.col("vb").alias("va"), F.col("va").alias("vb"), "cosine"))
+    if full is not None:
+        directed = directed.unionByName(full).groupBy("va", "vb").agg(F.max("cosine").alias("cosine"))
     itself = heads.groupBy("vid").count().where("count > 1").select(F.col("vid").alias("va"), F.col("vid").alias("vb"), F.lit(1.0).alias("cosine"))
     order = (F.col("cosine").desc(), F.col("other"))
     best = (

@@ -70,3 +70,37 @@ def test_one_crowded_group_keeps_its_neighbours(spark):
     rows = [(f"d{k:04}", "m", 32, (centre + rng.standard_normal(32) * 0.04).tolist(), "x", 1) for k in range(1500)]
     true, found = brute(rows), run(spark, rows, bucket_limit=60)
     assert len(true & found) >= 0.98 * len(true)
+
+
+def test_crowded_buckets_are_compared_in_full(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    centre /= np.linalg.norm(centre)
+    tight = [(f"d{k:04}", "m", 16, (centre + rng.standard_normal(16) * 0.002).tolist(), "x", 1) for k in range(700)]
+    loose = [(f"e{k:04}", "m", 16, (centre + rng.standard_normal(16) * 0.08).tolist(), "x", 1) for k in range(300)]
+    # one direction in different lengths: equal cosines, so the item ids decide
+    alike = [(f"f{k:04}", "m", 16, (centre * (k + 1)).tolist(), "x", 1) for k in range(100)]
+    rows = tight + loose + alike + clustered(100)
+    true = brute(rows)
+    inside = {r[0] for r in tight + alike}
+    for block_rows in (90, 1000):
+        found = run(spark, rows, bucket_limit=60, block_rows=block_rows)
+        part = lambda pairs: {p for p in pairs if p[1] in inside and p[2] in inside}
+        assert part(found) == part(true)
+        assert len(true & found) >= 0.99 * len(true) and len(found - true) <= 0.01 * len(true)
+
+
+def test_the_best_of_blocks():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((400, 3)), 1) + 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vid, rank = np.arange(400) + 7, rng.permutation(400)
+    best = neighbours._Best(x, vid, 6, 0.9)
+    for at in range(0, 400, 150):
+        best.add(x[at : at + 150], vid[at : at + 150], rank[at : at + 150])
+    got = best.rows().to_pandas()
+    true = set()
+    for i in range(400):
+        order = sorted((-c, rank[j], j) for j, c in enumerate(np.round(x @ x[i], 6)) if j != i and c >= 0.9)[:6]
+        true |= {(i + 7, j + 7, -c) for c, _, j in order}
+    assert set(got.itertuples(index=False, name=None)) == true
