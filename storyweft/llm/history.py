@@ -27,8 +27,11 @@ import json
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..workspace import Workspace, shared_root
 from .lookalikes import as_latin, fold
@@ -45,9 +48,13 @@ SPREAD = 4
 #: Appends after which the tables are rewritten with one file a bucket.
 COMPACT_AFTER = 64
 #: Letters of scripts written without blanks; each is a word of its own in the pieces.
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+#: Here and in the next pattern a range comes first that most characters are outside of, so that few are looked up in the others.
+_UNSPACED = r"([\x{E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]])"
 #: Characters without width, combining, full-width, ligatures, and letters with Latin look-alikes.
-_ODD = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300}-\x{36F}\x{FF01}-\x{FF60}\x{FB00}-\x{FB06}\x{370}-\x{3FF}\x{400}-\x{52F}]"
+_ODD = r"[\x{AD}\x{100}-\x{FFFF}&&[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300}-\x{36F}\x{FF01}-\x{FF60}\x{FB00}-\x{FB06}\x{370}-\x{3FF}\x{400}-\x{52F}]]"
+
+#: What stands between two words, in lower case, unless it is a single blank.
+_BETWEEN = r"[^ a-z0-9\p{L}\p{M}\p{N}][^a-z0-9\p{L}\p{M}\p{N}]*+| [^a-z0-9\p{L}\p{M}\p{N}]++"
 
 
 def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
@@ -84,51 +91,79 @@ def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
     return r.withColumn("name", F.when(u != "", F.concat_ws("|", place, name))).drop("_u", "_asked", "_path", "_dated", "_number", "_code")
 
 
-def _words(text: Column, looks: bool = True) -> Column:
+def _plain(rows: DataFrame, texts: dict[str, str], looks: bool = True) -> DataFrame:
+    """``rows`` with the words of texts, by column, in lower case with single blanks; NULL is empty."""
+    same = {c: F.col(t) for c, t in texts.items()}
     if looks:
-        # characters that only look different are no edits; few texts have any
-        odd = (F.octet_length(text) != F.length(text)) & text.rlike(_ODD)
-        text = F.when(odd, as_latin(fold(F.when(odd, text)))).otherwise(text)
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+        # characters that only look different are no edits; few texts have any, and these are a column of their own
+        odd = lambda t: (F.octet_length(t) != F.length(t)) & F.col(t).rlike(_ODD)
+        rows = rows.withColumns({f"_odd_{c}": F.when(odd(t), F.col(t)) for c, t in texts.items()})
+        rows = rows.withColumns({f"_odd_{c}": as_latin(fold(F.col(f"_odd_{c}"))) for c in texts})
+        same = {c: F.coalesce(f"_odd_{c}", t) for c, t in texts.items()}
+    return rows.withColumns({c: F.btrim(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), _BETWEEN, " ")) for c, t in same.items()}).drop(*[f"_odd_{c}" for c in texts])
 
 
-def _spaced(words: str) -> Column:
-    text = F.array_join(words, " ")
-    unspaced = (F.octet_length(text) != F.length(text)) & text.rlike(_UNSPACED)
-    return F.when(unspaced, F.filter(F.split(F.regexp_replace(text, _UNSPACED, " $1 "), " "), lambda w: w != "")).otherwise(F.col(words))
+def _split(text: Column) -> Column:
+    return F.when(text != "", F.split(text, " ")).otherwise(F.array().cast("array<string>"))
 
 
-def _starts(words: str) -> Column:
-    """Places (from 1) at which a piece begins: the first word, and each marked word behind an unmarked one."""
-    mark = lambda w: (F.ascii(w) + F.length(w)) % 2 == 1
-    word = lambda i: F.element_at(words, i)
-    inner = F.when(F.size(words) > 1, F.sequence(F.lit(2), F.size(words))).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(words) > 0, F.concat(F.array(F.lit(1)), F.filter(inner, lambda i: mark(word(i)) & ~mark(word(i - 1)))))
+def _spaced(text: str) -> Column:
+    unspaced = (F.octet_length(text) != F.length(text)) & F.col(text).rlike(_UNSPACED)
+    return F.when(unspaced, F.btrim(F.regexp_replace(F.regexp_replace(text, _UNSPACED, " $1 "), " +", " "))).otherwise(F.col(text))
 
 
-def _cut(kind: str, words: str, starts: str) -> Column:
-    """``(h, w)`` of each piece: hash with outlet and kind of text, and number of words."""
-    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(words) + 1)
-    return F.coalesce(
-        F.transform(starts, lambda s, k: F.struct(F.xxhash64(F.lit(kind), "outlet", F.slice(words, s, end(k) - s)).alias("h"), (end(k) - s).alias("w"))),
-        F.array().cast("array<struct<h:bigint,w:int>>"),
-    )
+@F.arrow_udf(ArrayType(StringType()))
+def _cut(texts: pa.Array) -> pa.Array:
+    """Texts (words with single blanks) cut into pieces; one begins at the first word and at each marked word behind an unmarked one.
+
+    A word is marked if its length and the code point of its first character add up to an odd number.
+    """
+    texts = texts.fill_null("").cast(pa.string())
+    _, where, chars = texts.buffers()
+    ends = np.frombuffer(where, np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(chars or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    first = np.zeros(len(data), bool)
+    first[ends[:-1][ends[1:] > ends[:-1]]] = True
+    blank = data == ord(" ")
+    start = np.flatnonzero(first | np.concatenate([[False], blank[:-1]])[: len(data)])
+    stop = np.append(start[1:] - blank[start[1:] - 1], len(data))[: len(start)]
+    # bytes that begin a character; the last byte of a character is as odd as its code point
+    begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    lead = data[start]
+    last = start + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    mark = (data[last] + begun[stop] - begun[start]) % 2 == 1
+    border = first[start]
+    border[1:] |= mark[1:] & ~mark[:-1]
+    cut = start[border]
+    # the blank before a piece goes, so that one piece ends where the next begins
+    gone = cut[~first[cut]] - 1
+    kept = np.ones(len(data), bool)
+    kept[gone] = False
+    at = np.append(cut, len(data)) - np.searchsorted(gone, np.append(cut, len(data)))
+    pieces = pa.StringArray.from_buffers(len(cut), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[kept]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cut, ends).astype(np.int32)), pieces)
+
+
+def _hashed(kind: str, pieces: Column) -> Column:
+    """``(h, w)`` of each distinct piece: hash with outlet and kind of text, and number of words."""
+    blanks = lambda p: F.octet_length(p) - F.octet_length(F.replace(p, F.lit(" "), F.lit("")))
+    return F.transform(F.array_distinct(pieces), lambda p: F.struct(F.xxhash64(F.lit(kind), "outlet", F.split(p, " ")).alias("h"), (blanks(p) + 1).alias("w")))
 
 
 def with_pieces(rows: DataFrame, looks: bool = True) -> DataFrame:
-    """``rows`` (``outlet``, ``title``, ``lede``) with ``words_t``, ``words_l`` and ``pieces``, the distinct ``(h, w)`` of both texts.
+    """``rows`` (``outlet``, ``title``, ``lede``) with ``plain_t``, ``plain_l`` and ``pieces``, the distinct ``(h, w)`` of both texts.
 
-    With ``looks`` characters that look alike are alike. NULL texts have no words; a
-    record without words has no pieces.
+    With ``looks`` characters that look alike are alike. NULL texts are empty; a record
+    without words has no pieces.
     """
-    r = rows.withColumns({"words_t": _words(F.col("title"), looks), "words_l": _words(F.col("lede"), looks)})
-    r = r.withColumns({"_t": _spaced("words_t"), "_l": _spaced("words_l")})
-    r = r.withColumns({"_st": _starts("_t"), "_sl": _starts("_l")})
-    single = lambda kind, c: F.transform(c, lambda w: F.struct(F.xxhash64(F.lit(kind), "outlet", w).alias("h"), F.lit(1).alias("w")))
-    cut = F.concat(_cut("title", "_t", "_st"), _cut("lede", "_l", "_sl"))
-    words = F.when(F.size("_t") + F.size("_l") < SHORT_WORDS, F.concat(single("title word", "_t"), single("lede word", "_l"))).otherwise(F.array().cast("array<struct<h:bigint,w:int>>"))
-    return r.withColumn("pieces", F.array_distinct(F.concat(cut, words))).drop("_t", "_l", "_st", "_sl")
+    r = _plain(rows, {"plain_t": "title", "plain_l": "lede"}, looks)
+    r = r.withColumns({"_t": _spaced("plain_t"), "_l": _spaced("plain_l")})
+    r = r.withColumns({"_ct": _cut("_t"), "_cl": _cut("_l")})
+    none = F.array().cast("array<struct<h:bigint,w:int>>")
+    words_of = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + (F.col(c) != "").cast("int")
+    words = F.when(words_of("_t") + words_of("_l") < SHORT_WORDS, F.concat(_hashed("title word", _split(F.col("_t"))), _hashed("lede word", _split(F.col("_l"))))).otherwise(none)
+    return r.withColumn("pieces", F.concat(_hashed("title", F.col("_ct")), _hashed("lede", F.col("_cl")), words)).drop("_t", "_l", "_ct", "_cl")
 
 
 def _records(rows: DataFrame, url: str) -> DataFrame:
@@ -137,8 +172,8 @@ def _records(rows: DataFrame, url: str) -> DataFrame:
     return with_pieces(r).select(
         "batch_no", "row", "linked",
         F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
-        F.when(F.size("words_t") + F.size("words_l") > 0, F.xxhash64(F.lit("content"), "outlet", "words_t", "words_l")).alias("content"),
-        F.array_join("words_t", " ").alias("title"), F.array_join("words_l", " ").alias("lede"), "pieces",
+        F.when((F.col("plain_t") != "") | (F.col("plain_l") != ""), F.xxhash64(F.lit("content"), "outlet", _split(F.col("plain_t")), _split(F.col("plain_l")))).alias("content"),
+        F.col("plain_t").alias("title"), F.col("plain_l").alias("lede"), "pieces",
     )
 
 
@@ -266,7 +301,7 @@ class ArticleHistory:
 
     # -- a batch
 
-    def _append(self, records: DataFrame) -> None:
+    def _append(self, records: DataFrame, batch: int) -> None:
         """Add the hashes of a stage of records of one batch that aren't known.
 
         The batch is dealt to the buckets once; finding what is new and writing it need
@@ -280,7 +315,8 @@ class ArticleHistory:
         met = self.known().select("h").join(rows.select("h").distinct().hint("shuffle_hash"), "h", "left_semi")
         self._add("known", first.join(met, "h", "left_anti"))
         brought = records.where(F.col("content").isNotNull()).select("batch_no", F.col("row").alias("_row"), "content", "pieces")
-        stored = self.known().select(F.col("h").alias("content"), "batch", "row")
+        # the batch is named, so that files of other batches are passed over
+        stored = self.known().where(F.col("batch") == batch).select(F.col("h").alias("content"), "batch", "row")
         # ranges, since more join keys than the buckets' would have the table shuffled
         same = F.col("batch").between(F.col("batch_no"), F.col("batch_no")) & F.col("row").between(F.col("_row"), F.col("_row"))
         self._add("pieces", _postings(stored.join(brought.hint("shuffle_hash"), "content").where(same), self.state["spread"]))
@@ -292,25 +328,28 @@ class ArticleHistory:
         known = self.known().select("h", "batch", F.col("row").alias("first"))
         return known.join(each.hint("shuffle_hash"), "h").where(earlier).select("row").distinct()
 
-    def covered(self, records: DataFrame) -> DataFrame:
-        """``row, content, total, h, w, many`` of the pieces of appended records.
+    def met(self, records: DataFrame) -> DataFrame:
+        """``h, s, c`` of the stored pieces that any of the records has, each once."""
+        asked = _over(records.select(F.explode("pieces.h").alias("h")).distinct(), self.state["spread"])
+        return self.pieces().join(asked.hint("shuffle_hash"), ["h", "s"], "left_semi")
+
+    def covered(self, records: DataFrame, met: DataFrame) -> DataFrame:
+        """``row, content, total, h, w, many`` of the pieces of appended records; ``met`` are the stored ones.
 
         ``many`` counts the other contents of a piece, those of the whole batch among them;
         ``total`` is the number of words of all pieces of the record.
         """
         one = records.select("row", "content", F.expr("aggregate(pieces, 0, (s, p) -> s + p.w)").alias("total"), F.explode("pieces").alias("p")).select("row", "content", "total", "p.h", "p.w")
         # a frequent piece is one row of either side
-        asked = _over(one.select("h").distinct(), self.state["spread"])
-        stored = self.pieces().join(asked.hint("shuffle_hash"), ["h", "s"], "left_semi").groupBy("h").agg((F.count(F.lit(1)) - 1).alias("many"))
-        return one.join(stored, "h")
+        return one.join(met.groupBy("h").agg((F.count(F.lit(1)) - 1).alias("many")), "h")
 
-    def _near(self, records: DataFrame) -> DataFrame:
+    def _near(self, records: DataFrame, met: DataFrame) -> DataFrame:
         """``row`` of the records that are, up to small edits, a content that came earlier."""
-        pieces = self.covered(records).where("many > 0")
+        pieces = self.covered(records, met).where("many > 0")
         # of each record the known words from a piece on, the rarest piece first: while they reach the share asked for
         rest = Window.partitionBy("row").orderBy(F.col("many").desc(), "h").rowsBetween(Window.unboundedPreceding, 0)
         chosen = pieces.withColumn("rest", F.sum("w").over(rest)).where(F.col("rest") >= F.col("total") * COVERAGE).select("row", "content", "h")
-        stored = self.pieces().join(_over(chosen, self.state["spread"]).hint("shuffle_hash"), ["h", "s"])
+        stored = met.join(_over(chosen, self.state["spread"]).hint("shuffle_hash"), ["h", "s"])
         pairs = stored.where(F.col("c") != F.col("content")).select("row", F.col("c").alias("other")).distinct()
         asked = pairs.join(records.select("batch_no", "row", "title", "lede"), "row").hint("shuffle_hash")
         texts = self.known().where(F.col("title").isNotNull()).select(F.col("h").alias("other"), "batch", F.col("row").alias("first"), "title", "lede")
@@ -324,7 +363,7 @@ class ArticleHistory:
         is only checked.
         """
         if batch > self.state.get("done", -1):
-            self._append(records)
+            self._append(records, batch)
             self.state["done"], self.state["appends"] = batch, self.state["appends"] + 1
             self._write_state()
             if self.state["appends"] >= COMPACT_AFTER:
@@ -333,9 +372,11 @@ class ArticleHistory:
             linked = records.where("linked")
             exact = self._exact(linked)
             exact = self.work.stage(exact, "exact")
-            near = self._near(linked.join(exact, "row", "left_anti"))
-            exact.unionByName(near).write.mode("overwrite").parquet(found)
-            self.work.drop(exact)
+            rest = linked.join(exact, "row", "left_anti")
+            # the history is gone through once; what it shares with the batch is counted first and followed then
+            met = self.work.stage(self.met(rest), "met")
+            exact.unionByName(self._near(rest, met)).write.mode("overwrite").parquet(found)
+            self.work.drop(exact, met)
 
 
 def item_records(items: DataFrame) -> DataFrame:

@@ -166,3 +166,33 @@ def test_brute_force(spark):
     a, b = r.alias("a"), r.alias("b")
     same = a.join(b, ((F.col("b.batch_no") < F.col("a.batch_no")) | ((F.col("b.batch_no") == F.col("a.batch_no")) & (F.col("b.row") < F.col("a.row"))))).where(history._same_text("a", "b"))
     assert run(spark, [], rows) == {x[0] for x in same.select("a.row").distinct().collect()}
+
+
+def test_a_batch_goes_through_the_pieces_once(spark, monkeypatch):
+    h = history.ArticleHistory(spark)
+    i, e = frames(spark, [("i", "o", "https://x.example/a/1000001/t", EIGHT, LEDE)], [(1, 1, "o", OTHER, EIGHT, LEDE + " Now.")])
+    h.take(h.work.stage(history.item_records(i), "items"), 0)
+    read, pieces = [], h.pieces
+    monkeypatch.setattr(h, "pieces", lambda: read.append(1) or pieces())
+    assert [r.entry_id for r in history.check_entries(h, e).collect()] == [1]
+    assert len(read) == 1
+    h.close()
+
+
+def by_rule(text):
+    out = []
+    for k, w in enumerate(words := text.split()):
+        mark = lambda x: (ord(x[0]) + len(x)) % 2 == 1
+        if k == 0 or mark(w) and not mark(words[k - 1]):
+            out.append([])
+        out[-1].append(w)
+    return [" ".join(p) for p in out]
+
+
+def test_pieces_begin_at_marked_words(spark):
+    texts = ["", "one", "council to repair the harbour wall before winter", "écoles à paris élèves ñu", "новый план города на зиму", "市 議 会 は 港 の 防", "𝔞b 😀 𠀀c de f 𠀀 x", "", "a b c d e f g h aa bb cc dd", "last"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    assert {r.k: r.p for r in df.select("k", history._cut("t").alias("p")).collect()} == {k: by_rule(t) for k, t in enumerate(texts)}
+    # a batch that is a slice, and one without rows
+    assert history._cut.func(history.pa.array(texts)[3:7]).to_pylist() == [by_rule(t) for t in texts[3:7]]
+    assert history._cut.func(history.pa.array([], "string")).to_pylist() == []
