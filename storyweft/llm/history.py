@@ -5,7 +5,7 @@ opened again by any later session:
 
 * ``known``, by hash: the name of the article in its address, and the normalised
   content with its text; each once, with the batch and row that brought it first.
-* ``pieces``, by hash: the paragraphs of every distinct content. A feed entry is a
+* ``pieces``, by hash (a frequent one in several parts): the paragraphs of every distinct content. A feed entry is a
   title and a few sentences, so its paragraphs are short: a text is cut before words
   that its own words determine, wherever they stand, into stretches of about four
   words, and an edit spoils only the stretches it touches.
@@ -24,6 +24,7 @@ history. Neither table is shuffled, and texts are read only for the comparison.
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from functools import reduce
 
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..workspace import Workspace, shared_root
 from .lookalikes import as_latin, fold
@@ -47,6 +48,8 @@ SHORT_WORDS = 16
 SPREAD = 4
 #: Appends after which the tables are rewritten with one file a bucket.
 COMPACT_AFTER = 64
+#: What the columns and hashes of a stored history mean; another one can't be gone on with.
+FORMAT = 2
 #: Letters of scripts written without blanks; each is a word of its own in the pieces.
 #: Here and in the next pattern a range comes first that most characters are outside of, so that few are looked up in the others.
 _UNSPACED = r"([\x{E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]])"
@@ -56,6 +59,13 @@ _ODD = r"[\x{AD}\x{100}-\x{FFFF}&&[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{300
 #: What stands between two words, in lower case, unless it is a single blank.
 _BETWEEN = r"[^ a-z0-9\p{L}\p{M}\p{N}][^a-z0-9\p{L}\p{M}\p{N}]*+| [^a-z0-9\p{L}\p{M}\p{N}]++"
 
+#: A character that ``_worded`` leaves as it is: not of ASCII or Latin-1, and no dash, quotation mark or other general punctuation.
+_WIDE = r"[^\x{0}-\x{AC}\x{AE}-\x{FF}\x{2010}-\x{2027}\x{2030}-\x{205E}]"
+#: Bytes as words have them: small letters, digits and whatever isn't ASCII; all else is a blank.
+_IN_WORDS = np.array([ord(chr(b).lower()) if chr(b).isalnum() else ord(" ") for b in range(128)] + list(range(128, 256)), np.uint8)
+#: Second bytes of the characters from U+80 to U+BF that stand in words.
+_LATIN_1 = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if unicodedata.category(chr(b))[0] in "LMN"])
+
 
 def with_article_name(rows: DataFrame, outlet: str, url: str) -> DataFrame:
     """``rows`` with ``name``: what an address names at its outlet, a number, a dated title or a code; else its path.
@@ -145,10 +155,47 @@ def _cut(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(cut, ends).astype(np.int32)), pieces)
 
 
+@F.arrow_udf(StructType([StructField("words", StringType()), StructField("pieces", ArrayType(StringType()))]))
+def _worded(texts: pa.Array) -> pa.Array:
+    """The words of texts in lower case with single blanks, and these cut into pieces.
+
+    Characters of ``_WIDE`` are left as they are, so texts with any are to be given as ``_plain`` has them, which are not changed.
+    """
+    texts = texts.fill_null("").cast(pa.string())
+    _, where, chars = texts.buffers()
+    ends = np.frombuffer(where, np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    data = _IN_WORDS[np.frombuffer(chars or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    lead = np.flatnonzero(data >= 0xC2)
+    by = {b: lead[data[lead] == b] for b in (0xC2, 0xC3, 0xE2)}
+    # U+C0 to U+DE are the capitals of U+E0 to U+FE, but for two signs
+    second = data[by[0xC3] + 1]
+    signs = (second == 0x97) | (second == 0xB7)
+    data[by[0xC3] + 1] = np.where(second <= 0x9E, second + 0x20, second)
+    # U+2010 to U+2027 and U+2030 to U+205E
+    second, third = data[by[0xE2] + 1], data[by[0xE2] + 2]
+    marks = (second == 0x80) & ((third >= 0x90) & (third <= 0xA7) | (third >= 0xB0)) | (second == 0x81) & (third <= 0x9E)
+    for at, size in ((by[0xC3][signs], 2), (by[0xC2][~_LATIN_1[data[by[0xC2] + 1]]], 2), (by[0xE2][marks], 3)):
+        for k in range(size):
+            data[at + k] = ord(" ")
+    kept = data != ord(" ")
+    # of several blanks the last one stays, and none at the end of a text
+    inner = np.append(kept[1:], False)[: len(data)]
+    inner[ends[1:][ends[1:] > 0] - 1] = False
+    kept = kept | inner
+    data, ends = data[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+    # nor at its beginning
+    begin = ends[:-1][ends[1:] > ends[:-1]]
+    begin = begin[data[begin] == ord(" ")]
+    data, ends = np.delete(data, begin), ends - np.searchsorted(begin, ends)
+    words = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+    return pa.StructArray.from_arrays([words, _cut.func(words)], ["words", "pieces"])
+
+
 def _hashed(kind: str, pieces: Column) -> Column:
     """``(h, w)`` of each distinct piece: hash with outlet and kind of text, and number of words."""
     blanks = lambda p: F.octet_length(p) - F.octet_length(F.replace(p, F.lit(" "), F.lit("")))
-    return F.transform(F.array_distinct(pieces), lambda p: F.struct(F.xxhash64(F.lit(kind), "outlet", F.split(p, " ")).alias("h"), (blanks(p) + 1).alias("w")))
+    return F.transform(F.array_distinct(pieces), lambda p: F.struct(F.xxhash64(F.lit(kind), "outlet", p).alias("h"), (blanks(p) + 1).alias("w")))
 
 
 def with_pieces(rows: DataFrame, looks: bool = True) -> DataFrame:
@@ -157,13 +204,18 @@ def with_pieces(rows: DataFrame, looks: bool = True) -> DataFrame:
     With ``looks`` characters that look alike are alike. NULL texts are empty; a record
     without words has no pieces.
     """
-    r = _plain(rows, {"plain_t": "title", "plain_l": "lede"}, looks)
-    r = r.withColumns({"_t": _spaced("plain_t"), "_l": _spaced("plain_l")})
-    r = r.withColumns({"_ct": _cut("_t"), "_cl": _cut("_l")})
+    # most texts go without patterns; the others are columns of their own
+    wide = {"_wt": "title", "_wl": "lede"}
+    r = rows.withColumns({w: F.when((F.octet_length(t) != F.length(t)) & F.col(t).rlike(_WIDE), F.col(t)) for w, t in wide.items()})
+    r = _plain(r, {"_pt": "_wt", "_pl": "_wl"}, looks)
+    r = r.withColumns({x: F.when(F.col(w).isNotNull(), _spaced(p)).otherwise(F.col(wide[w])) for x, w, p in (("_xt", "_wt", "_pt"), ("_xl", "_wl", "_pl"))})
+    r = r.withColumns({"_ct": _worded("_xt"), "_cl": _worded("_xl")})
+    r = r.withColumns({"_t": F.col("_ct.words"), "_l": F.col("_cl.words")})
+    r = r.withColumns({x: F.when(F.col(w).isNotNull(), F.col(p)).otherwise(F.col(c)) for x, w, p, c in (("plain_t", "_wt", "_pt", "_t"), ("plain_l", "_wl", "_pl", "_l"))})
     none = F.array().cast("array<struct<h:bigint,w:int>>")
     words_of = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + (F.col(c) != "").cast("int")
     words = F.when(words_of("_t") + words_of("_l") < SHORT_WORDS, F.concat(_hashed("title word", _split(F.col("_t"))), _hashed("lede word", _split(F.col("_l"))))).otherwise(none)
-    return r.withColumn("pieces", F.concat(_hashed("title", F.col("_ct")), _hashed("lede", F.col("_cl")), words)).drop("_t", "_l", "_ct", "_cl")
+    return r.withColumn("pieces", F.concat(_hashed("title", F.col("_ct.pieces")), _hashed("lede", F.col("_cl.pieces")), words)).drop("_t", "_l", "_ct", "_cl", "_xt", "_xl", "_pt", "_pl", *wide)
 
 
 def _records(rows: DataFrame, url: str) -> DataFrame:
@@ -172,7 +224,7 @@ def _records(rows: DataFrame, url: str) -> DataFrame:
     return with_pieces(r).select(
         "batch_no", "row", "linked",
         F.when(F.col("name").isNotNull(), F.xxhash64(F.lit("name"), "name")).alias("name_hash"),
-        F.when((F.col("plain_t") != "") | (F.col("plain_l") != ""), F.xxhash64(F.lit("content"), "outlet", _split(F.col("plain_t")), _split(F.col("plain_l")))).alias("content"),
+        F.when((F.col("plain_t") != "") | (F.col("plain_l") != ""), F.xxhash64(F.lit("content"), "outlet", "plain_t", "plain_l")).alias("content"),
         F.col("plain_t").alias("title"), F.col("plain_l").alias("lede"), "pieces",
     )
 
@@ -186,21 +238,27 @@ def _same_text(a: str, b: str) -> Column:
     # no more edits than allowed are counted; -1 stands for more
     ledes = F.call_function("levenshtein", F.col(f"{a}.lede"), F.col(f"{b}.lede"), least)
     near = F.abs(size(a, "lede") - size(b, "lede")) <= least
-    small = reduce(lambda x, y: x | y, [titles.between(0, t) & (ledes <= longest * s) for t, s in EDITS])
+    small = lambda n, m: reduce(lambda x, y: x | y, [(n <= t) & (m <= longest * s) for t, s in EDITS])
     words = lambda c: F.size(F.split(c, " "))
     bare = F.least(*[words(f"{x}.{c}") for x in (a, b) for c in ("title", "lede")]) < 3
-    few = titles.between(0, EDITS[0][0]) & (titles <= F.greatest(size(a, "title"), size(b, "title")) * EDITS[1][1])
-    return near & (titles >= 0) & (~bare | few) & (ledes >= 0) & small
+    few = lambda n: (n <= EDITS[0][0]) & (n <= F.greatest(size(a, "title"), size(b, "title")) * EDITS[1][1])
+    # in a lambda a distance is a value: each is worked out once, that of the ledes only if the titles allow it
+    return near & F.exists(F.array(titles), lambda n: (n >= 0) & (~bare | few(n)) & F.exists(F.array(ledes), lambda m: (m >= 0) & small(n, m)))
+
+
+def _part(h: str, content: str, spread: int) -> Column:
+    """Key of the part of a piece that a content lies in, from the piece's hash; and the hash from the key."""
+    return F.col(h).bitwiseXOR(F.pmod(content, F.lit(spread)))
 
 
 def _postings(records: DataFrame, spread: int) -> DataFrame:
-    """``(h, s, c)`` of the pieces of records."""
-    return records.where(F.col("content").isNotNull()).select(F.explode("pieces.h").alias("h"), F.pmod("content", F.lit(spread)).cast("int").alias("s"), F.col("content").alias("c"))
+    """``(k, c)`` of the pieces of records."""
+    return records.where(F.col("content").isNotNull()).select(F.explode("pieces.h").alias("h"), F.col("content").alias("c")).select(_part("h", "c", spread).alias("k"), "c")
 
 
 def _over(hashes: DataFrame, spread: int) -> DataFrame:
-    """Each row once for every part that the contents of a piece are spread over."""
-    return hashes.withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(spread)])))
+    """Each row, by its ``h``, once for every part ``k`` that the contents of a piece are spread over."""
+    return hashes.withColumn("k", F.explode(F.array(*[F.col("h").bitwiseXOR(F.lit(i).cast("long")) for i in range(spread)])))
 
 
 class ArticleHistory:
@@ -217,7 +275,9 @@ class ArticleHistory:
         self.spark = spark
         self.folder = (folder or f"{shared_root(spark)}/history-{uuid.uuid4().hex[:12]}").rstrip("/")
         stored = self._read_state()
-        self.state = stored or {"buckets": buckets or max(8, spark.sparkContext.defaultParallelism), "spread": spread, "appends": 0, "generation": 0}
+        if stored and stored.get("format") != FORMAT:
+            raise ValueError(f"the history in {self.folder} has another format than {FORMAT}; make it anew from its articles")
+        self.state = stored or {"format": FORMAT, "buckets": buckets or max(8, spark.sparkContext.defaultParallelism), "spread": spread, "appends": 0, "generation": 0}
         self.work = Workspace(spark, "history")
         self.tables: dict[str, str] = {}
         if not stored:
@@ -249,7 +309,7 @@ class ArticleHistory:
         out.close()
         fs.rename(part, self._path(name + ".json")[0])
 
-    _SHAPES = {"known": ("h BIGINT, batch INT, row BIGINT, title STRING, lede STRING", ["h"]), "pieces": ("h BIGINT, s INT, c BIGINT", ["h", "s"])}
+    _SHAPES = {"known": ("h BIGINT, batch INT, row BIGINT, title STRING, lede STRING", ["h"]), "pieces": ("k BIGINT, c BIGINT", ["k"])}
 
     def _define(self) -> None:
         """Names in the session's catalog for what lies in the folder; dropping them leaves the files."""
@@ -267,7 +327,7 @@ class ArticleHistory:
         shape, keys = self._SHAPES[kind]
         columns = [c.split(" ")[0] for c in shape.split(", ")]
         # one file a bucket and append; each row once
-        rows = rows.select(columns).repartition(self.state["buckets"], *keys).dropDuplicates(columns[: 3 if kind == "pieces" else 1])
+        rows = rows.select(columns).repartition(self.state["buckets"], *keys).dropDuplicates(columns if kind == "pieces" else keys)
         rows.write.mode("append").format("parquet").bucketBy(self.state["buckets"], *keys).sortBy(*keys).option("path", self._data(kind)).saveAsTable(self.tables[kind])
 
     def known(self) -> DataFrame:
@@ -329,9 +389,9 @@ class ArticleHistory:
         return known.join(each.hint("shuffle_hash"), "h").where(earlier).select("row").distinct()
 
     def met(self, records: DataFrame) -> DataFrame:
-        """``h, s, c`` of the stored pieces that any of the records has, each once."""
-        asked = _over(records.select(F.explode("pieces.h").alias("h")).distinct(), self.state["spread"])
-        return self.pieces().join(asked.hint("shuffle_hash"), ["h", "s"], "left_semi")
+        """``k, c, h`` of the stored pieces that any of the records has, each once."""
+        asked = _over(records.select(F.explode("pieces.h").alias("h")).distinct(), self.state["spread"]).select("k")
+        return self.pieces().join(asked.hint("shuffle_hash"), "k", "left_semi").withColumn("h", _part("k", "c", self.state["spread"]))
 
     def covered(self, records: DataFrame, met: DataFrame) -> DataFrame:
         """``row, content, total, h, w, many`` of the pieces of appended records; ``met`` are the stored ones.
@@ -349,7 +409,7 @@ class ArticleHistory:
         # of each record the known words from a piece on, the rarest piece first: while they reach the share asked for
         rest = Window.partitionBy("row").orderBy(F.col("many").desc(), "h").rowsBetween(Window.unboundedPreceding, 0)
         chosen = pieces.withColumn("rest", F.sum("w").over(rest)).where(F.col("rest") >= F.col("total") * COVERAGE).select("row", "content", "h")
-        stored = met.join(_over(chosen, self.state["spread"]).hint("shuffle_hash"), ["h", "s"])
+        stored = met.select("k", "c").join(_over(chosen, self.state["spread"]).hint("shuffle_hash"), "k")
         pairs = stored.where(F.col("c") != F.col("content")).select("row", F.col("c").alias("other")).distinct()
         asked = pairs.join(records.select("batch_no", "row", "title", "lede"), "row").hint("shuffle_hash")
         texts = self.known().where(F.col("title").isNotNull()).select(F.col("h").alias("other"), "batch", F.col("row").alias("first"), "title", "lede")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from storyweft.llm import history
@@ -196,3 +197,44 @@ def test_pieces_begin_at_marked_words(spark):
     # a batch that is a slice, and one without rows
     assert history._cut.func(history.pa.array(texts)[3:7]).to_pylist() == [by_rule(t) for t in texts[3:7]]
     assert history._cut.func(history.pa.array([], "string")).to_pylist() == []
+
+
+def test_words_without_patterns_are_those_of_the_patterns(spark):
+    chars = [*range(1, 0x250), *range(0x370, 0x400), *range(0x2000, 0x2100), 0xE01, 0x5E02, 0x4E00, 0x1F600]
+    texts = [None, "", " ", *(f"{chr(c)}A{chr(c)} {chr(c)}{chr(c)}b{chr(c)}c {chr(c)}" for c in chars), "a\u2014B \u2018c\u2019, \u201cD\u201d\u2026", "\u00c9t\u00e9 \u00d7 \u00c0 \u00bd", "..", "x  .  y"]
+    df = spark.createDataFrame([(k, "o", t, t) for k, t in enumerate(texts)], "k int, outlet string, title string, lede string").coalesce(1)
+    for looks in (True, False):
+        want = {r.k: r.p for r in history._plain(df, {"p": "title"}, looks).select("k", "p").collect()}
+        rows = history.with_pieces(df, looks).select("k", "plain_t", "plain_l").collect()
+        assert {r.k: r.plain_t for r in rows} == want == {r.k: r.plain_l for r in rows}
+    # a batch that is a slice, and one without rows
+    some = history.pa.array(["Title, one", "", "\u00c9t\u00e9 - x", None, " B"])
+    assert history._worded.func(some)[1:].to_pylist() == history._worded.func(some[1:]).to_pylist()
+    assert [x["words"] for x in history._worded.func(some).to_pylist()] == ["title one", "", "\u00e9t\u00e9 x", "", "b"]
+    assert history._worded.func(some[:0]).to_pylist() == []
+
+
+def test_few_texts_go_through_the_patterns(spark):
+    df = spark.createDataFrame([("Plain", False), ("Caf\u00e9 \u2014 \u201cnew\u201d", False), ("so\u00adft", True), ("\u0440ort", True), ("\u5e02", True)], "t string, wide boolean")
+    assert [r.w for r in df.select(F.col("t").rlike(history._WIDE).alias("w")).collect()] == [r.wide for r in df.collect()]
+
+
+def test_a_piece_is_found_in_all_its_parts(spark):
+    h = history.ArticleHistory(spark)
+    # contents of one title lie in several parts of its pieces
+    items = [("i", "o", f"https://x.example/a/{1000000 + n}/t", EIGHT, LEDE.replace("twelve", f"word{n}")) for n in range(20)]
+    i, e = frames(spark, items, [(1, 1, "o", OTHER, EIGHT, "Something else that nobody knew.")])
+    h.take(h.work.stage(history.item_records(i), "items"), 0)
+    assert h.pieces().columns == ["k", "c"]
+    records = h.work.stage(history.entry_records(e), "entries")
+    met = h.met(records).collect()
+    assert len({r.k for r in met if r.k ^ (r.c % 4) == r.h}) > 1 and all(r.k ^ (r.c % 4) == r.h for r in met)
+    assert {r.many for r in h.covered(records, h.met(records)).collect()} == {19}
+    h.close()
+
+
+def test_a_history_of_another_format_is_refused(spark, tmp_path):
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "000000001.json").write_text('{"buckets": 8, "spread": 4, "appends": 0, "generation": 0, "version": 1}')
+    with pytest.raises(ValueError, match="format"):
+        history.ArticleHistory(spark, f"file://{tmp_path}")
